@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortry.catalog import adherence, bias, donors, hierarchy
+from cohortry.catalog import adherence, bias, carts, curves, donors, hierarchy, io, models, profile
 
-_PARTS = (adherence, hierarchy, donors, bias)
+_PARTS = (adherence, hierarchy, donors, bias, profile, curves, models, io, carts)
 
 
 def queries() -> dict:

@@ -35,6 +35,10 @@ def _timeline(spark, folder):
     return A.next_supply(A.with_dummies(_kept(spark, folder), END), END)
 
 
+def _covered(spark, folder):
+    return A.covered_timeline(_refills(spark, folder), END)
+
+
 def _ratios(spark, folder):
     return A.dppr(V.claims(spark, folder), _trees(spark, folder), END, 1096, statuses=ALL)
 
@@ -305,12 +309,12 @@ limits AS (SELECT quantile_cont(diff, 0.25) - 0.5 * (quantile_cont(diff, 0.75) -
 
 @BOOK.add("gap_distribution", upto("spaced", "SELECT member_id, class_id, service_date, diff, NTILE(100) OVER (ORDER BY diff NULLS FIRST, member_id, class_id, service_date) AS percentile_diff FROM {}"))
 def gap_distribution(spark, folder):
-    return A.gap_distribution(_timeline(spark, folder)).select("member_id", "class_id", "service_date", "diff", "percentile_diff")
+    return A.gap_distribution(_covered(spark, folder)).select("member_id", "class_id", "service_date", "diff", "percentile_diff")
 
 
 @BOOK.add("outlier_members", _NEGATIVE + "SELECT DISTINCT member_id FROM negative, limits WHERE diff < lower AND next_date <> DATE '2001-01-01'")
 def outlier_members(spark, folder):
-    return A.outlier_members(_timeline(spark, folder), END, k=0.5)
+    return A.outlier_members(_covered(spark, folder), END, k=0.5)
 
 
 @BOOK.add("outlier_review", measured(""", negative AS (SELECT * FROM spaced WHERE diff < 0),
@@ -318,7 +322,7 @@ limits AS (SELECT quantile_cont(diff, 0.25) - 0.5 * (quantile_cont(diff, 0.75) -
 SELECT n.member_id, class_id, service_date, next_date, days_supply, time_to_next, diff, dppr, mpr, mprm
 FROM negative n JOIN measures m ON n.member_id = m.member_id, limits WHERE diff < lower AND next_date <> DATE '2001-01-01'"""))
 def outlier_review(spark, folder):
-    out = A.outlier_review(_timeline(spark, folder), _measures(spark, folder), END, k=0.5)
+    out = A.outlier_review(_covered(spark, folder), _measures(spark, folder), END, k=0.5)
     return out.select("member_id", "class_id", "service_date", "next_date", "days_supply", "time_to_next", "diff", "dppr", "mpr", "mprm")
 
 
@@ -329,7 +333,7 @@ UNION ALL
 SELECT DISTINCT member_id, claim_id, line_id, class_id, code, service_date, days_supply
 FROM eligible JOIN crosswalk USING (code) WHERE member_id IN (SELECT member_id FROM chosen) AND class_id IN (1, 2)""")
 def review_claims(spark, folder):
-    members = A.outlier_members(_timeline(spark, folder), END, k=0.5)
+    members = A.outlier_members(_covered(spark, folder), END, k=0.5)
     return A.review_claims(V.claims(spark, folder), _trees(spark, folder), members, WINDOW, statuses=ALL)
 
 

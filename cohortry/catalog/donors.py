@@ -97,11 +97,12 @@ def pivoted(spark, folder):
 
 
 @BOOK.add("bucket_features", with_views("donations", "attributes") + WIDE + " SELECT l.candidate_id, l.target, " + ", ".join(
-    f"round({b}_cum_sum, 2) AS {b}_cum_sum, {b}_cum_count, round(CASE WHEN w.candidate_id IS NULL THEN NULL WHEN {b}_cum_count = 0 THEN 0 ELSE {b}_cum_sum / {b}_cum_count END, 2) AS {b}_cum_avg" for b in KEPT) + """,
+    f"round({b}_cum_sum, 2) AS {b}_cum_sum, {b}_cum_count, round(CASE WHEN w.candidate_id IS NULL THEN NULL WHEN {b}_cum_count = 0 THEN 0 ELSE {b}_cum_sum / {b}_cum_count END, 7) AS {b}_cum_avg" for b in KEPT) + """,
  totalHouseholdDebt, primaryPropertyLoanToValue, primaryPropertyValue, propertyCount, NetWorth, isClassADonor, isClassBDonor, isClassCDonor, isClassDDonor
 FROM labels_ l LEFT JOIN wide w ON l.candidate_id = w.candidate_id LEFT JOIN attributes a ON a.candidate_id = w.candidate_id""")
 def bucket_features(spark, folder):
-    return rounded(D.bucket_features(_labels(spark, folder), V.donations(spark, folder), V.attributes(spark, folder), ON), 2)
+    out = D.bucket_features(_labels(spark, folder), V.donations(spark, folder), V.attributes(spark, folder), ON)
+    return rounded(out, 2, **{f"{b}_cum_avg": 7 for b in KEPT})
 
 
 def _window(k: int) -> str:
