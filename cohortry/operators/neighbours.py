@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import row_hash, unit_hash
-from cohortry.operators.ranking import global_rank
-from cohortry.session import materialize
+from cohortry.operators.ranking import global_rank, rank_within
+from cohortry.session import broadcast_checked, materialize
 
 MAX_BLOCKS = 20_000  # keeps the table of block centres to a few MB per 100 dimensions
 
@@ -45,7 +45,7 @@ def _block_shape(pdf: pd.DataFrame) -> pd.DataFrame:
     centre = x.mean(axis=0)
     return pd.DataFrame({
         "block": [int(pdf["block"].iloc[0])], "n": [len(x)], "centre": [centre.tolist()],
-        "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))],
+        "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))], "grp": [pdf["grp"].iloc[0]],
     })
 
 
@@ -54,16 +54,18 @@ def _block_pairs(shapes: list, k: int):
     n = np.array([s["n"] for s in shapes])
     centre = np.array([s["centre"] for s in shapes])
     radius = np.array([s["radius"] for s in shapes])
+    group = np.array([s["grp"] for s in shapes])
 
     def prune(frames):
         for f in frames:
             for i in f["i"]:
                 gap = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
-                far = gap + radius + radius[i]
+                own = group == group[i]
+                far = np.where(own, gap + radius + radius[i], np.inf)
                 order = far.argsort()
                 enough = np.searchsorted(np.cumsum(n[order]), k + 1)  # the point itself counts once
                 bound = far[order[min(enough, len(order) - 1)]]
-                hit = gap - radius - radius[i] <= bound * (1 + 1e-9) + 1e-9
+                hit = own & (gap - radius - radius[i] <= bound * (1 + 1e-9) + 1e-9)
                 yield pd.DataFrame({"query_block": np.full(hit.sum(), block[i]), "data_block": block[hit]})
 
     return prune
@@ -91,29 +93,35 @@ def _top_k(k: int):
     return compare
 
 
-def knn(points: DataFrame, k: int, block: int = 2048, seed: int = 42) -> DataFrame:
+def knn(points: DataFrame, k: int, block: int = 2048, seed: int = 42, group: str | None = None) -> DataFrame:
     """The k nearest other points of each point: (id, neighbour, distance, pos 1..k).
 
-    ``points``: ``id`` (bigint, unique) and ``features`` (array of doubles).  Ties go to the
+    ``points``: ``id`` (bigint, unique) and ``features`` (array of doubles).  With ``group``
+    (a column of few values) neighbours come from the point's own group.  Ties go to the
     smaller id.  Runs actions.
     """
-    points = materialize(points.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features")))
+    grp = F.col(group).cast("string") if group else F.lit("")
+    points = materialize(points.select(
+        F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features"), grp.alias("grp")))
+    spark = points.sparkSession
     n = points.count()
+    if n < 2:
+        return spark.createDataFrame([], "id bigint, neighbour bigint, distance double, pos int")
     block = max(block, -(-n // MAX_BLOCKS))
     n_pivots = min(256, max(1, n // block))
     pivots = points.orderBy(row_hash("id", seed=seed), "id").limit(n_pivots).collect()
-    none = points.sparkSession.createDataFrame([], "id bigint, neighbour bigint, distance double, pos int")
-    if n < 2:
-        return none
     assign = _nearest_pivot(np.array([r["features"] for r in pivots]))
-    placed = points.mapInPandas(assign, "id bigint, features array<double>, cell int, to_pivot double")
-    ranked = global_rank(placed, ["cell", "to_pivot", "id"], "_rank").rows
-    blocks = ranked.select(F.floor((F.col("_rank") - 1) / block).cast("int").alias("block"), "id", "features")
-    shapes = blocks.groupBy("block").applyInPandas(_block_shape, "block int, n bigint, centre array<double>, radius double").collect()
-    spark = points.sparkSession
-    pairs = spark.range(len(shapes)).select(F.col("id").alias("i")).mapInPandas(_block_pairs(shapes, k), "query_block int, data_block int")
+    placed = points.mapInPandas(assign, "id bigint, features array<double>, grp string, cell int, to_pivot double")
+    ranked = global_rank(placed, ["grp", "cell", "to_pivot", "id"], "_rank").rows
+    ranked = ranked.join(broadcast_checked(ranked.groupBy("grp").agg(F.min("_rank").alias("_first"))), "grp")
+    # blocks of a group are numbered from its first rank on, so numbers of two groups never meet
+    number = F.col("_first") + F.floor((F.col("_rank") - F.col("_first")) / block)
+    blocks = ranked.select(number.cast("bigint").alias("block"), "grp", "id", "features")
+    shape = "block bigint, n bigint, centre array<double>, radius double, grp string"
+    shapes = blocks.groupBy("block").applyInPandas(_block_shape, shape).collect()
+    pairs = spark.range(len(shapes)).select(F.col("id").alias("i")).mapInPandas(_block_pairs(shapes, k), "query_block bigint, data_block bigint")
     pairs = materialize(pairs)  # read twice below
-    queries = pairs.join(blocks.withColumnRenamed("block", "query_block"), "query_block")
+    queries = pairs.join(blocks.select(F.col("block").alias("query_block"), "id", "features"), "query_block")
     other = blocks.select(F.col("block").alias("to_block"), F.col("id").alias("other_id"), F.col("features").alias("other_features"))
     towards = pairs.select(F.col("query_block").alias("from_block"), F.col("data_block").alias("to_block"))
     data = towards.join(other, "to_block")
@@ -154,31 +162,35 @@ def smote(df: DataFrame, targets: dict, label: str = "label", k: int = 5, seed:
     spark = df.sparkSession
     rows = df.select(F.col("id").cast("bigint").alias("id"), F.col(label), F.col("features").cast("array<double>").alias("features"))
     counts = {r[0]: r["_n"] for r in rows.groupBy(label).agg(F.count("*").alias("_n")).collect()}
+    missing = {c: t - counts.get(c, 0) for c, t in targets.items() if t > counts.get(c, 0)}
+    thin = [c for c in missing if counts.get(c, 0) < 2]
+    if thin:
+        raise ValueError(f"classes with fewer than two rows: {thin}")
     out = rows.withColumn("synthetic", F.lit(False))
+    if not missing:
+        return out
+    own = materialize(rows.where(F.col(label).isin(list(missing))))
+    numbered = materialize(rank_within(own, [label], ["id"], "_row"))
+    near = knn(own, k, block, seed, group=label).select("id", "neighbour", F.col("pos").alias("_pos"))
     next_id = rows.agg(F.max("id")).first()[0] + 1
-    for cls, target in targets.items():
-        missing = target - counts.get(cls, 0)
-        if missing <= 0:
-            continue
-        if counts.get(cls, 0) < 2:
-            raise ValueError(f"class {cls!r} needs at least two rows")
-        own = rows.where(F.col(label) == F.lit(cls)).select("id", "features")
-        numbered = global_rank(own, ["id"], "_row")
-        near = knn(own, k, block, seed).select("id", "neighbour", F.col("pos").alias("_pos"))
-        choices = min(k, numbered.total - 1)
-        seeds = spark.range(missing).select(
-            F.col("id").alias("_i"),
-            (F.pmod(row_hash("id", seed=seed), F.lit(numbered.total)) + 1).alias("_row"),
+    kind = rows.schema[label].dataType
+    seeds = None
+    for cls, m in missing.items():
+        choices = min(k, counts[cls] - 1)
+        part = spark.range(next_id, next_id + m).select(
+            F.col("id").alias("_new"),
+            F.lit(cls).cast(kind).alias(label),
+            (F.pmod(row_hash("id", seed=seed), F.lit(counts[cls])) + 1).alias("_row"),
             (F.pmod(row_hash("id", seed=seed + 1), F.lit(choices)) + 1).cast("int").alias("_pos"),
             unit_hash("id", seed=seed + 2).alias("_gap"),
         )
-        other = numbered.rows.select(F.col("id").alias("neighbour"), F.col("features").alias("_to"))
-        made = seeds.join(numbered.rows, "_row").join(near, ["id", "_pos"]).join(other, "neighbour")
-        between = F.zip_with("features", "_to", lambda x, y: x + F.col("_gap") * (y - x))
-        made = made.select((F.col("_i") + next_id).alias("id"), F.lit(cls).cast(rows.schema[label].dataType).alias(label), between.alias("features"), F.lit(True).alias("synthetic"))
-        out = out.unionByName(made)
-        next_id += missing
-    return out
+        seeds = part if seeds is None else seeds.unionByName(part)
+        next_id += m
+    other = numbered.select(F.col("id").alias("neighbour"), F.col("features").alias("_to"))
+    made = seeds.join(numbered, [label, "_row"]).join(near, ["id", "_pos"]).join(other, "neighbour")
+    between = F.zip_with("features", "_to", lambda x, y: x + F.col("_gap") * (y - x))
+    made = made.select(F.col("_new").alias("id"), label, between.alias("features"), F.lit(True).alias("synthetic"))
+    return out.unionByName(made)
 
 
 def smote_tomek(df: DataFrame, targets: dict, label: str = "label", k: int = 5, seed: int = 42, block: int = 2048) -> DataFrame:
