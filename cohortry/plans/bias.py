@@ -23,13 +23,15 @@ def components(members: DataFrame, names: DataFrame, geography: DataFrame, demog
     ``geography``: member_id, tract.  ``demographics``: member_id, gender, age.
     ``tracts``: state, tract (numeric).
     """
-    places = geography.where(F.col("tract").isNotNull() & (F.col("tract") != "NA")).select("member_id", "tract")
-    people = demographics.where(F.col("gender").isNotNull() & F.col("age").isNotNull()).select("member_id", "gender", "age")
-    states = tracts.select(tract_code("tract").alias("tract"), F.col("state").alias("tract_state"))
+    # the result is distinct, so every side may drop its repeats before the joins
+    places = geography.where(F.col("tract").isNotNull() & (F.col("tract") != "NA")).select("member_id", "tract").distinct()
+    people = demographics.where(F.col("gender").isNotNull() & F.col("age").isNotNull()).select("member_id", "gender", "age").distinct()
+    states = tracts.select(tract_code("tract").alias("tract"), F.col("state").alias("tract_state")).distinct()
+    known = names.select("member_id", "first_name", "surname", "state").distinct()
     # place, gender and age are required, so those joins are inner; names stay optional
     out = (
-        members.select("member_id").join(places, "member_id").join(people, "member_id")
-        .join(names.select("member_id", "first_name", "surname", "state"), "member_id", "left")
+        members.select("member_id").distinct().join(places, "member_id").join(people, "member_id")
+        .join(known, "member_id", "left")
         .join(states, "tract", "left")
         .select(
             "member_id", "first_name", "surname",

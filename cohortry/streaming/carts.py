@@ -44,18 +44,18 @@ def cart_state(log: DataFrame) -> DataFrame:
     return last_event(log).where(F.col("action") == "add").select(*KEY, "price")
 
 
-def failed_removes(log: DataFrame, chunk: str = "hour") -> DataFrame:
+def failed_removes(log: DataFrame, chunk: str = "minute") -> DataFrame:
     """Removals of an item that was not in the cart.
 
     The item is there if and only if its previous valid event is an add.  The look-back runs
-    per (item, hour), so one busy item is spread over tasks.
+    per (item, minute), so one busy item is spread over tasks.
     """
     events = previous_value(valid_events(log), KEY, ORDER, "action", "_before", chunk=F.date_trunc(chunk, "ts"))
     gone = (F.col("action") == "remove") & ~F.coalesce(F.col("_before") == "add", F.lit(False))
     return events.where(gone).drop("_before")
 
 
-def removed_prices(log: DataFrame, chunk: str = "hour") -> DataFrame:
+def removed_prices(log: DataFrame, chunk: str = "minute") -> DataFrame:
     """Removals that took an item out, with the price it had."""
     events = valid_events(log).withColumn("_was", F.struct("action", "price"))
     events = previous_value(events, KEY, ORDER, "_was", "_before", chunk=F.date_trunc(chunk, "ts"))
