@@ -17,6 +17,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +74,11 @@ def dedupe_refills(classified: DataFrame) -> DataFrame:
     return classified.groupBy(*KEY, "service_date").agg(F.max(number("days_supply")).alias("days_supply"))
 
 
+def _tagged(crosswalks: Sequence[DataFrame]) -> DataFrame:
+    """All trees under each other, numbered."""
+    return reduce(DataFrame.unionByName, [x.select("class_id", "code", F.lit(i).alias("_tree")) for i, x in enumerate(crosswalks)])
+
+
 def refills_of(claims: DataFrame, crosswalks: Sequence[DataFrame]) -> DataFrame:
     """Refills of one or several therapy trees, duplicates removed.
 
@@ -81,9 +87,8 @@ def refills_of(claims: DataFrame, crosswalks: Sequence[DataFrame]) -> DataFrame:
     """
     if len(crosswalks) == 1:
         return dedupe_refills(classify(claims, crosswalks[0].select("class_id", "code")))
-    tagged = stack_reports({str(i): x.select("class_id", "code") for i, x in enumerate(crosswalks)}, "_tree")
-    best = [F.max(F.when(F.col("_tree") == str(i), number("days_supply"))).alias(f"_b{i}") for i in range(len(crosswalks))]
-    per_day = classify(claims, tagged).groupBy(*KEY, "service_date").agg(*best)
+    best = [F.max(F.when(F.col("_tree") == i, number("days_supply"))).alias(f"_b{i}") for i in range(len(crosswalks))]
+    per_day = classify(claims, _tagged(crosswalks)).groupBy(*KEY, "service_date").agg(*best)
     values = F.array_distinct(F.array_compact(F.array(*[F.col(f"_b{i}") for i in range(len(crosswalks))])))
     return per_day.select(*KEY, "service_date", F.explode(values).alias("days_supply"))
 
@@ -326,9 +331,8 @@ def outlier_review(distribution: DataFrame, measures: DataFrame, end: dt.date, k
 def review_claims(claims: DataFrame, crosswalks: Sequence[DataFrame], members: DataFrame, window: ObservationWindow, lobs: Sequence[str] | None = None, statuses: Sequence[str] = PAID_STATUS, detail: Sequence[str] = ("claim_id", "line_id")) -> DataFrame:
     """The claim lines of given members, distinct per therapy tree, trees under each other."""
     chosen = in_population(eligible_claims(claims, window, lobs, statuses), members, "member_id")
-    trees = stack_reports({str(i): x.select("class_id", "code") for i, x in enumerate(crosswalks)}, "_tree")
     return (
-        classify(chosen, trees)
+        classify(chosen, _tagged(crosswalks))
         .select("_tree", "member_id", *detail, "class_id", "code", "service_date", number("days_supply").alias("days_supply"))
         .distinct().drop("_tree")
     )
