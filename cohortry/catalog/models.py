@@ -221,11 +221,25 @@ def importance(spark, folder):
     return permutation_importance(model.transform, rows.where("is_test"), "PlayerID", "label", columns, repeats=3)
 
 
-@BOOK.add("artifact_round_trip")
+@BOOK.add("artifact_round_trip", "SELECT CAST(ceil(0.25 * COUNT(*)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_different FROM customer")
 def artifact_round_trip(spark, folder):
-    """Scores of held-out rows by a model that was saved and loaded again."""
+    """Held-out rows scored by a model and by its saved and loaded copy."""
     rows, model = _player_lr(spark, folder, "l2")
     path = fresh_root(spark, "artifact")
     io.save_artifact(model, rows.where("is_test"), path)
     loaded, held_out = io.load_artifact(spark, path)
-    return M.scored_multiclass(loaded, held_out, "PlayerID", "label")
+    after = M.scored_multiclass(loaded, held_out, "PlayerID", "label").select("id", F.col("probability").alias("again"))
+    before = M.scored_multiclass(model, rows.where("is_test"), "PlayerID", "label")
+    return before.join(after, "id").agg(F.count("*").alias("n"), F.count_if(F.col("probability") != F.col("again")).alias("n_different"))
+
+
+@BOOK.add("lr_probabilities", "SELECT CAST(ceil(0.25 * COUNT(*)) AS BIGINT) AS n, true AS add_up, true AS top_is_predicted FROM customer")
+def lr_probabilities(spark, folder):
+    """Every held-out row is scored once, with probabilities that add up to 1."""
+    rows, model = _player_lr(spark, folder)
+    s = M.scored_multiclass(model, rows.where("is_test"), "PlayerID", "label")
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    return s.agg(
+        F.countDistinct("id").alias("n"), F.bool_and(F.abs(total - 1) < 1e-9).alias("add_up"),
+        F.bool_and(F.col("probability")[F.col("prediction")] == F.col("probability_max")).alias("top_is_predicted"),
+    )

@@ -47,30 +47,22 @@ def _part() -> Column:
     return F.shiftright(F.col(_IDX), 33)
 
 
-def _starts(totals: list, names: Sequence[str]) -> tuple[list[tuple], list[int]]:
-    """Exclusive prefix of the per-partition totals, which are one row per partition."""
-    run = [0] * len(names)
-    out = []
-    for row in sorted(totals, key=lambda r: r[_PART]):
-        out.append((row[_PART], *run))
-        run = [a + row[n] for a, n in zip(run, names)]
-    return out, run
-
-
 def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> Ranked:
     """Number all rows 1..n in the given order.  The order should end in a unique column."""
     rows = _ordered(df, order)
-    totals = rows.groupBy(_part().alias(_PART)).agg(F.count("*").alias("_n")).collect()
-    starts, run = _starts(totals, ["_n"])
-    spark = df.sparkSession
-    offsets = spark.createDataFrame(starts, f"{_PART} long, _start long")
+    sizes = rows.groupBy(_part().alias(_PART)).agg(F.count("*").alias("_n")).collect()
+    starts, total = [], 0
+    for r in sorted(sizes, key=lambda r: r[_PART]):  # one row per partition
+        starts.append((r[_PART], total))
+        total += r["_n"]
+    offsets = df.sparkSession.createDataFrame(starts, f"{_PART} long, _start long")
     ranked = (
         rows.withColumn(_PART, _part())
         .join(F.broadcast(offsets), _PART)
         .withColumn(name, F.col("_start") + F.col(_IDX).bitwiseAND(F.lit(_POS_MASK)) + 1)
         .drop(_PART, _IDX, "_start")
     )
-    return Ranked(ranked, run[0])
+    return Ranked(ranked, total)
 
 
 def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
@@ -79,7 +71,7 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | s
     One global order over (groups, order); the group's first rank is then taken off.
     """
     ranked = global_rank(df, [*groups, *order], "_rank").rows
-    first = ranked.groupBy(*groups).agg((F.min("_rank") - 1).alias("_before"))
+    first = materialize(ranked.groupBy(*groups).agg((F.min("_rank") - 1).alias("_before")))
     return (
         ranked.join(broadcast_checked(first), list(groups))
         .withColumn(name, F.col("_rank") - F.col("_before"))
@@ -91,45 +83,50 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: dict[str,
     """Inclusive running totals of whole-number columns over a global order.
 
     ``sums`` maps output names to input columns.  With ``groups`` the totals restart in each
-    group (values must not be negative).  For each column in ``peeks`` the value of the next
-    row in the order is added as ``next_<column>``.
+    group; a group may span many partitions.  For each column in ``peeks`` the value of the
+    next row in the order is added as ``next_<column>`` (not with ``groups``).
     """
-    full = [*groups, *order]
-    rows = _ordered(df, full)
+    rows = _ordered(df, [*groups, *order])
+    return _cumulate(rows, sums, groups, peeks)
+
+
+def _cumulate(rows: DataFrame, sums: dict[str, str], groups: Sequence[str] = (), peeks: Sequence[str] = ()) -> DataFrame:
     names = [f"_t{i}" for i in range(len(sums))]
-    heads = [F.min_by(F.struct(*peeks), _IDX).alias("_head")] if peeks else []
-    totals = (
-        rows.groupBy(_part().alias(_PART))
-        .agg(*[F.sum(c).alias(n) for n, c in zip(names, sums.values())], *heads)
-        .collect()
+    # Groups are contiguous: at most (partitions + groups) rows here, one row per partition below.
+    per_group = rows.groupBy(_part().alias(_PART), *groups).agg(
+        *[F.sum(c).alias(n) for n, c in zip(names, sums.values())], F.min(_IDX).alias("_from"),
+        *([F.min_by(F.struct(*peeks), _IDX).alias("_head")] if peeks else []),
     )
-    starts, _ = _starts(totals, names)
-    by_part = {r[_PART]: r for r in totals}
-    parts = [s[0] for s in starts]
-    after = {p: (by_part[parts[i + 1]]["_head"] if peeks and i + 1 < len(parts) else None) for i, p in enumerate(parts)}
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    tag = F.struct(*groups) if groups else F.lit(0)
+    totals = per_group.groupBy(_PART).agg(
+        F.min_by(tag, "_from").alias("_first"), F.max_by(tag, "_from").alias("_last"), F.count("*").alias("_groups"),
+        *[F.max_by(n, "_from").alias(n) for n in names], *([F.min_by("_head", "_from").alias("_head")] if peeks else []),
+    ).collect()
+    totals.sort(key=lambda r: r[_PART])
+    table, carry, last = [], [0] * len(names), None
+    for i, r in enumerate(totals):
+        # what the group at the start of this partition already had in earlier ones
+        carry = carry if last is not None and last == r["_first"] else [0] * len(names)
+        after = totals[i + 1]["_head"] if peeks and i + 1 < len(totals) else None
+        table.append((r[_PART], *carry, *[None if after is None else after[p] for p in peeks], *(r["_first"] if groups else ())))
+        carry = [a + r[n] if r["_groups"] == 1 else r[n] for a, n in zip(carry, names)]
+        last = r["_last"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"{_PART} long" + "".join(f", {n} long" for n in names)
-    schema += "".join(f", _after_{p} {types[p]}" for p in peeks)
-    table = [s + tuple(None if after[s[0]] is None else after[s[0]][p] for p in peeks) for s in starts]
-    offsets = df.sparkSession.createDataFrame(table, schema)
+    schema += "".join(f", _after_{p} {types[p]}" for p in peeks) + "".join(f", _first_{i} {types[g]}" for i, g in enumerate(groups))
+    offsets = rows.sparkSession.createDataFrame(table, schema)
 
-    in_part = Window.partitionBy(_PART).orderBy(_IDX)
+    in_part = Window.partitionBy(_PART, *groups).orderBy(_IDX)
     upto = in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leading = F.lit(True)
+    for i, g in enumerate(groups):
+        leading = leading & F.col(g).eqNullSafe(F.col(f"_first_{i}"))
     out = rows.withColumn(_PART, _part()).join(F.broadcast(offsets), _PART)
     out = out.withColumns(
-        {o: F.col(n) + F.sum(c).over(upto) for (o, c), n in zip(sums.items(), names)}
+        {o: F.sum(c).over(upto) + F.when(leading, F.col(n)).otherwise(F.lit(0)) for (o, c), n in zip(sums.items(), names)}
         | {f"next_{p}": F.coalesce(F.lead(p).over(in_part), F.col(f"_after_{p}")) for p in peeks}
-    ).drop(_PART, _IDX, *names, *[f"_after_{p}" for p in peeks])
-    if groups:
-        before = out.groupBy(*groups).agg(
-            *[F.min(F.col(o) - F.col(c)).alias(n) for (o, c), n in zip(sums.items(), names)]
-        )
-        out = (
-            out.join(broadcast_checked(before), list(groups))
-            .withColumns({o: F.col(o) - F.col(n) for o, n in zip(sums, names)})
-            .drop(*names)
-        )
-    return out
+    )
+    return out.drop(_PART, _IDX, *names, *[f"_after_{p}" for p in peeks], *[f"_first_{i}" for i in range(len(groups))])
 
 
 def tile_of(rank: Column, total: int, tiles: int) -> Column:
@@ -166,12 +163,13 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     their running count.  Output: groups, ``n``, and ``q0``, ``q1``, ... in the given order.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("_c"))
-    run = running_totals(counts, [F.col(column)], {"_cum": "_c"}, groups)
+    rows = _ordered(counts, [*groups, column])
+    run = _cumulate(rows, {"_cum": "_c"}, groups)
     if groups:
-        n = run.groupBy(*groups).agg(F.max("_cum").alias("n"))
+        n = materialize(rows.groupBy(*groups).agg(F.sum("_c").alias("n")))
         run = run.join(broadcast_checked(n), list(groups))
     else:
-        run = run.withColumn("n", run.agg(F.max("_cum")).scalar())
+        run = run.withColumn("n", rows.agg(F.sum("_c")).scalar())
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
     picks = []
     for i, p in enumerate(probabilities):

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.session import broadcast_checked
+from cohortry.session import broadcast_checked, materialize
 
 
 def having_count(df: DataFrame, keys: Sequence[str], fewer_than: int | None = None, more_than: int | None = None, name: str = "n") -> DataFrame:
@@ -64,9 +64,10 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     """Attach aggregates of the key's group to every row.
 
     Aggregate and join rather than a window: the aggregate combines before its shuffle, and
-    the join may be broadcast or split where one key is frequent.
+    the join may be broadcast or split where one key is frequent.  The aggregates are stored,
+    so that learning their number does not compute them twice (an action).
     """
-    table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    table = materialize(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]))
     return df.join(broadcast_checked(table), list(keys))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators.windows import previous_value
-from cohortry.session import shared_folder
+from cohortry.session import broadcast_checked, materialize, shared_folder
 
 KEY = ["cart", "item"]
 ORDER = ["ts", "event_id"]
@@ -70,9 +70,14 @@ def cart_totals(state: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CartStream:
-    """Folders the stream writes; each batch writes its own sub-folder, so a retry replaces it."""
+    """Folders the stream writes.  Each batch has its own sub-folder, so a retry replaces it.
+
+    A batch writes the items it touched.  Every ``compact`` batches the whole state is written
+    once, and older folders are no longer read.
+    """
 
     root: str
+    compact: int = 100
 
     @property
     def states(self) -> str:
@@ -82,33 +87,42 @@ class CartStream:
     def errors(self) -> str:
         return f"{self.root}/errors"
 
+    def known(self, spark: SparkSession, before: int) -> DataFrame:
+        """Last valid event of each item in the batches before one."""
+        base = (before - 1) // self.compact * self.compact
+        rows = spark.read.parquet(self.states).where((F.col("batch") >= base) & (F.col("batch") < before))
+        return last_event(rows)
+
 
 def _write_batch(stream: CartStream):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        past = f"{stream.states}/batch={batch_id - 1}"
-        log = batch.select("event_id", "ts", *KEY, "action", "price")
+        columns = ["event_id", "ts", *KEY, "action", "price"]
+        batch = materialize(batch.select(*columns))
+        log = batch
         if batch_id > 0:
             # the state so far re-enters as the events that made it
-            log = log.unionByName(spark.read.parquet(past).select(*log.columns))
-        kept = last_event(log).select("event_id", "ts", *KEY, "action", "price")
-        kept.write.mode("overwrite").parquet(f"{stream.states}/batch={batch_id}")
-        new = batch.select("event_id")
+            past = stream.known(spark, batch_id)
+            if batch_id % stream.compact:
+                past = past.join(broadcast_checked(batch.select(*KEY).distinct()), KEY, "left_semi")
+            log = log.unionByName(past.select(*columns))
+        last_event(log).select(*columns).write.mode("overwrite").parquet(f"{stream.states}/batch={batch_id}")
         rejects = rejected_adds(batch).select("event_id", "ts", *KEY, F.lit("rejected").alias("reason"))
-        missing = failed_removes(log).join(new, "event_id", "left_semi").select("event_id", "ts", *KEY, F.lit("missing").alias("reason"))
+        missing = failed_removes(log).join(batch.select("event_id"), "event_id", "left_semi")
+        missing = missing.select("event_id", "ts", *KEY, F.lit("missing").alias("reason"))
         rejects.unionByName(missing).write.mode("overwrite").parquet(f"{stream.errors}/batch={batch_id}")
 
     return write
 
 
-def run_cart_stream(events: DataFrame, root: str) -> CartStream:
+def run_cart_stream(events: DataFrame, root: str, compact: int = 100) -> CartStream:
     """Run a stream of log rows to the end of what is there, with the batch operators per batch.
 
     State and errors equal those of the batch form if events reach the stream in time order.
     All folders lie under ``root``, which every executor must reach; each batch overwrites its
     own folder, so a repeated batch does no harm.
     """
-    stream = CartStream(root)
+    stream = CartStream(root, compact)
     query = (
         events.writeStream.foreachBatch(_write_batch(stream)).outputMode("append")
         .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
@@ -119,9 +133,8 @@ def run_cart_stream(events: DataFrame, root: str) -> CartStream:
 
 def stream_state(spark: SparkSession, stream: CartStream) -> DataFrame:
     """Items in each cart after the last batch."""
-    last = spark.read.parquet(stream.states)
-    newest = last.select(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{stream.states}/batch={newest}").where(F.col("action") == "add").select(*KEY, "price")
+    newest = spark.read.parquet(stream.states).select(F.max("batch")).first()[0]
+    return stream.known(spark, newest + 1).where(F.col("action") == "add").select(*KEY, "price")
 
 
 def stream_errors(spark: SparkSession, stream: CartStream) -> DataFrame:

@@ -38,7 +38,8 @@ def test_last_price_wins_and_missing_removals_are_errors(spark):
     assert sorted(r["event_id"] for r in K.failed_removes(df).collect()) == [0, 4]
 
 
-def test_stream_equals_batch_and_plain_dict(spark, tmp_path):
+@pytest.mark.parametrize("compact", [1, 2, 100])
+def test_stream_equals_batch_and_plain_dict(spark, tmp_path, compact):
     rng = random.Random(11)
     steps = [(rng.choice(("add", "add", "remove")), rng.choice("abcdef"), rng.choice((-1.0, 1.0, 2.5, 4.0))) for _ in range(300)]
     df = log(spark, steps)
@@ -52,8 +53,8 @@ def test_stream_equals_batch_and_plain_dict(spark, tmp_path):
             del cart[item]
     assert {r["item"]: r["price"] for r in K.cart_state(df).collect()} == cart
     source = str(tmp_path / "log")
-    for lo in (0, 120, 240):  # three arrivals, three runs of the same stream
-        df.where(f"event_id >= {lo} and event_id < {lo + 120}").write.mode("append").parquet(source)
-        stream = K.run_cart_stream(spark.readStream.schema(df.schema).parquet(source), str(tmp_path / "out"))
+    for lo in (0, 60, 120, 180, 240):  # five arrivals, five runs of the same stream
+        df.where(f"event_id >= {lo} and event_id < {lo + 60}").write.mode("append").parquet(source)
+        stream = K.run_cart_stream(spark.readStream.schema(df.schema).parquet(source), str(tmp_path / "out"), compact)
     assert {r["item"]: r["price"] for r in K.stream_state(spark, stream).collect()} == cart
     assert {r["event_id"] for r in K.stream_errors(spark, stream).collect()} == errors
