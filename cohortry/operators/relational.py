@@ -129,12 +129,13 @@ def cum_avg(total: Column, count: Column) -> Column:
 def derive_label(events: DataFrame, key: str, date: str, amount: str, after, before, cutoff: float, name: str = "target") -> DataFrame:
     """1 where the amounts strictly between two dates add up to the cut-off.
 
-    Negative amounts are left out; a NULL amount is kept and adds nothing.
+    Negative amounts are left out; a NULL amount is kept and adds nothing.  The sum is
+    rounded at 6 digits, so that the order of addition cannot move it across the cut-off.
     """
     kept = events.where(
         (F.col(date) > F.lit(after)) & (F.col(date) < F.lit(before)) & F.coalesce(F.col(amount) >= 0, F.lit(True))
     )
-    return kept.groupBy(key).agg(F.sum(amount).alias("amount")).withColumn(name, F.coalesce(F.col("amount") >= cutoff, F.lit(False)).cast("int"))
+    return kept.groupBy(key).agg(F.round(F.sum(amount), 6).alias("amount")).withColumn(name, F.coalesce(F.col("amount") >= cutoff, F.lit(False)).cast("int"))
 
 
 def label_population(labels: DataFrame, derived: DataFrame, key: str, name: str = "target") -> DataFrame:

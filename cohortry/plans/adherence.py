@@ -247,7 +247,8 @@ def dppr_by_stages(refills: DataFrame, end: dt.date, min_fills: int = MIN_FILLS)
 
 
 def compliance(ratios: DataFrame, at: float = COMPLIANT_AT) -> DataFrame:
-    return ratios.withColumn("compliant", flag(F.col("dppr") >= at))
+    """1 from the cut on; compared at 9 digits, below which only the order of addition shows."""
+    return ratios.withColumn("compliant", flag(F.round("dppr", 9) >= at))
 
 
 # --- comparison with other measures -------------------------------------------------

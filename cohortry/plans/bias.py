@@ -76,9 +76,15 @@ def average_by_member(predicted: DataFrame, key: str = "member_id", columns: Seq
 
 
 def average_and_classify(predicted: DataFrame, key: str = "member_id", columns: Sequence[str] = RACE_COLUMNS, names: Sequence[str] = RACE_NAMES) -> DataFrame:
-    """Averaged probabilities with a flag on the strictly largest one; ties leave all 0."""
+    """Averaged probabilities with a flag on the strictly largest one; ties leave all 0.
+
+    Averages are compared at 12 digits: equal ones may differ in their last bits by the order
+    in which rows were added.
+    """
     averaged = average_by_member(predicted, key, columns)
-    return averaged.select("*", *argmax_onehot([f"{c}_avg" for c in columns], names))
+    compared = [f"_{c}" for c in columns]
+    averaged = averaged.withColumns({t: F.round(f"{c}_avg", 12) for t, c in zip(compared, columns)})
+    return averaged.select("*", *argmax_onehot(compared, names)).drop(*compared)
 
 
 def class_shares(classified: DataFrame, population: DataFrame | None = None, key: str = "member_id", names: Sequence[str] = RACE_NAMES) -> DataFrame:

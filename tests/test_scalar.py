@@ -72,3 +72,11 @@ def test_posterior_falls_back_on_the_default_prior(spark):
     assert out[1]["pred_u"] == pytest.approx(0.08 / 0.14) and out[1]["surname_matched"] == 1
     assert out[2]["pred_u"] == pytest.approx(0.25) and out[2]["surname_matched"] == 0
     assert out[3]["pred_u"] is None
+
+
+def test_equal_averages_are_ties_in_any_order(spark):
+    rows = [(m, *p) for m in range(40) for p in ((0.1, 0.2, 0.7), (0.2, 0.7, 0.1), (0.7, 0.1, 0.2))]
+    df = spark.createDataFrame(rows, "member_id int, a double, b double, c double").repartition(9)
+    out = B.average_and_classify(df, columns=["a", "b", "c"], names=["x", "y", "z"])
+    assert {(r["x"], r["y"], r["z"]) for r in out.collect()} == {(0, 0, 0)}
+    assert out.columns == ["member_id", "a_avg", "b_avg", "c_avg", "x", "y", "z"]
