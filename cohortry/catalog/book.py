@@ -84,7 +84,7 @@ VIEWS = {
         FROM events GROUP BY user_id, CAST(ts AS DATE)""",
     "players": """
         SELECT c_custkey AS PlayerID, CAST(c_custkey % 35 + 15 AS INTEGER) AS Age,
-               round(coalesce(paid, 0.0) / 100000, 4) AS PlayTimeHours, c_nationkey % 2 AS InGamePurchases,
+               round(coalesce(paid, 0.0) / 100000, 7) AS PlayTimeHours, c_nationkey % 2 AS InGamePurchases,
                CAST(coalesce(days, 0) AS INTEGER) AS SessionsPerWeek,
                CAST(c_custkey % 60 + 1 AS INTEGER) AS AvgSessionDurationMinutes,
                CAST(coalesce(n, 0) AS INTEGER) AS PlayerLevel, CAST(coalesce(done, 0) AS INTEGER) AS AchievementsUnlocked,

@@ -184,24 +184,40 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     return out.select(*groups, "n", *values)
 
 
+def _row_at(slim: DataFrame, order: Sequence[Column | str], k: int):
+    """The k-th row of a narrow frame in global order, or None if there are fewer."""
+    return global_rank(slim, order, "_rank").rows.where(F.col("_rank") == k).first()
+
+
 def top_k(df: DataFrame, score: str, key: str, k: int, small: int = 100_000) -> DataFrame:
     """The k rows with the largest score; on ties the smaller key comes first.
 
-    Up to ``small`` rows a bounded heap per task is enough; beyond that the global rank is
-    filtered, so no task ever receives the k rows.
+    Up to ``small`` rows a bounded heap per task is enough.  Beyond that only (score, key) is
+    sorted to find the last row that belongs, and the table is filtered by it (an action): no
+    task receives the k rows, and wide rows are not shuffled.
     """
-    order = [F.col(score).desc_nulls_last(), F.col(key).asc()]
     if k <= small:
-        return df.orderBy(*order).limit(k)
-    return global_rank(df, order, "_rank").rows.where(F.col("_rank") <= k).drop("_rank")
+        return df.orderBy(F.col(score).desc_nulls_last(), F.col(key).asc()).limit(k)
+    last = _row_at(df.select(score, key), [F.col(score).desc_nulls_last(), F.col(key).asc()], k)
+    if last is None:
+        return df
+    tied = F.col(score).eqNullSafe(F.lit(last[score])) & (F.col(key) <= F.lit(last[key]))
+    above = F.col(score).isNotNull() if last[score] is None else F.col(score) > F.lit(last[score])
+    return df.where(above | tied)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, small: int = 100_000) -> DataFrame:
-    """Exactly n rows (all rows if fewer), chosen by a seeded hash of the row key."""
-    order = [row_hash(key, seed=seed), F.col(key)]
+    """Exactly n rows (all rows if fewer), chosen by a seeded hash of the row key.
+
+    Beyond ``small`` rows the n-th hash is looked up first, as in ``top_k``.
+    """
+    h = row_hash(key, seed=seed)
     if n <= small:
-        return df.orderBy(*order).limit(n)
-    return global_rank(df, order, "_rank").rows.where(F.col("_rank") <= n).drop("_rank")
+        return df.orderBy(h, F.col(key)).limit(n)
+    last = _row_at(df.select(h.alias("_h"), key), ["_h", key], n)
+    if last is None:
+        return df
+    return df.where((h < last["_h"]) | ((h == last["_h"]) & (F.col(key) <= F.lit(last[key]))))
 
 
 def top_abs(df: DataFrame, column: str, n: int, groups: Sequence[str] = ()) -> DataFrame:

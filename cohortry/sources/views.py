@@ -118,7 +118,7 @@ def players(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select(
         F.col("c_custkey").alias("PlayerID"),
         (F.col("c_custkey") % 35 + 15).cast("int").alias("Age"),
-        F.round(F.coalesce("paid", F.lit(0.0)) / 100000, 4).alias("PlayTimeHours"),
+        F.round(F.coalesce("paid", F.lit(0.0)) / 100000, 7).alias("PlayTimeHours"),
         (F.col("c_nationkey") % 2).alias("InGamePurchases"),
         F.coalesce("days", none).cast("int").alias("SessionsPerWeek"),
         (F.col("c_custkey") % 60 + 1).cast("int").alias("AvgSessionDurationMinutes"),
