@@ -22,18 +22,18 @@ def _strict(c: str) -> str:
     return " AND ".join(f"round({c}_avg, 9) > round({o}_avg, 9)" for o in RACE_COLUMNS if o != c)
 
 
-CLASSIFIED = AVERAGES + ", classified AS (SELECT member_id, " + ", ".join(f"round({c}_avg, 6) AS {c}_avg" for c in RACE_COLUMNS) + ", " + ", ".join(
+CLASSIFIED = AVERAGES + ", classified AS (SELECT member_id, " + ", ".join(f"round({c}_avg, 9) AS {c}_avg" for c in RACE_COLUMNS) + ", " + ", ".join(
     f"CASE WHEN {_strict(c)} THEN 1 ELSE 0 END AS {n}" for c, n in zip(RACE_COLUMNS, RACE_NAMES)) + " FROM averaged)"
 
 
-@BOOK.add("average_by_member", with_views("probabilities") + AVERAGES + " SELECT member_id, " + ", ".join(f"round({c}_avg, 6) AS {c}_avg" for c in RACE_COLUMNS) + " FROM averaged")
+@BOOK.add("average_by_member", with_views("probabilities") + AVERAGES + " SELECT member_id, " + ", ".join(f"round({c}_avg, 9) AS {c}_avg" for c in RACE_COLUMNS) + " FROM averaged")
 def average_by_member(spark, folder):
-    return rounded(B.average_by_member(V.probabilities(spark, folder)))
+    return rounded(B.average_by_member(V.probabilities(spark, folder)), 9)
 
 
 @BOOK.add("average_and_classify", with_views("probabilities") + CLASSIFIED + " SELECT * FROM classified")
 def average_and_classify(spark, folder):
-    return rounded(B.average_and_classify(V.probabilities(spark, folder)))
+    return rounded(B.average_and_classify(V.probabilities(spark, folder)), 9)
 
 
 @BOOK.add("class_shares", with_views("probabilities") + CLASSIFIED + " SELECT COUNT(*) AS n, " + ", ".join(f"round(SUM({n}) * 100.0::DOUBLE / COUNT(*), 6) AS percent_{n}" for n in RACE_NAMES) + " FROM classified")
