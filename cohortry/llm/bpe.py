@@ -120,8 +120,8 @@ class TextEncoder(SpaceLed):
 
         self.bpe = ByteBpe(read_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.cache = Recent(self._made, entries=300_000)
-        self.first = Recent(self._alone, entries=20_000)
+        self.cache = Recent(self._made, entries=450_000)
+        self.first = Recent(self._opening, entries=100_000)
         self.pieces = Recent(self._pieces, entries=100_000)
         self.tails = {}
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, idfile, packing, tokens, warc
+from cohortry.llm import bpe, idfile, jaccard, packing, quality, sharding, tokens, toxicity, urls, vectors, warc
 from cohortry.llm.common import new_folder, table
 from cohortry.llm.encoders import SpaceLed, WordEnded
 
@@ -64,3 +64,93 @@ def packed(docs: DataFrame) -> DataFrame:
     ids = tokens.encoded(docs, SpaceLed, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, width=2)
     pieces = packing.pack(ids, window=1024, width=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op2_quality_rules(spark, sf_dir) -> DataFrame:
+    """Word, symbol, line and repetition counts of every document, and whether it is kept."""
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op2_quality_rules"] = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS words,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines,
+               list_distinct(list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[1-9]', '0', 'g'),
+                   '[ \t\x0B-\r]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS normal
+        FROM documents),
+    windows AS (
+        SELECT DISTINCT t, w.i AS i, w.v AS v FROM (
+            SELECT t, unnest(list_transform(range(len(words) - 4), lambda i: {'i': i, 'v': array_to_string(words[i + 1:i + 5], ' ')})) AS w
+            FROM (SELECT DISTINCT t, words FROM d) WHERE len(words) >= 5)),
+    twins AS (SELECT t, i FROM (SELECT t, i, count(*) OVER (PARTITION BY t, v) AS k FROM windows) WHERE k > 1),
+    repeats AS (SELECT t, sum(least(5, coalesce(following - i, 5))) AS n FROM (SELECT t, i, lead(i) OVER (PARTITION BY t ORDER BY i) AS following FROM twins) GROUP BY t),
+    line AS (SELECT DISTINCT host, md5(t) AS doc, unnest(normal) AS line FROM d),
+    hosts AS (SELECT host, count(DISTINCT doc) AS n FROM line GROUP BY host),
+    removed AS (SELECT host, line, min(doc) AS keeper FROM line GROUP BY host, line HAVING count(*) > 20 AND count(*) > 0.1 * (SELECT n FROM hosts h WHERE h.host = line.host)),
+    lost AS (SELECT host, doc, sum(len(string_split(line, ' '))) AS lost FROM line JOIN removed USING (host, line) WHERE doc <> keeper GROUP BY host, doc),
+    counts AS (
+        SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+               length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+               len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+               coalesce(l.lost, 0) AS lost, coalesce(list_sum(list_transform(normal, lambda x: len(string_split(x, ' ')))), 0) AS total
+        FROM d LEFT JOIN repeats r USING (t) LEFT JOIN lost l ON l.host = d.host AND l.doc = md5(d.t))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+               AND NOT (lost > 0 AND (total - lost < 10 OR total - lost < 0.3 * total)) AS kept
+    FROM counts"""
+
+
+@_query
+def op4_sharding(spark, sf_dir) -> DataFrame:
+    """Every document in one of 24 shards of near-equal bytes, equal texts together."""
+    rows = sharding.assign(table(spark, sf_dir, "documents"), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: (host, path, verdict): fixed by the task.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@_query
+def op5_url_filter(spark, sf_dir) -> DataFrame:
+    """Every page's URL judged by rules, else by trees on how it looks."""
+    rows = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@_query
+def op6_toxicity(spark, sf_dir) -> DataFrame:
+    """Every document's probability of being toxic, by its nearest labelled examples."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    rows = toxicity.scored(docs, model, keep_text=False)
+    held, score = toxicity.held_out(F.col("doc_id")), F.col("toxic_score")
+    return rows.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op8_jaccard_join(spark, sf_dir) -> DataFrame:
+    """Every document's class of near copies and the number of documents it is linked with."""
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
+@_query
+def op10_near_vectors(spark, sf_dir) -> DataFrame:
+    """Every embedding's links at a cosine of 0.9 and its component."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op10_near_vectors"] = """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+          AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept
+    FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = vec_id"""

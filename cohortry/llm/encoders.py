@@ -39,7 +39,7 @@ class _Chunked:
 
     def __init__(self, path: str):
         self.tok = _load(path)
-        self.cache = Recent(self._made, entries=300_000)
+        self.cache = Recent(self._made, entries=450_000)
         self.tails: dict[str, bytes] = {}
 
     def _alone(self, texts):
@@ -72,7 +72,26 @@ class SpaceLed(_Chunked):
         self.opens = np.zeros(size, bool)
         for token, i in self.tok.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")  # how byte 0x20 is spelt in the file
-        self.first = Recent(self._alone, entries=20_000)
+        self.first = Recent(self._opening, entries=100_000)
+
+    def _made(self, chunks):
+        """A line feed between a character and a letter is a piece of its own: what stands before and after it is known or made alone."""
+        pairs = [c.partition("\n") for c in chunks]
+        cut = [bool(a) and b[:1].isalpha() and not a[-1].isspace() for a, _, b in pairs]
+        left = [a if k else c for c, (a, _, _), k in zip(chunks, pairs, cut)]
+        known, older = self.cache.young, self.cache.old
+        absent = [c for c in dict.fromkeys(left) if c not in known and c not in older]
+        known.update(zip(absent, super()._made(absent)))
+        opening = self.first.all_of(b for (_, _, b), k in zip(pairs, cut) if k)
+        feed = self._tail("\n")
+        return [(known[a] if a in known else older[a]) + (feed + opening[b] if k else b"") for a, (_, _, b), k in zip(left, pairs, cut)]
+
+    def _opening(self, texts):
+        """Ids of what stands at the start of a line: letters, then anything that does not join them."""
+        words = [t.rstrip(".,") for t in texts]
+        keys = [w if w.isalpha() else t for w, t in zip(words, texts)]
+        ids = dict(zip(dict.fromkeys(keys), self._alone(list(dict.fromkeys(keys)))))
+        return [ids[k] + (self._tail(t[len(k) :]) if k != t else b"") for k, t in zip(keys, texts)]
 
     def _chunks(self, chunks):
         """Ids of " " + chunk for each chunk: plain chunks are run together and cut at the ids that start with a space."""
@@ -131,7 +150,7 @@ class WordEnded(_Chunked):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        parts = [t.split(" ") for t in texts]
+        parts = [t.replace("\n", " ").split(" ") for t in texts]  # both are dropped
         get = self.cache.all_of(chain.from_iterable(parts)).__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
