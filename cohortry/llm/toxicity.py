@@ -24,8 +24,9 @@ from cohortry.llm.common import free_name, slices, stored, text_or_empty
 
 #: Bounds: labelled examples (the first by a hash of their id) and terms (the clearest).
 MOST_EXAMPLES, MOST_TERMS = 20_000, 2_000
-#: A term must be in so many examples and stand so many standard deviations above chance.
-LEAST_EXAMPLES, LEAST_Z = 5, 6.0
+#: A term must be in so many examples, stand so many standard deviations above chance, and its
+#: examples must be toxic so many times as often as all are.
+LEAST_EXAMPLES, LEAST_Z, LEAST_LIFT = 5, 6.0, 3.0
 NEIGHBOURS, BLOCK = 15, 64
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, label: int>>"
 
@@ -88,38 +89,42 @@ class BlockMaxIndex:
         self.max_end = np.r_[first[1:], len(own)] if len(first) else first
         self.max_from = np.searchsorted(term[by][first], np.arange(n_terms + 1)) if len(first) else np.zeros(n_terms + 1, np.int64)
 
+    def _add(self, score, terms_, weights, live) -> None:
+        """Add the products of all terms with the examples in the blocks marked."""
+        for t, w in zip(terms_, weights):
+            a, b = self.max_from[t], self.max_from[t + 1]
+            some = live[self.max_block[a:b]]
+            start, end = self.max_start[a:b][some], self.max_end[a:b][some]
+            length = end - start
+            total = int(length.sum())
+            if total:
+                at = np.arange(total) + np.repeat(start - np.cumsum(length) + length, length)
+                score[self.at[at]] += w * self.weight[at]
+
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest, best first (ties: lower place); only cosines above 0."""
+        """Places and cosines of the k nearest, best first (ties: lower place); only cosines above 0.
+
+        The blocks with the highest bounds are compared first; then, at once, every other block whose
+        bound reaches the k-th best cosine among them.
+        """
         bound = np.zeros(self.blocks)
         for t, w in zip(terms_, weights):
             a, b = self.max_from[t], self.max_from[t + 1]
             bound[self.max_block[a:b]] += w * self.max_weight[a:b]
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        best, least = np.zeros(0), 0.0
-        places = np.zeros(0, np.int64)
-        for start in range(0, len(todo), 8):
-            group = todo[start : start + 8]
-            if len(best) >= k and bound[group[0]] < least - 1e-9:
-                break
-            local = np.zeros((len(group), self.block))
-            slot = {int(b): i for i, b in enumerate(group)}
-            for t, w in zip(terms_, weights):
-                a, b = self.max_from[t], self.max_from[t + 1]
-                mine = self.max_block[a:b]
-                for b_id, i in slot.items():
-                    j = np.searchsorted(mine, b_id)
-                    if j < len(mine) and mine[j] == b_id:
-                        s, e = self.max_start[a + j], self.max_end[a + j]
-                        local[i, self.at[s:e] - b_id * self.block] += w * self.weight[s:e]
-            got = local.ravel()
-            where = (group[:, None] * self.block + np.arange(self.block)).ravel()
-            some = got > 0
-            best, places = np.r_[best, got[some]], np.r_[places, where[some]]
-            top = np.lexsort((places, -best))[:k]
-            best, places = best[top], places[top]
-            least = best[-1] if len(best) == k else 0.0
-        return places, best
+        score = np.zeros(self.blocks * self.block)
+        first = min(-(-2 * k // self.block) + 1, self.blocks)
+        least = np.partition(bound, self.blocks - first)[self.blocks - first]
+        live = (bound >= least) & (bound > 0)
+        self._add(score, terms_, weights, live)
+        if not live.all():
+            reached = score.reshape(-1, self.block)[live].ravel()
+            least = np.partition(reached, len(reached) - k)[len(reached) - k] if len(reached) >= k else 0.0
+            more = (bound >= least - 1e-9) & (bound > 0) & ~live
+            if more.any():
+                self._add(score, terms_, weights, more)
+        places = np.flatnonzero(score > 0)
+        top = places[np.lexsort((places, -score[places]))[:k]]
+        return top, score[top]
 
 
 class Model:
@@ -128,6 +133,7 @@ class Model:
     def __init__(self, vocabulary, idf, examples, prior):
         # examples: (doc_id, label, term numbers, counts)
         self.vocabulary, self.idf, self.prior = vocabulary, idf, prior
+        self.known: dict = {}
         self.index, self.ids, self.labels, self.knots = None, [], np.zeros(0), (np.zeros(0), np.zeros(0))
         self.without = prior
         vectors = [(e, self.vector(e[2], e[3])) for e in examples]
@@ -160,9 +166,16 @@ class Model:
 
     def score(self, numbers, counts) -> tuple[float, list[tuple]]:
         """Probability of the toxic label, and the three nearest examples (doc_id, cosine, label)."""
-        vector = self.vector(numbers, counts)
-        if self.index is None or not len(vector[0]):
+        if self.index is None or not len(numbers):
             return self.without, []
+        key = tuple(sorted(zip(numbers, counts)))
+        if key not in self.known:
+            if len(self.known) >= 50_000:  # bounds memory only
+                self.known.clear()
+            self.known[key] = self._scored(self.vector(numbers, counts))
+        return self.known[key]
+
+    def _scored(self, vector) -> tuple[float, list[tuple]]:
         places, cosines = self._neighbours(vector)
         p = float(np.interp(self._vote(vector), *self.knots)) if len(places) else self.without
         return p, [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(places[:3], cosines[:3])]
@@ -232,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     by_term = sample.select("text", "toxic").mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     p = positive / n
     z = (F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p) or 1.0))
-    clear = by_term.where(F.col("n") >= LEAST_EXAMPLES).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    clear = by_term.where(F.col("n") >= LEAST_EXAMPLES).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("k") >= min(LEAST_LIFT * p, 0.9) * F.col("n")))
     vocabulary = Vocabulary([r["term"] for r in clear.orderBy(F.col("z").desc(), "term").limit(MOST_TERMS).collect()])
     size = len(vocabulary.number)
 
