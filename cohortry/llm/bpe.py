@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Recent, free_name, slices, text_or_empty
-from cohortry.llm.encoders import SpaceLed
+from cohortry.llm.common import free_name, slices, text_or_empty
+from cohortry.llm.encoders import SpaceLed, _Chunks
 
 #: Bound of the remembered pairs in a worker; on reaching it they are forgotten and found again.
 _PAIRS = 2_000_000
@@ -120,27 +120,22 @@ class TextEncoder(SpaceLed):
 
         self.bpe = ByteBpe(read_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.cache = Recent(self._made, entries=450_000)
-        self.first = Recent(self._opening, entries=100_000)
-        self.pieces = Recent(self._pieces, entries=100_000)
-        self.tails = {}
-
-    def _pieces(self, pieces):
-        return [np.array(self.bpe.piece(p.encode().decode("latin-1")), "<u4").tobytes() for p in pieces]
-
-    def _alone(self, texts):
-        out = []
-        for t in texts:
-            parts = self.split(t)
-            out.append(b"".join(map(self.pieces.all_of(parts).__getitem__, parts)))
-        return out
+        self.form, self.tails = "I", {}
+        self.cache, self.first = _Chunks(self._chunk), _Chunks(self._opening, entries=100_000)
+        self.pieces = _Chunks(self._of_text, entries=100_000)
+
+    def _spell(self, piece: str) -> str:
+        return piece.encode().decode("latin-1")
+
+    def _piece(self, spelt: str) -> bytes:
+        return self._pack(self.bpe.piece(spelt))
+
+    def _of_text(self, piece: str) -> bytes:
+        return self._piece(self._spell(piece))
 
-    def _chunks(self, chunks):
-        letters = [" " + c for c in chunks if c.isalpha()]  # one piece each
-        ids = dict(zip(letters, self._pieces(letters)))
-        rest = [" " + c for c in chunks if not c.isalpha()]
-        ids.update(zip(rest, self._alone(rest)))
-        return [ids[" " + c] for c in chunks]
+    def _alone(self, text: str) -> bytes:
+        self.pieces.turn()
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
 
 _MADE: dict = {}

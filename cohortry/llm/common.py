@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import filterfalse
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,31 +45,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-class Recent:
-    """A bounded cache of made values: two generations, the older one dropped as a whole.
-
-    It only saves work; what is returned never depends on its size.
-    """
-
-    def __init__(self, make: Callable[[list[str]], Sequence], entries: int = 250_000, chars: int = 8_000_000):
-        self.make, self.entries, self.chars = make, entries, chars
-        self.young, self.old, self.held = {}, {}, 0
-
-    def all_of(self, keys: Iterable[str]) -> dict:
-        """A dict that has every key."""
-        if len(self.young) > self.entries or self.held > self.chars:
-            self.old, self.young, self.held = self.young, {}, 0
-        young, old = self.young, self.old
-        absent = set(filterfalse(young.__contains__, keys))
-        if absent:
-            self.held += sum(map(len, absent))
-            again = absent.intersection(old)
-            young.update(zip(again, map(old.__getitem__, again)))
-            new = list(absent.difference(again))
-            young.update(zip(new, self.make(new)))
-        return young
-
-
 def slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``limit`` bytes of the given text column, at least one row each."""
     text = batch.column(column)

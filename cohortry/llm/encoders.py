@@ -1,24 +1,14 @@
 """Encoding of many texts with the tokenizers library, each distinct chunk once.
 
 A chunk is what stands between two spaces.  Under both vocabularies no merge reaches over a space
-that has another kind of character on at least one side, so chunks are encoded alone and the ids of
-a text are those of its chunks.  Texts with a space between two white-space characters are encoded
-as they are.
+that has no white space after it, so chunks are encoded alone and the ids of a text are those of its
+chunks.  Texts in which white space follows a space are encoded as they are where that matters.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain, islice
-
-import numpy as np
-
-from cohortry.llm.common import Recent
-
-_INSIDE_RUN = re.compile(r"\s \s")
-#: Candidates for a mark between chunks; one that is a single id of its own is taken.
-_MARKS = "☃♔✡♪★♥"
-
+import struct
+from itertools import islice
 
 def _load(path: str):
     from tokenizers import Tokenizer
@@ -30,136 +20,145 @@ def _load(path: str):
     return t
 
 
-def _packed(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def _spelling() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_SPELT = dict(enumerate(_spelling()))
+
+
+class _WhiteRun(Exception):
+    """A piece shows that a space has white space after it."""
+
+
+class _Chunks(dict):
+    """Packed ids by chunk, made when first met; two generations, the older one dropped as a whole.
+
+    It only saves work; what it gives never depends on its size.
+    """
+
+    def __init__(self, make, entries: int = 300_000, chars: int = 8_000_000):
+        super().__init__()
+        self.make, self.entries, self.chars, self.old, self.held = make, entries, chars, {}, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        self[chunk] = ids
+        self.held += len(chunk)
+        return ids
+
+    def turn(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.entries or self.held > self.chars:
+            self.old, self.held = dict(self), 0
+            self.clear()
 
 
 class _Chunked:
-    """A cache of chunks.  Letters followed by points or commas are two pieces under either pattern, so such a chunk is put together from the word's ids and those of its tail."""
+    """Letters, and letters followed by points or commas, are pieces of their own under either pattern: the model gets them as they are, anything else goes through the whole tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         self.tok = _load(path)
-        self.cache = Recent(self._made, entries=450_000)
+        self.tokenize = self.tok.model.tokenize
+        self.form = {2: "H", 4: "I"}[width]
         self.tails: dict[str, bytes] = {}
+        self.cache = _Chunks(self._chunk)
 
-    def _alone(self, texts):
-        return [_packed(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pack(self, ids) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.form}", *ids)
 
-    def _made(self, chunks):
-        words = [c.rstrip(".,") for c in chunks]
-        keys = [w if w.isalpha() else c for w, c in zip(words, chunks)]
-        known, older = self.cache.young, self.cache.old
-        own = dict.fromkeys(keys)
-        need = [k for k in own if k not in known and k not in older]
-        known.update(zip(need, self._chunks(need)))
-        get, tail = (lambda k: known[k] if k in known else older[k]), self._tail
-        return [get(k) if k is c or k == c else get(k) + tail(c[len(k) :]) for c, k in zip(chunks, keys)]
+    def _alone(self, text: str) -> bytes:
+        return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, spelt: str) -> bytes:
+        return self._pack([t.id for t in self.tokenize(spelt)])
 
     def _tail(self, tail: str) -> bytes:
-        if tail not in self.tails:
+        ids = self.tails.get(tail)
+        if ids is None:
             if len(self.tails) > 1000:
                 self.tails.clear()
-            self.tails[tail] = self._alone([tail])[0]
-        return self.tails[tail]
+            ids = self.tails[tail] = self._alone(tail)
+        return ids
 
 
 class SpaceLed(_Chunked):
     """Byte-level vocabularies in which a word carries the space before it."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        size = self.tok.get_vocab_size()
-        self.opens = np.zeros(size, bool)
-        for token, i in self.tok.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")  # how byte 0x20 is spelt in the file
-        self.first = Recent(self._opening, entries=100_000)
-
-    def _made(self, chunks):
-        """A line feed between a character and a letter is a piece of its own: what stands before and after it is known or made alone."""
-        pairs = [c.partition("\n") for c in chunks]
-        cut = [bool(a) and b[:1].isalpha() and not a[-1].isspace() for a, _, b in pairs]
-        left = [a if k else c for c, (a, _, _), k in zip(chunks, pairs, cut)]
-        known, older = self.cache.young, self.cache.old
-        absent = [c for c in dict.fromkeys(left) if c not in known and c not in older]
-        known.update(zip(absent, super()._made(absent)))
-        opening = self.first.all_of(b for (_, _, b), k in zip(pairs, cut) if k)
-        feed = self._tail("\n")
-        return [(known[a] if a in known else older[a]) + (feed + opening[b] if k else b"") for a, (_, _, b), k in zip(left, pairs, cut)]
-
-    def _opening(self, texts):
-        """Ids of what stands at the start of a line: letters, then anything that does not join them."""
-        words = [t.rstrip(".,") for t in texts]
-        keys = [w if w.isalpha() else t for w, t in zip(words, texts)]
-        ids = dict(zip(dict.fromkeys(keys), self._alone(list(dict.fromkeys(keys)))))
-        return [ids[k] + (self._tail(t[len(k) :]) if k != t else b"") for k, t in zip(keys, texts)]
-
-    def _chunks(self, chunks):
-        """Ids of " " + chunk for each chunk: plain chunks are run together and cut at the ids that start with a space."""
-        out = dict.fromkeys(chunks)
-        plain = [c for c in chunks if c and c.isprintable()]  # no white space in them
-        runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for run, e in zip(runs, self.tok.encode_batch_fast(["".join([" " + c for c in run]) for run in runs], add_special_tokens=False)):
-            ids = np.asarray(e.ids, "<u4")
-            raw, cuts = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * 4).tolist()
-            if len(cuts) != len(run):
-                raise AssertionError("a chunk without its space")
-            for c, a, b in zip(run, cuts, [*cuts[1:], len(raw)]):
-                out[c] = raw[a:b]
-        rest = [c for c in chunks if out[c] is None]
-        out.update(zip(rest, self._alone([" " + c for c in rest])))
-        return [out[c] for c in chunks]
+    def __init__(self, path: str, width: int = 4):
+        super().__init__(path, width)
+        self.first = _Chunks(self._opening, entries=100_000)
+
+    def _spell(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(_SPELT)
+
+    def _chunk(self, c: str) -> bytes:
+        """Ids of " " + c."""
+        word = c.rstrip(".,")
+        if word.isalpha():
+            if len(word) < len(c):
+                return self.cache[word] + self._tail(c[len(word) :])
+            return self._piece(self._spell(" " + c))
+        if not c or c[0].isspace():
+            raise _WhiteRun
+        a, feed, b = c.partition("\n")
+        if a and b[:1].isalpha() and not a[-1].isspace():
+            # a line feed between another character and a letter is a piece of its own
+            return self.cache[a] + self._tail(feed) + self.first[b]
+        return self._alone(" " + c)
+
+    def _opening(self, c: str) -> bytes:
+        """Ids of what stands at the start of a text or a line."""
+        word = c.rstrip(".,")
+        if word.isalpha():
+            own = self._piece(self._spell(word))
+            return own + self._tail(c[len(word) :]) if len(word) < len(c) else own
+        return self._alone(c) if c else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        parts = [None if _INSIDE_RUN.search(t) else t.split(" ") for t in texts]
-        after = self.cache.all_of(chain.from_iterable(filter(None, parts)))
-        first = self.first.all_of(p[0] for p in parts if p)
-        get = after.__getitem__
-        out = [None if p is None else first[p[0]] + b"".join(map(get, islice(p, 1, None))) for p in parts]
-        whole = [i for i, p in enumerate(parts) if p is None]
-        for i, b in zip(whole, self._alone([texts[i] for i in whole])):
-            out[i] = b
+        """Packed little-endian ids of each text."""
+        cache, first, out = self.cache, self.first, []
+        for t in texts:
+            parts = t.split(" ")
+            try:
+                out.append(first[parts[0]] + b"".join(map(cache.__getitem__, islice(parts, 1, None))))
+            except _WhiteRun:
+                out.append(self._alone(t))
+            cache.turn()
+            first.turn()
         return out
 
 
 class WordEnded(_Chunked):
     """Vocabularies that drop white space and mark the end of a word."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        found = ((m, self.tok.encode(m, add_special_tokens=False).ids) for m in _MARKS)
-        self.mark, ids = next((m, ids) for m, ids in found if len(ids) == 1)
-        self.mark_id = ids[0]
-
-    def _chunks(self, chunks):
-        """Ids of each chunk: many are run together with a mark between them and cut at its id."""
-        out = dict.fromkeys(chunks)
-        plain = [c for c in chunks if self.mark not in c]
-        runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        between = f" {self.mark} "
-        for run, e in zip(runs, self.tok.encode_batch_fast([between.join(run) for run in runs], add_special_tokens=False)):
-            ids = np.asarray(e.ids, "<u4")
-            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
-            if len(cuts) != len(run) - 1:
-                run = []  # a chunk spells the mark in another way: alone, below
-            for c, a, b in zip(run, [0, *(x + 4 for x in cuts)], [*cuts, len(raw)]):
-                out[c] = raw[a:b]
-        rest = [c for c in chunks if out[c] is None]
-        out.update(zip(rest, self._alone(rest)))
-        return [out[c] for c in chunks]
+    def _chunk(self, c: str) -> bytes:
+        word = c.rstrip(".,")
+        if word.isalpha() and word.isascii():  # nothing to normalise but the case
+            if len(word) < len(c):
+                return self.cache[word] + self._tail(c[len(word) :])
+            return self._piece(c.lower())
+        return self._alone(c)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]  # both are dropped
-        get = self.cache.all_of(chain.from_iterable(parts)).__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        """Packed little-endian ids of each text."""
+        cache, out = self.cache, []
+        for t in texts:
+            out.append(b"".join(map(cache.__getitem__, t.replace("\n", " ").split(" "))))  # both are dropped
+            cache.turn()
+        return out
 
 
 _MADE: dict = {}
 
 
-def encoder(kind: type, path: str):
-    """One encoder per kind and file in each worker process, kept between tasks."""
-    if (kind, path) not in _MADE:
-        _MADE[kind, path] = kind(path)
-    return _MADE[kind, path]
+def encoder(kind: type, path: str, width: int = 4):
+    """One encoder per kind, file and width in each worker process, kept between tasks."""
+    if (kind, path, width) not in _MADE:
+        _MADE[kind, path, width] = kind(path, width)
+    return _MADE[kind, path, width]

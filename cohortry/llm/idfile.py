@@ -63,17 +63,17 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")[:n]
 
 
-def _file(docs: list, counts: list[int], ranks: np.ndarray) -> bytes:
+def _file(docs: list, counts: list[int], ranks: np.ndarray, before: int) -> bytes:
     control, data = pack_ranks(ranks)
-    head = json.dumps({"docs": len(docs), "ids": len(ranks), "control": len(control), "data": len(data)}).encode()
+    head = json.dumps({"docs": len(docs), "ids": len(ranks), "before": before, "control": len(control), "data": len(data)}).encode()
     null = np.array([d is None for d in docs], np.uint8).tobytes()
     keys = np.array([0 if d is None else d for d in docs], "<i8").tobytes()
     body = b"".join([len(head).to_bytes(4, "little"), head, null, keys, np.array(counts, "<i8").tobytes(), control, data])
     return MAGIC + zlib.crc32(body).to_bytes(4, "little") + body
 
 
-def _read(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """doc ids, ids per document, and all ranks of a file."""
+def _read(content: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
+    """The ids before the file in its part, doc ids, ids per document, and all ranks of a file."""
     if content[:4] != MAGIC or zlib.crc32(memoryview(content)[8:]) != int.from_bytes(content[4:8], "little"):
         raise ValueError("not a whole file of ranks")
     at = 12 + int.from_bytes(content[8:12], "little")
@@ -84,7 +84,7 @@ def _read(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     counts = np.frombuffer(content, "<i8", n, at + 9 * n)
     at += 17 * n
     control, data = content[at : at + head["control"]], content[at + head["control"] :]
-    return [None if x else k for x, k in zip(null.tolist(), keys.tolist())], counts, unpack_ranks(control, data, head["ids"])
+    return head["before"], [None if x else k for x, k in zip(null.tolist(), keys.tolist())], counts, unpack_ranks(control, data, head["ids"])
 
 
 def rank_ids(tokens: DataFrame, width: int = 4) -> np.ndarray:
@@ -123,13 +123,14 @@ def write(tokens: DataFrame, folder: str, width: int = 4, file_ids: int = 16_000
     rank_of[by_rank] = np.arange(len(by_rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, docs, counts, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, number, before, docs, counts, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
 
         def put():
-            nonlocal number, docs, counts, ids, held
+            nonlocal number, before, docs, counts, ids, held
             name = f"part-{part:07d}-{number:05d}.rvb"
-            put_file(f"{folder}/data", name, _file(docs, counts, rank_of[np.frombuffer(b"".join(ids), f"<u{width}")]))
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64())], ["file", "docs", "ids"])
+            put_file(f"{folder}/data", name, _file(docs, counts, rank_of[np.frombuffer(b"".join(ids), f"<u{width}")], before))
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64())], ["part", "file", "docs", "ids"])
+            before += held
             number, docs, counts, ids, held = number + 1, [], [], [], 0
             return row
 
@@ -145,37 +146,37 @@ def write(tokens: DataFrame, folder: str, width: int = 4, file_ids: int = 16_000
             yield put()
 
     ordered = tokens.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
-    ordered.mapInArrow(run, "file string, docs long, ids long").write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(run, "part long, file string, docs long, ids long").write.parquet(f"{folder}/manifest")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in a folder written by ``write``.
 
     ``start`` counts the ids of all documents before it; ``ids`` are packed little-endian unsigned
-    32-bit ids.  One row per file goes through the driver.
+    32-bit ids.  One number per part (task of the writer) goes through the driver; where a file stands
+    in its part is in its head.
     """
     by_rank = np.array([r["id"] for r in spark.read.parquet(f"{folder}/vocabulary").orderBy("rank").collect()], "<u4")
-    starts, total = [], 0
-    for r in spark.read.parquet(f"{folder}/manifest").orderBy("file").collect():
-        starts.append((r["file"], total))
+    starts, total = {}, 0
+    for r in spark.read.parquet(f"{folder}/manifest").groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect():
+        starts[r["part"]] = total
         total += r["ids"]
-    schema = "file string, doc_id long, n_tokens long, in_file long, ids binary"
+    schema = "doc_id long, start long, n_tokens long, ids binary"
     if not starts:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                docs, counts, ranks = _read(content.as_py())
+                before, docs, counts, ranks = _read(content.as_py())
+                before += starts[int(name.split("-")[1])]
                 raw, ends = by_rank[ranks].tobytes(), np.cumsum(counts)
                 for at in range(0, len(docs), 1000):
                     to = min(at + 1000, len(docs))
-                    n, before = counts[at:to], (ends - counts)[at:to]
-                    ids = [raw[4 * s : 4 * (s + k)] for s, k in zip(before.tolist(), n.tolist())]
-                    cols = [pa.array([name] * (to - at)), pa.array(docs[at:to], pa.int64()), pa.array(n), pa.array(before), pa.array(ids, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["file", "doc_id", "n_tokens", "in_file", "ids"])
+                    n, own = counts[at:to], (ends - counts)[at:to]
+                    ids = [raw[4 * s : 4 * (s + k)] for s, k in zip(own.tolist(), n.tolist())]
+                    cols = [pa.array(docs[at:to], pa.int64()), pa.array(before + own), pa.array(n), pa.array(ids, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rvb").load(f"{folder}/data")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInArrow(run, schema).join(spark.createDataFrame(starts, "file string, before long"), "file")
-    return rows.select("doc_id", (F.col("before") + F.col("in_file")).alias("start"), "n_tokens", "ids")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, schema)

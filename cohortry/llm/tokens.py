@@ -20,22 +20,15 @@ def encoded(docs: DataFrame, kind: type, path: str, end_id: int, width: int = 4,
     alone.  ``width`` is the number of bytes per id (2 if every id is below 65,536).  ``row`` is
     unique even where rows or keys repeat, and fixed once stored.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], f"<u{width}").tobytes()
     kind_name = kind.__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoders.encoder(getattr(encoders, kind_name), path)
+        enc = encoders.encoder(getattr(encoders, kind_name), path, width)
         for b in batches:
             for part in slices(b, 1):
                 ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                if width != 4:
-                    flat = np.frombuffer(b"".join(ids), "<u4")
-                    if len(flat) and flat.max() >= 1 << (8 * width):
-                        raise ValueError("an id does not fit the given width")
-                    flat = flat.astype(f"<u{width}").tobytes()
-                    ends = np.cumsum(n) * width
-                    ids = [flat[e - k * width : e] for e, k in zip(ends.tolist(), n.tolist())]
+                n = np.array([len(x) // width for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(n)], ["doc_id", "ids", "n"])
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
