@@ -123,7 +123,10 @@ def judged(docs: DataFrame, source: str = "source", text: str = "text") -> DataF
 
 
 def kept(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """The documents that ``judged`` keeps, with the columns they came with."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_t"), F.col(source).alias("_s")).transform(
-        lambda d: judged(d, "_s", "_t").where("kept").select("_row.*")
-    )
+    """The documents that ``judged`` keeps, with the columns they came with.
+
+    Runs a job: rows and verdicts are stored first.  A filter on the verdict would otherwise be pushed
+    through every step of the counts, each of which would be spelt out again inside it.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), F.col(source).alias("_source"))
+    return stored(judged(rows, "_source", "_text").select("_row", "kept"), "verdicts").where("kept").select("_row.*")
