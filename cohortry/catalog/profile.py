@@ -161,7 +161,7 @@ def top_k(spark, folder):
 
 @BOOK.add("top_k_large", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2000")
 def top_k_large(spark, folder):
-    return R.top_k(V.table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 2000, small=100)
+    return R.top_k(V.table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 2000)
 
 
 @BOOK.add("top_abs", "SELECT c_mktsegment, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY abs(c_acctbal) DESC, c_acctbal) AS r FROM customer) WHERE r <= 5")
@@ -176,7 +176,7 @@ def sample_n(spark, folder):
 
 @BOOK.add("sample_n_size", "SELECT COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS n_keys FROM (SELECT o_orderkey FROM orders LIMIT 1000)")
 def sample_n_size(spark, folder):
-    s = R.sample_n(V.table(spark, folder, "orders"), 1000, "o_orderkey", small=10)
+    s = R.sample_n(V.table(spark, folder, "orders"), 1000, "o_orderkey")
     return s.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_keys"))
 
 

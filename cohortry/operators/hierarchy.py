@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.session import broadcast_checked, materialize
+from cohortry.session import materialize
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def descendants(nodes: DataFrame, root_ids: Iterable[int]) -> DataFrame:
     while True:
         step = frontier.select(F.col("node_id").alias("_up"), F.col("level").alias("_up_level"))
         frontier = materialize(
-            nodes.join(broadcast_checked(step), (nodes["parent_id"] == F.col("_up")) & (nodes["level"] == F.col("_up_level") + 1)).drop("_up", "_up_level")
+            nodes.join(step, (nodes["parent_id"] == F.col("_up")) & (nodes["level"] == F.col("_up_level") + 1)).drop("_up", "_up_level")
         )
         if frontier.isEmpty():
             return found if found is not None else frontier
@@ -66,14 +66,14 @@ def build_crosswalk(nodes: DataFrame, codes: DataFrame, root_ids: Iterable[int],
         below = below.where(~F.col("parent_id").isin(not_parents))
     if not_nodes:
         below = below.where(~F.col("node_id").isin(not_nodes))
-    below = broadcast_checked(below.select("node_id", "node_name").distinct())
+    below = below.select("node_id", "node_name").distinct()
     return preferred_codes(codes).join(below, "node_id").select("node_id", "node_name", "code").distinct()
 
 
 def leaf_codes(nodes: DataFrame, codes: DataFrame) -> DataFrame:
     """Leaves of the tree with their preferred codes."""
     leaves = nodes.where(F.col("is_leaf") == 1)
-    return preferred_codes(codes).join(broadcast_checked(leaves), "node_id")
+    return preferred_codes(codes).join(leaves, "node_id")
 
 
 def coverage(used: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import row_hash, unit_hash
 from cohortry.operators.ranking import global_rank, rank_within
-from cohortry.session import broadcast_checked, materialize
+from cohortry.session import materialize
 
 MAX_BLOCKS = 20_000  # keeps the table of block centres to a few MB per 100 dimensions
 
@@ -113,7 +113,7 @@ def knn(points: DataFrame, k: int, block: int = 2048, seed: int = 42, group: str
     assign = _nearest_pivot(np.array([r["features"] for r in pivots]))
     placed = points.mapInPandas(assign, "id bigint, features array<double>, grp string, cell int, to_pivot double")
     ranked = global_rank(placed, ["grp", "cell", "to_pivot", "id"], "_rank").rows
-    ranked = ranked.join(broadcast_checked(ranked.groupBy("grp").agg(F.min("_rank").alias("_first"))), "grp")
+    ranked = ranked.join(ranked.groupBy("grp").agg(F.min("_rank").alias("_first")), "grp")
     # blocks of a group are numbered from its first rank on, so numbers of two groups never meet
     number = F.col("_first") + F.floor((F.col("_rank") - F.col("_first")) / block)
     blocks = ranked.select(number.cast("bigint").alias("block"), "grp", "id", "features")

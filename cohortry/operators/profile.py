@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import columns_of
 from cohortry.operators.ranking import exact_quantiles
-from cohortry.session import broadcast_checked
 
 
 def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -125,7 +124,7 @@ def box_stats(df: DataFrame, column: str, by: str, whisker: float = 1.5) -> Data
     x = F.col(column).cast("double")
     inside = x.between(F.col("_lo"), F.col("_hi"))
     return (
-        df.select(by, column).where(F.col(column).isNotNull()).join(broadcast_checked(q), by)
+        df.select(by, column).where(F.col(column).isNotNull()).join(q, by)
         .groupBy(by, "n", "q25", "q50", "q75")
         .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
     )
@@ -154,7 +153,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = (), low
     )
     if by:
         totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
-        counts = counts.join(broadcast_checked(totals), list(by))
+        counts = counts.join(totals, list(by))
     else:
         counts = counts.withColumn("_all", counts.agg(F.sum("n")).scalar())
     return counts.select(

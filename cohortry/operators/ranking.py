@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import row_hash
-from cohortry.session import broadcast_checked, materialize
+from cohortry.session import materialize
 
 _IDX = "_idx"
 _PART = "_part"
@@ -73,7 +73,7 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | s
     ranked = global_rank(df, [*groups, *order], "_rank").rows
     first = materialize(ranked.groupBy(*groups).agg((F.min("_rank") - 1).alias("_before")))
     return (
-        ranked.join(broadcast_checked(first), list(groups))
+        ranked.join(first, list(groups))
         .withColumn(name, F.col("_rank") - F.col("_before"))
         .drop("_rank", "_before")
     )
@@ -167,7 +167,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     run = _cumulate(rows, {"_cum": "_c"}, groups)
     if groups:
         n = materialize(rows.groupBy(*groups).agg(F.sum("_c").alias("n")))
-        run = run.join(broadcast_checked(n), list(groups))
+        run = run.join(n, list(groups))
     else:
         run = run.withColumn("n", rows.agg(F.sum("_c")).scalar())
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
@@ -184,40 +184,49 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     return out.select(*groups, "n", *values)
 
 
-def _row_at(slim: DataFrame, order: Sequence[Column | str], k: int):
-    """The k-th row of a narrow frame in global order, or None if there are fewer."""
-    return global_rank(slim, order, "_rank").rows.where(F.col("_rank") == k).first()
+def _first_k(df: DataFrame, score: Column, descending: bool, key: str, k: int) -> DataFrame:
+    """Exactly ``min(k, n)`` rows that come first by score, then by key (an action).
 
-
-def top_k(df: DataFrame, score: str, key: str, k: int, small: int = 100_000) -> DataFrame:
-    """The k rows with the largest score; on ties the smaller key comes first.
-
-    Up to ``small`` rows a bounded heap per task is enough.  Beyond that only (score, key) is
-    sorted to find the last row that belongs, and the table is filtered by it (an action): no
-    task receives the k rows, and wide rows are not shuffled.
+    Only the counts of (score, key) are ordered.  The pair that holds row k becomes a literal: rows
+    before it belong, and of the rows equal to it as many as are missing.  NULL scores come last
+    when descending and first when not; NULL keys come first.
     """
-    if k <= small:
-        return df.orderBy(F.col(score).desc_nulls_last(), F.col(key).asc()).limit(k)
-    last = _row_at(df.select(score, key), [F.col(score).desc_nulls_last(), F.col(key).asc()], k)
+    if k <= 0:
+        return df.limit(0)
+    counts = df.groupBy(score.alias("_s"), F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    order = [F.col("_s").desc_nulls_last() if descending else F.col("_s").asc_nulls_first(), F.col("_k").asc_nulls_first()]
+    run = running_totals(counts, order, {"_upto": "_n"}).where(F.col("_upto") >= k)
+    last = run.agg(F.min_by(F.struct("_s", "_k", "_n", "_upto"), "_upto").alias("last")).first()["last"]
     if last is None:
         return df
-    tied = F.col(score).eqNullSafe(F.lit(last[score])) & (F.col(key) <= F.lit(last[key]))
-    above = F.col(score).isNotNull() if last[score] is None else F.col(score) > F.lit(last[score])
-    return df.where(above | tied)
-
+    same_score, same_key = score.eqNullSafe(F.lit(last["_s"])), F.col(key).eqNullSafe(F.lit(last["_k"]))
+    if descending:
+        earlier = score.isNotNull() if last["_s"] is None else score > F.lit(last["_s"])
+    else:
+        earlier = F.lit(False) if last["_s"] is None else score.isNull() | (score < F.lit(last["_s"]))
+    lower = F.lit(False) if last["_k"] is None else F.col(key).isNull() | (F.col(key) < F.lit(last["_k"]))
+    before = F.coalesce(earlier, F.lit(False)) | (same_score & F.coalesce(lower, F.lit(False)))
+    missing = k - (last["_upto"] - last["_n"])
+    if missing == last["_n"]:
+        return df.where(before | (same_score & same_key))
+    tied = df.where(same_score & same_key).withColumn("_tie", F.monotonically_increasing_id())
+    ranked = global_rank(tied, [F.xxhash64(*df.columns), F.col("_tie")], "_rank").rows
+    return df.where(before).unionByName(ranked.where(F.col("_rank") <= missing).select(*df.columns))
+
+
+def top_k(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The k rows with the largest score, listed in order; on ties the smaller key comes first.
+
+    All rows if there are fewer; NULL scores come last.  Repeated keys count as rows of their own.
+    The table is filtered, so no task receives the k rows, and rows outside them are not shuffled.
+    """
+    chosen = _first_k(df, F.col(score), True, key, k)
+    return chosen.orderBy(F.col(score).desc_nulls_last(), F.col(key).asc_nulls_first())
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, small: int = 100_000) -> DataFrame:
-    """Exactly n rows (all rows if fewer), chosen by a seeded hash of the row key.
 
-    Beyond ``small`` rows the n-th hash is looked up first, as in ``top_k``.
-    """
-    h = row_hash(key, seed=seed)
-    if n <= small:
-        return df.orderBy(h, F.col(key)).limit(n)
-    last = _row_at(df.select(h.alias("_h"), key), ["_h", key], n)
-    if last is None:
-        return df
-    return df.where((h < last["_h"]) | ((h == last["_h"]) & (F.col(key) <= F.lit(last[key]))))
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """Exactly n rows (all rows if fewer), chosen by a seeded hash of the row key."""
+    return _first_k(df, row_hash(key, seed=seed), False, key, n)
 
 
 def top_abs(df: DataFrame, column: str, n: int, groups: Sequence[str] = ()) -> DataFrame:

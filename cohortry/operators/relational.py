@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.session import broadcast_checked, materialize
+from cohortry.session import materialize
 
 
 def having_count(df: DataFrame, keys: Sequence[str], fewer_than: int | None = None, more_than: int | None = None, name: str = "n") -> DataFrame:
@@ -68,7 +68,7 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     so that learning their number does not compute them twice (an action).
     """
     table = materialize(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]))
-    return df.join(broadcast_checked(table), list(keys))
+    return df.join(table, list(keys))
 
 
 def binary_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -29,7 +29,6 @@ from cohortry.operators.relational import having_count, in_population, stack_rep
 from cohortry.operators.windows import carry_forward as carry
 from cohortry.operators.windows import dense_number, next_event, running_sum
 from cohortry.plans.presets import COMPLIANT_AT, MIN_FILLS, PAID_STATUS
-from cohortry.session import broadcast_checked
 
 KEY = ["member_id", "class_id"]
 
@@ -66,7 +65,7 @@ def eligible_claims(claims: DataFrame, window: ObservationWindow | None = None,
 
 def classify(claims: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Claims with the therapy class of their code."""
-    return claims.join(broadcast_checked(crosswalk), "code")
+    return claims.join(crosswalk, "code")
 
 
 def dedupe_refills(classified: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from cohortry.functions.scalar import argmax_onehot, county_of, recode, threshold_flags, threshold_label, tract_code
 from cohortry.operators.relational import in_population, share
 from cohortry.plans.presets import BAD_STATES, RACE_COLUMNS, RACE_NAMES
-from cohortry.session import broadcast_checked
 
 
 def components(members: DataFrame, names: DataFrame, geography: DataFrame, demographics: DataFrame, tracts: DataFrame) -> DataFrame:
@@ -52,7 +51,7 @@ def posterior(df: DataFrame, surname_table: DataFrame, place_table: DataFrame, d
     place columns and one ``given_<class>`` per class.  Unmatched surnames take the default
     prior and are flagged; an unmatched place gives NULL.  (Imai and Khanna, 2016.)
     """
-    out = df.join(broadcast_checked(surname_table), surname, "left").join(broadcast_checked(place_table), list(place), "left")
+    out = df.join(surname_table, surname, "left").join(place_table, list(place), "left")
     out = out.withColumn("surname_matched", F.col(f"prior_{classes[0]}").isNotNull().cast("int"))
     out = out.withColumns({
         f"_w_{c}": F.coalesce(F.col(f"prior_{c}"), F.lit(float(p))) * F.col(f"given_{c}") for c, p in zip(classes, default_prior)

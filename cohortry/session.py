@@ -5,10 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only after a count has shown it to be at most this long.
-BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app: str = "cohortry", master: str | None = None, **conf) -> SparkSession:
@@ -56,12 +52,3 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows (an action).
-
-    The count stops at ``max_rows + 1``.  A longer side is returned as it is: the join
-    then shuffles, and adaptive execution splits its skewed partitions.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators.windows import previous_value
-from cohortry.session import broadcast_checked, materialize, shared_folder
+from cohortry.session import materialize, shared_folder
 
 KEY = ["cart", "item"]
 ORDER = ["ts", "event_id"]
@@ -104,7 +104,7 @@ def _write_batch(stream: CartStream):
             # the state so far re-enters as the events that made it
             past = stream.known(spark, batch_id)
             if batch_id % stream.compact:
-                past = past.join(broadcast_checked(batch.select(*KEY).distinct()), KEY, "left_semi")
+                past = past.join(batch.select(*KEY).distinct(), KEY, "left_semi")
             log = log.unionByName(past.select(*columns))
         last_event(log).select(*columns).write.mode("overwrite").parquet(f"{stream.states}/batch={batch_id}")
         rejects = rejected_adds(batch).select("event_id", "ts", *KEY, F.lit("rejected").alias("reason"))

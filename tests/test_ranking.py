@@ -72,19 +72,34 @@ def test_exact_quantiles(tied):
     assert row["q0"] == np.quantile([r[1] for r in rows if r[1] is not None], 0.5)
 
 
-def test_top_k_small_and_large_agree(tied):
-    df, _ = tied
-    a = [r["id"] for r in R.top_k(df, "v", "id", 250).collect()]
-    b = [r["id"] for r in R.top_k(df, "v", "id", 250, small=10).collect()]
-    assert set(a) == set(b) and len(a) == 250
-    for k in (595, 600, 900):  # the last rows have no score
-        assert R.top_k(df, "v", "id", k, small=10).count() == min(k, 600)
+def test_top_k_gives_exactly_k_in_order(tied):
+    df, rows = tied
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    for k in (0, 1, 250, len(rows) - 1, len(rows), len(rows) + 1):  # the last rows have no score
+        assert [r["id"] for r in R.top_k(df, "v", "id", k).collect()] == want[:k]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Keys that repeat, are NULL, or sit in rows equal in every column."""
+    rows = [(None, 5.0, "a"), (None, 5.0, "b"), (1, 5.0, "a"), (1, 5.0, "a"), (1, 5.0, "b"), (2, None, "a"), (2, None, "a"), (None, None, "c")]
+    return spark.createDataFrame(rows, "k int, v double, t string").repartition(3), len(rows)
+
+
+def test_top_k_and_sample_with_repeated_and_null_keys(repeated):
+    df, n = repeated
+    for k in range(n + 2):
+        got = R.top_k(df, "v", "k", k).collect()
+        assert len(got) == min(k, n)
+        assert [(r["v"] is None, r["k"] is not None, r["k"] or 0) for r in got] == sorted((r["v"] is None, r["k"] is not None, r["k"] or 0) for r in df.collect())[:k]
+        assert R.sample_n(df, k, "k").count() == min(k, n)
+    assert R.top_k(df.where("k = 9"), "v", "k", 3).count() == 0
 
 
 def test_sample_is_exact_and_repeatable(tied):
     df, _ = tied
     a = {r["id"] for r in R.sample_n(df, 100, "id").collect()}
-    b = {r["id"] for r in R.sample_n(df.repartition(3), 100, "id", small=5).collect()}
+    b = {r["id"] for r in R.sample_n(df.repartition(3), 100, "id").collect()}
     assert a == b and len(a) == 100
 
 
