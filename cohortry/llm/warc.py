@@ -147,14 +147,16 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 1 << 30, file_bytes:
 
 def _members(content: bytes) -> Iterator[bytes]:
     """The gzip members of an archive, one after the other."""
-    left = content
-    while left:
-        z = zlib.decompressobj(31)
-        data = z.decompress(left)
-        if not z.eof:
-            raise ValueError("a member is cut off")
-        yield data
-        left = z.unused_data
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        # fed in short steps: what follows a member is handed back as a copy
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a member is cut off")
+            parts.append(z.decompress(view[at : at + 8192]))
+            at = min(at + 8192, len(view)) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
