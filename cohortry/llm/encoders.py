@@ -29,6 +29,9 @@ def _spelling() -> list[str]:
 
 _SPELT = dict(enumerate(_spelling()))
 
+#: After letters, any run of these is one piece under every pattern in use.
+MARKS = ".,:;!?*%&$#"
+
 
 class _WhiteRun(Exception):
     """A piece shows that a space has white space after it."""
@@ -60,7 +63,7 @@ class _Chunks(dict):
 
 
 class _Chunked:
-    """Letters, and letters followed by points or commas, are pieces of their own under either pattern: the model gets them as they are, anything else goes through the whole tokenizer."""
+    """Letters, and letters followed by ``MARKS``, are pieces of their own under either pattern: the model gets them as they are, anything else goes through the whole tokenizer."""
 
     def __init__(self, path: str, width: int = 4):
         self.tok = _load(path)
@@ -99,7 +102,7 @@ class SpaceLed(_Chunked):
 
     def _chunk(self, c: str) -> bytes:
         """Ids of " " + c."""
-        word = c.rstrip(".,")
+        word = c.rstrip(MARKS)
         if word.isalpha():
             if len(word) < len(c):
                 return self.cache[word] + self._tail(c[len(word) :])
@@ -114,7 +117,7 @@ class SpaceLed(_Chunked):
 
     def _opening(self, c: str) -> bytes:
         """Ids of what stands at the start of a text or a line."""
-        word = c.rstrip(".,")
+        word = c.rstrip(MARKS)
         if word.isalpha():
             own = self._piece(self._spell(word))
             return own + self._tail(c[len(word) :]) if len(word) < len(c) else own
@@ -137,12 +140,17 @@ class SpaceLed(_Chunked):
 class WordEnded(_Chunked):
     """Vocabularies that drop white space and mark the end of a word."""
 
+    def __init__(self, path: str, width: int = 4):
+        super().__init__(path, width)
+        self.normal = self.tok.normalizer.normalize_str
+
     def _chunk(self, c: str) -> bytes:
-        word = c.rstrip(".,")
-        if word.isalpha() and word.isascii():  # nothing to normalise but the case
+        word = c.rstrip(MARKS)
+        plain = word.lower() if word.isascii() else self.normal(word)
+        if word.isalpha() and plain.isalpha():  # no letter came apart
             if len(word) < len(c):
                 return self.cache[word] + self._tail(c[len(word) :])
-            return self._piece(c.lower())
+            return self._piece(plain.encode().decode("latin-1").translate(_SPELT))
         return self._alone(c)
 
     def encode(self, texts: list[str]) -> list[bytes]:
