@@ -31,7 +31,6 @@ NEIGHBOURS, BLOCK = 15, 64
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, label: int>>"
 
 _WORD = re.compile(r"\w+")
-_HEAD = 4
 
 
 def terms(text: str) -> Counter:
@@ -46,20 +45,34 @@ def terms(text: str) -> Counter:
 
 
 class Vocabulary:
-    """Terms and their numbers; words that share no beginning with any term are passed over at once."""
+    """Terms and their numbers; words that were seen to have no term are passed over at once."""
 
     def __init__(self, found: list[str]):
         self.number = {t: i for i, t in enumerate(found)}
-        self.heads = {t[:_HEAD] for t in found}
+        self.without: set[str] = set()  # words met that have no term
+
+    def __getstate__(self):
+        return self.number
+
+    def __setstate__(self, number):
+        self.number, self.without = number, set()
 
     def counts(self, text: str) -> tuple[list[int], list[int]]:
-        heads, number, out = self.heads, self.number, {}
-        for w, k in Counter(_WORD.findall(text.lower())).items():
-            if w[:_HEAD] in heads or len(w) < _HEAD and w + " " in number:
-                for t in (w + " ", w[:4], w[:5], w[:6]) if len(w) >= 6 else (w + " ", *(w[:n] for n in (4, 5) if len(w) >= n)):
-                    i = number.get(t)
-                    if i is not None:
-                        out[i] = out.get(i, 0) + k
+        number, out = self.number, {}
+        words = _WORD.findall(text.lower())
+        if len(self.without) > 500_000:  # bounds memory only
+            self.without.clear()
+        some = set(words) - self.without
+        often = None
+        for w in sorted(some):
+            found = [number[t] for t in (w + " ", *(w[:n] for n in (4, 5, 6) if len(w) >= n)) if t in number]
+            if not found:
+                if len(w) <= 40:
+                    self.without.add(w)
+                continue
+            often = often or Counter(words)
+            for i in found:
+                out[i] = out.get(i, 0) + often[w]
         return list(out), list(out.values())
 
 
@@ -134,7 +147,7 @@ class Model:
         # examples: (doc_id, label, term numbers, counts)
         self.vocabulary, self.idf, self.prior = vocabulary, idf, prior
         self.known: dict = {}
-        self.index, self.ids, self.labels, self.knots = None, [], np.zeros(0), (np.zeros(0), np.zeros(0))
+        self.index, self.ids, self.labels, self.vectors, self.knots = None, [], np.zeros(0), [], (np.zeros(0), np.zeros(0))
         self.without = prior
         vectors = [(e, self.vector(e[2], e[3])) for e in examples]
         none = [e[1] for e, (t, _) in vectors if not len(t)]
@@ -145,8 +158,15 @@ class Model:
         self.index = BlockMaxIndex([v for _, v in some], len(idf))
         self.ids = [some[i][0][0] for i in self.index.order]
         self.labels = np.array([some[i][0][1] for i in self.index.order], float)
-        votes = np.array([self._vote(some[i][1], leave_out=place) for place, i in enumerate(self.index.order)])
-        self.knots = isotonic(votes, self.labels)
+        self.vectors = [some[i][1] for i in self.index.order]
+
+    def vote_without(self, place: int) -> float:
+        """The vote on an example that all the others give."""
+        return self._vote(*self._neighbours(self.vectors[place], leave_out=place))
+
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Learn probabilities from the votes on all examples; their vectors are not needed after that."""
+        self.knots, self.vectors = isotonic(votes, self.labels), []
 
     def vector(self, numbers, counts) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(numbers, np.int64)
@@ -159,8 +179,7 @@ class Model:
         keep = places != leave_out if leave_out is not None else np.ones(len(places), bool)
         return places[keep][:NEIGHBOURS], cosines[keep][:NEIGHBOURS]
 
-    def _vote(self, vector, leave_out=None) -> float:
-        places, cosines = self._neighbours(vector, leave_out)
+    def _vote(self, places, cosines) -> float:
         w = 1 / (1.05 - np.minimum(cosines, 1))
         return float((w * self.labels[places]).sum() + self.prior) / float(w.sum() + 1)
 
@@ -177,7 +196,7 @@ class Model:
 
     def _scored(self, vector) -> tuple[float, list[tuple]]:
         places, cosines = self._neighbours(vector)
-        p = float(np.interp(self._vote(vector), *self.knots)) if len(places) else self.without
+        p = float(np.interp(self._vote(places, cosines), *self.knots)) if len(places) else self.without
         return p, [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(places[:3], cosines[:3])]
 
 
@@ -213,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     or no telling term, every score is its smoothed share.
 
     Runs jobs: the terms of the examples (counted in tasks, then by term), the document frequencies
-    of the vocabulary over all documents, and one collect of at most ``MOST_EXAMPLES`` short vectors.
+    of the vocabulary over all documents, one collect of at most ``MOST_EXAMPLES`` short vectors, and
+    the vote of the others on each of these (one number each).
     """
     spark = docs.sparkSession
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -270,7 +290,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     rows = sample.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()
     rows = sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1], r[2]))
-    return Model(vocabulary, idf, rows, prior)
+    model = Model(vocabulary, idf, rows, prior)
+    if model.index is None:
+        return model
+    held = spark.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value.vote_without(i) for i in b.column(0).to_pylist()], pa.float64())], ["id", "vote"])
+
+    found = spark.range(len(model.ids)).mapInArrow(votes, "id long, vote double").collect()
+    model.calibrate(np.array([r["vote"] for r in sorted(found, key=lambda r: r["id"])]))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
