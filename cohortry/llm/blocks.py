@@ -31,13 +31,16 @@ def per_block_pair(dealt: DataFrame, key: str, columns: list[str], find: Callabl
     """Apply ``find(members, allowed)`` to each pair of blocks; ``allowed`` says in which block a member is.
 
     Members of one block are compared among themselves only where _i = _j, members of different
-    blocks where _i < _j: each pair of a group is met once.
+    blocks where _i < _j: each pair of a group is met once.  Where _i < _j and no member was dealt to
+    one of the two blocks there is nothing to compare, and ``find`` is not called.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in stream_groups(batches, 3):
-            if group.num_rows > 1:
-                out = find(group, group.column("_b").to_numpy())
+            block = group.column("_b").to_numpy()
+            one = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
+            if group.num_rows > 1 and (one or block.min() < block.max()):
+                out = find(group, block)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -46,7 +49,10 @@ def per_block_pair(dealt: DataFrame, key: str, columns: list[str], find: Callabl
 
 
 def comparable(block: np.ndarray) -> np.ndarray:
-    """Which members of a pair of blocks are compared: all with all in one block, else only across."""
+    """Which members of a pair of blocks are compared: all with all in one block, else only across.
+
+    ``per_block_pair`` sees to it that two blocks both have members.
+    """
     if block.min() == block.max():
         out = np.ones((len(block), len(block)), bool)
         np.fill_diagonal(out, False)

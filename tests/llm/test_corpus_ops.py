@@ -203,6 +203,15 @@ def test_jaccard_join(spark, monkeypatch, limit):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_links_once_where_blocks_are_empty(spark, monkeypatch):
+    # each text counts for 1,500 shingles: dealt like texts of a million words under the real limit
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 2_250)
+    groups = [(seed, 2 + seed % 5, near_copies(seed, 1)[0]) for seed in range(60)]
+    docs = frame(spark, [(10 * seed + i, f"{t} end{i}", "s") for seed, n, t in groups for i in range(n)])
+    want = {10 * seed + i: n - 1 for seed, n, _ in groups for i in range(n)}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.join(docs).collect()} == want
+
+
 def test_prefix_shortens_to_the_recall():
     assert jaccard.prefix_length(recall=0.5) > jaccard.prefix_length() >= 1
     d = jaccard.prefix_length()
