@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max index, calibrated votes.
 
 Terms are words and their beginnings of four to six letters (insults are inflected and disguised at
-their ends).  The vocabulary is what marks toxic examples most clearly; weights come from document
-frequencies over all documents.  Examples lie in blocks, and of each term every block knows its
+their ends).  All terms of the examples are in the cosine; weights come from document frequencies
+over all documents, and terms that mark toxic examples clearly weigh more.  Examples lie in blocks, and of each term every block knows its
 largest weight: a block whose terms cannot reach the k-th best cosine found so far is passed over,
 so the neighbours are exactly the nearest ones.  Their votes are weighted by distance, and an
 isotonic fit over votes that leave the example itself out turns them into probabilities.
@@ -10,6 +10,7 @@ isotonic fit over votes that leave the example itself out turns them into probab
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,11 +23,11 @@ from pyspark.sql.types import StructType
 
 from cohortry.llm.common import free_name, slices, stored, text_or_empty
 
-#: Bounds: labelled examples (the first by a hash of their id) and terms (the clearest).
-MOST_EXAMPLES, MOST_TERMS = 20_000, 2_000
-#: A term must be in so many examples, stand so many standard deviations above chance, and its
-#: examples must be toxic so many times as often as all are.
-LEAST_EXAMPLES, LEAST_Z, LEAST_LIFT = 5, 6.0, 3.0
+#: Bound: labelled examples (the first by a hash of their id).
+MOST_EXAMPLES = 20_000
+#: A term is clear if it is in so many examples, stands so many standard deviations above chance, and
+#: its examples are toxic so many times as often as all are.  It weighs so many times its TF-IDF.
+LEAST_EXAMPLES, LEAST_Z, LEAST_LIFT, CLEAR_WEIGHT = 5, 6.0, 3.0, 4.0
 NEIGHBOURS, BLOCK = 15, 64
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, label: int>>"
 
@@ -76,6 +77,13 @@ class Vocabulary:
         return list(out), list(out.values())
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start to its end, and of each place the range it belongs to."""
+    length = end - start
+    own = np.repeat(np.arange(len(length)), length)
+    return np.arange(len(own)) + (start - np.cumsum(length) + length)[own], own
+
+
 class BlockMaxIndex:
     """Unit vectors in blocks; per term the examples that have it and each block's largest weight."""
 
@@ -84,35 +92,25 @@ class BlockMaxIndex:
         self.order = sorted(range(len(vectors)), key=lambda i: int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1)
         self.blocks = -(-len(vectors) // block) if vectors else 0
         self.block = block
-        at, term, weight = [], [], []
-        for place, i in enumerate(self.order):
-            t, w = vectors[i]
-            at.append(np.full(len(t), place))
-            term.append(t)
-            weight.append(w)
-        at, term, weight = (np.concatenate(x) if x else np.zeros(0) for x in (at, term, weight))
-        by = np.lexsort((at, term))
-        self.at, self.weight = at[by].astype(np.int64), weight[by].astype(float)
-        self.from_ = np.searchsorted(term[by], np.arange(n_terms + 1))
-        own = self.at // block
-        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (term[by][1:] != term[by][:-1])]) if len(own) else np.zeros(0, np.int64)
-        self.max_block = own[first]
-        self.max_weight = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.max_start = first  # where the block's postings of the term start
-        self.max_end = np.r_[first[1:], len(own)] if len(first) else first
-        self.max_from = np.searchsorted(term[by][first], np.arange(n_terms + 1)) if len(first) else np.zeros(n_terms + 1, np.int64)
-
-    def _add(self, score, terms_, weights, live) -> None:
+        own = [vectors[i] for i in self.order]
+        term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in own)])
+        by = np.argsort(term, kind="stable")
+        term = term[by]
+        self.at = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])[by]
+        self.weight = np.concatenate([np.zeros(0, np.float32), *(w.astype(np.float32) for _, w in own)])[by]
+        in_block = self.at // block
+        first = np.flatnonzero(np.r_[True, (in_block[1:] != in_block[:-1]) | (term[1:] != term[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.max_block = in_block[first]
+        self.max_weight = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.max_start = np.r_[first, len(term)].astype(np.int32)  # where the block's postings of the term start
+        self.max_from = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+
+    def _add(self, score, entries, weights, live) -> None:
         """Add the products of all terms with the examples in the blocks marked."""
-        for t, w in zip(terms_, weights):
-            a, b = self.max_from[t], self.max_from[t + 1]
-            some = live[self.max_block[a:b]]
-            start, end = self.max_start[a:b][some], self.max_end[a:b][some]
-            length = end - start
-            total = int(length.sum())
-            if total:
-                at = np.arange(total) + np.repeat(start - np.cumsum(length) + length, length)
-                score[self.at[at]] += w * self.weight[at]
+        some = live[self.max_block[entries]]
+        entries, weights = entries[some], weights[some]
+        at, own = _ranges(self.max_start[entries], self.max_start[entries + 1])
+        score += np.bincount(self.at[at], weights[own] * self.weight[at], len(score))
 
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest, best first (ties: lower place); only cosines above 0.
@@ -120,28 +118,27 @@ class BlockMaxIndex:
         The blocks with the highest bounds are compared first; then, at once, every other block whose
         bound reaches the k-th best cosine among them.
         """
-        bound = np.zeros(self.blocks)
-        for t, w in zip(terms_, weights):
-            a, b = self.max_from[t], self.max_from[t + 1]
-            bound[self.max_block[a:b]] += w * self.max_weight[a:b]
+        entries, own = _ranges(self.max_from[terms_], self.max_from[terms_ + 1])
+        w = np.asarray(weights, float)[own]
+        bound = np.bincount(self.max_block[entries], w * self.max_weight[entries], self.blocks)
         score = np.zeros(self.blocks * self.block)
         first = min(-(-2 * k // self.block) + 1, self.blocks)
         least = np.partition(bound, self.blocks - first)[self.blocks - first]
         live = (bound >= least) & (bound > 0)
-        self._add(score, terms_, weights, live)
+        self._add(score, entries, w, live)
         if not live.all():
             reached = score.reshape(-1, self.block)[live].ravel()
             least = np.partition(reached, len(reached) - k)[len(reached) - k] if len(reached) >= k else 0.0
             more = (bound >= least - 1e-9) & (bound > 0) & ~live
             if more.any():
-                self._add(score, terms_, weights, more)
+                self._add(score, entries, w, more)
         places = np.flatnonzero(score > 0)
         top = places[np.lexsort((places, -score[places]))[:k]]
         return top, score[top]
 
 
 class Model:
-    """Vocabulary, weights, examples and calibration; at most ``MOST_EXAMPLES`` vectors of ``MOST_TERMS`` terms."""
+    """Vocabulary, weights, examples and calibration; at most ``MOST_EXAMPLES`` vectors."""
 
     def __init__(self, vocabulary, idf, examples, prior):
         # examples: (doc_id, label, term numbers, counts)
@@ -169,10 +166,10 @@ class Model:
         self.knots, self.vectors = isotonic(votes, self.labels), []
 
     def vector(self, numbers, counts) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(numbers, np.int64)
+        t = np.asarray(numbers, np.int32)
         w = (1 + np.log(np.maximum(np.asarray(counts, float), 1))) * self.idf[t]
         by = np.argsort(t)
-        return t[by], w[by] / (np.linalg.norm(w) or 1.0)
+        return t[by], (w[by] / (np.linalg.norm(w) or 1.0)).astype(np.float32)
 
     def _neighbours(self, vector, leave_out=None):
         places, cosines = self.index.nearest(*vector, NEIGHBOURS + (leave_out is not None))
@@ -187,7 +184,7 @@ class Model:
         """Probability of the toxic label, and the three nearest examples (doc_id, cosine, label)."""
         if self.index is None or not len(numbers):
             return self.without, []
-        key = tuple(sorted(zip(numbers, counts)))
+        key = hashlib.blake2b(np.array(sorted(zip(numbers, counts)), np.int64).tobytes(), digest_size=16).digest()
         if key not in self.known:
             if len(self.known) >= 50_000:  # bounds memory only
                 self.known.clear()
@@ -229,10 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Learns labels only from rows that are not held out.  Of rows with one doc_id the larger label
     counts; NULL ids and labels are left out.  Without labels every score is 0.5; with one label only,
-    or no telling term, every score is its smoothed share.
+    or no term at all, every score is its smoothed share.
 
     Runs jobs: the terms of the examples (counted in tasks, then by term), the document frequencies
-    of the vocabulary over all documents, one collect of at most ``MOST_EXAMPLES`` short vectors, and
+    of the vocabulary over all documents, one collect of at most ``MOST_EXAMPLES`` packed vectors, and
     the vote of the others on each of these (one number each).
     """
     spark = docs.sparkSession
@@ -263,33 +260,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield out()
 
     by_term = sample.select("text", "toxic").mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    p = positive / n
-    z = (F.col("k") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p) or 1.0))
-    clear = by_term.where(F.col("n") >= LEAST_EXAMPLES).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("k") >= min(LEAST_LIFT * p, 0.9) * F.col("n")))
-    vocabulary = Vocabulary([r["term"] for r in clear.orderBy(F.col("z").desc(), "term").limit(MOST_TERMS).collect()])
+    found = by_term.toArrow().sort_by("term")
+    vocabulary = Vocabulary(found.column("term").to_pylist())
     size = len(vocabulary.number)
+    p, often, toxic = positive / n, found.column("n").to_numpy(), found.column("k").to_numpy()
+    z = (toxic - often * p) / np.sqrt(often * (p * (1 - p) or 1.0))
+    clear = (often >= LEAST_EXAMPLES) & (z >= LEAST_Z) & (toxic >= min(LEAST_LIFT * p, 0.9) * often)
+    words = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(size + 1, np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                df[vocabulary.counts(t)[0]] += 1
+                df[words.value.counts(t)[0]] += 1
             rows += b.num_rows
         df[size] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(df)], ["term", "df"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
 
     df = np.zeros(size + 1)
-    for r in docs.select(text_or_empty().alias("text")).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
-    idf = np.log((1 + df[size]) / (1 + df[:size])) + 1
+    counted = docs.select(text_or_empty().alias("text")).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    idf = (np.log((1 + df[size]) / (1 + df[:size])) + 1) * np.where(clear, CLEAR_WEIGHT, 1.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [vocabulary.counts(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1))], ["doc_id", "toxic", "terms", "counts"])
+            found = [words.value.counts(t) for t in b.column(2).to_pylist()]
+            packed = (pa.array([np.array(f[i], np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], ["doc_id", "toxic", "terms", "counts"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()
-    rows = sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1], r[2]))
+    rows = sample.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
+    rows = [(r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3]))]
     model = Model(vocabulary, idf, rows, prior)
     if model.index is None:
         return model
@@ -307,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with toxic_score (0 to 1) and toxic_evidence, the nearest examples.
 
-    A text without a term of the vocabulary, empty or NULL, gets the share of toxic ones among such
+    A text without a term of any example, empty or NULL, gets the share of toxic ones among such
     examples.  Only the text decides; repeated rows score alike.  Columns of ``docs`` called like a
     result raise.
     """

@@ -1,7 +1,9 @@
 """Quality rules, URLs, toxicity, near copies, near vectors and the pipeline against brute force."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -155,6 +157,33 @@ def test_toxic_documents_are_found(spark):
     assert toxicity.scored(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_weighs_all_terms(spark):
+    # every word is in fewer than five examples or in too few to stand out, and both labels are as frequent
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:24]
+    rnd = random.Random(3)
+    texts = {i: " ".join([f"zork{n % 6}", *(f"{rnd.choice('abcdefgh')}word" for _ in range(n % 5 + 1))]) for n, i in enumerate(ids)}
+    toxic = {i: int(n % 6 < 3) for n, i in enumerate(ids)}
+    docs = frame(spark, [(i, t, "s") for i, t in texts.items()] + [(1000 + n, f"zork{n} aword other", "s") for n in range(6)])
+    model = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    rows = toxicity.scored(docs, model).collect()
+    counts = [(r["doc_id"], toxicity.terms(r["text"])) for r in rows]
+    known = set().union(*(c for i, c in counts if i in toxic))
+    df = Counter(t for _, c in counts for t in c)
+
+    def unit(c):
+        w = {t: (1 + math.log(k)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, k in c.items() if t in known}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    of = {i: unit(c) for i, c in counts}
+    for r in rows:
+        want = sorted((sum(x * of[e].get(t, 0) for t, x in of[r["doc_id"]].items()) for e in toxic), reverse=True)[:3]
+        assert np.allclose([e["cosine"] for e in r["toxic_evidence"]], want, atol=1e-5)
+        assert all(e["label"] == toxic[e["doc_id"]] for e in r["toxic_evidence"])
+        if r["doc_id"] >= 1000:
+            assert r["toxic_evidence"][0]["label"] == int(r["doc_id"] < 1003)
+
+
 def near_copies(seed, n, size=120):
     rnd = random.Random(seed)
     base = [f"w{rnd.randint(0, 10**6)}" for _ in range(size)]
