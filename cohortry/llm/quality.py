@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import WHITE, free_name, stored, text_or_empty
 
-#: A line is removed within a host if more distinct documents than both of these have it.
+#: A line is removed within a host if more distinct documents than both of these have it.  The share
+#: is a parameter of the functions; with 0 the number of documents decides alone.
 LINE_DOCS, LINE_SHARE = 20, 0.1
 #: A document is depleted if fewer words, or a smaller share of them, remain.
 LEAST_WORDS, LEAST_SHARE = 10, 0.3
@@ -84,7 +85,7 @@ def _keys(source: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("_host"), F.unhex(F.md5(text_or_empty(text))).alias("_doc")]
 
 
-def lost_words(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+def lost_words(docs: DataFrame, source: str = "source", text: str = "text", share: float = LINE_SHARE) -> DataFrame:
     """(_host, _doc, all_words, lost): words on distinct lines of a text, and those on lines above the limits.
 
     Exact copies are one document: ``_doc`` is a digest of the text.  Of the documents that share a
@@ -98,20 +99,22 @@ def lost_words(docs: DataFrame, source: str = "source", text: str = "text") -> D
     lines = lines.select("_host", "_doc", F.xxhash64("line").alias("line"), (F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).cast("long").alias("w"))
     lines = stored(lines.groupBy("_host", "line", "_doc").agg(F.max("w").alias("w")), "lines")
     often = lines.groupBy("_host", "line").agg(F.count("*").alias("docs"), F.min("_doc").alias("keeper")).where(F.col("docs") > LINE_DOCS)
-    hosts = lines.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("all_docs"))
-    removed = often.join(hosts, "_host").where(F.col("docs") > LINE_SHARE * F.col("all_docs")).select("_host", "line", "keeper")
+    if share > 0:
+        hosts = lines.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("all_docs"))
+        often = often.join(hosts, "_host").where(F.col("docs") > share * F.col("all_docs"))
+    removed = often.select("_host", "line", "keeper")
     return lines.join(removed, ["_host", "line"]).where("_doc != keeper").groupBy("_host", "_doc").agg(F.sum("w").alias("lost"))
 
 
-def judged(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, source: str = "source", text: str = "text", share: float = LINE_SHARE) -> DataFrame:
     """``docs`` with the base counts, line_words, lost_words and kept.
 
     A document is kept if the base rules pass and it is not depleted by the removal of lines that
-    more than ``LINE_DOCS`` documents and a share of more than ``LINE_SHARE`` of its host have.
+    more than ``LINE_DOCS`` documents and more than the share ``share`` of its host have.
     Documents without a source are one host.  Repeated rows get the same verdict; an empty table
     gives an empty result.  Columns of ``docs`` that have the name of a result are replaced.
     """
-    lost = lost_words(docs, source, text).withColumnRenamed("lost", "lost_words")
+    lost = lost_words(docs, source, text, share).withColumnRenamed("lost", "lost_words")
     host, doc = _keys(source, text)
     words = F.aggregate(_normal_lines(text_or_empty(text)), F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(x, " ")))
     rows = base_counts(docs.drop("lost_words"), text).withColumns({"_host": host, "_doc": doc, "line_words": words})
@@ -122,11 +125,11 @@ def judged(docs: DataFrame, source: str = "source", text: str = "text") -> DataF
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_doc")
 
 
-def kept(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+def kept(docs: DataFrame, source: str = "source", text: str = "text", share: float = LINE_SHARE) -> DataFrame:
     """The documents that ``judged`` keeps, with the columns they came with.
 
     Runs a job: rows and verdicts are stored first.  A filter on the verdict would otherwise be pushed
     through every step of the counts, each of which would be spelt out again inside it.
     """
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), F.col(source).alias("_source"))
-    return stored(judged(rows, "_source", "_text").select("_row", "kept"), "verdicts").where("kept").select("_row.*")
+    return stored(judged(rows, "_source", "_text", share).select("_row", "kept"), "verdicts").where("kept").select("_row.*")

@@ -23,8 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by the removal of common lines."""
-    return quality.kept(docs)
+    """Documents that pass the base rules and are not depleted by the removal of common lines.
+
+    A line is common if more than ``quality.LINE_DOCS`` documents of its host have it, however many the host has.
+    """
+    return quality.kept(docs, share=0.0)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,24 @@ def test_depleted_documents_go(spark):
     assert quality.kept(copies).count() == 60  # copies are one document
 
 
+def test_common_lines_of_hot_and_small_hosts(spark, tmp_path):
+    line = "all rights reserved by the owner of this site and others"
+    shared = [(i, f"{line}\n{'q' * (i + 1)}", "hot") for i in range(30)] + [(100 + i, f"{line}\n{'q' * (i + 1)}", "small") for i in range(30)]
+    plain = [(1000 + i, f"one two three four five six seven eight nine ten {'z' * (i + 1)}", "hot") for i in range(400)]
+    docs = frame(spark, shared + plain)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalog.QUERIES["op2_quality_rules"](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.SQL['op2_quality_rules']})").fetchall()
+    assert Counter(map(tuple, df.select(*cols).collect())) == Counter(want)
+    assert df.where("NOT kept").count() == 29  # of the small host; its keeper stays
+    # in the pipeline the number of documents decides: the line goes in the hot host too
+    left = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, FOLDER).select("doc_id").collect()}
+    assert sum(i in left for i in range(30)) == 1 and sum(i in left for i in range(100, 130)) == 1 and len(left) == 402
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.judged(table(spark, FOLDER, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
