@@ -19,7 +19,8 @@ from cohortry.llm.common import stored, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; labels of rows that are not held out are all it learns from."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.scored(docs, model).where(F.col("toxic_score") < 0.5).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))  # columns called like a result stay
+    return toxicity.scored(rows, model, keep_text=False).where(F.col("toxic_score") < 0.5).select("_row.*")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,6 +288,13 @@ def test_near_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(empty).count() == 0
 
 
+def test_toxic_stage_keeps_columns_called_like_a_result(spark):
+    docs = table(spark, FOLDER, "documents").withColumns({"toxic_score": F.lit(2.0), "toxic_evidence": F.lit("x")})
+    out = corpus_pipeline.drop_toxic(spark, docs, FOLDER)
+    rows = out.select("toxic_score", "toxic_evidence").collect()
+    assert out.columns == docs.columns and rows and {tuple(r) for r in rows} == {(2.0, "x")}
+
+
 def test_pipeline(spark):
     docs = table(spark, FOLDER, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
