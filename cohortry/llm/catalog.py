@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, idfile, jaccard, packing, quality, sharding, tokens, toxicity, urls, vectors, warc
+from cohortry.llm import bpe, divergence, idfile, jaccard, negatives, packing, quality, repeats, sharding, tokens, toxicity, urls, vectors, warc
 from cohortry.llm.common import new_folder, table
 from cohortry.llm.encoders import SpaceLed, WordEnded
 
@@ -154,3 +154,69 @@ SQL["op10_near_vectors"] = """
     reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
     SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept
     FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = vec_id"""
+
+
+@_query
+def op12_hard_negatives(spark, sf_dir) -> DataFrame:
+    """For every hundredth vec_id its five nearest of the same label, and per such the five best of other labels below it."""
+    vec, label = F.col("vec_id").cast("long"), F.col("label")
+    moved = F.when(F.coalesce(vec % 7 == 0, F.lit(False)), (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select(vec.alias("vec_id"), moved.alias("label"), negatives.whole_numbers("embedding").alias("x"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = """
+    WITH v AS (
+        SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+            AND coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)),
+    s AS (
+        SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS other, b.vec_id AS other_id, a.label = b.label AS alike,
+               CAST(coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+    p AS (SELECT anchor, anchor_id, other AS positive, other_id AS positive_id, score AS positive_score FROM s WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id, other) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, other_id, other) AS INTEGER) AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON p.anchor = s.anchor AND NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, other_id, other) <= 5"""
+
+
+@_query
+def op11_source_divergence(spark, sf_dir) -> DataFrame:
+    """Per language how far each source is from every other, and its most marked terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents),
+    w AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+    kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    times AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    here AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM times t WHERE t.lang = g.lang AND t.source = g.source), 0) AS total
+        FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang)),
+    p AS (SELECT h.lang, h.source, k.term, coalesce(t.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(t.n, 0) + 2) // (h.total + 2 * h.v) AS p
+        FROM here h JOIN kept k USING (lang) LEFT JOIN times t ON t.lang = h.lang AND t.source = h.source AND t.term = k.term),
+    whole AS (SELECT lang, term, sum(n) AS n FROM times GROUP BY lang, term),
+    q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM whole JOIN v USING (lang)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    rows AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+        FROM here a JOIN here b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM rows QUALIFY part = 'pair' OR rank <= 10"""
+
+
+@_query
+def op13_repeated_passages(spark, sf_dir) -> DataFrame:
+    """Every text without the passages of 400 bytes or more that repeat."""
+    rows = repeats.removed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
