@@ -218,15 +218,16 @@ def _compared(batches: Iterator[pa.RecordBatch], top: int, side: int) -> Iterato
     """Per group (lang, bi, bj, salt): sums over its terms for pairs of sources, and the best terms of the sources of one block."""
     schema = pa.schema([("lang", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("term", pa.string()), ("value", pa.int64())])
     for group in stream_groups(batches, 4):
-        lang, bi, bj = (group.column(k)[0].as_py() for k in range(3))
+        lang, bi, bj, salt = (group.column(k)[0].as_py() for k in range(4))
         head, rows = group.slice(0, 1).to_pylist()[0], group.slice(1)  # the sums of the sources come first
-        if not rows.num_rows:
-            continue
         at = {s: k for k, s in enumerate(head["idx"])}
         own = np.array(head["n"], np.int64) + 2 * head["v"]
         left = [k for s, k in at.items() if s // side == bi]
         right = [k for s, k in at.items() if s // side == bj]
-        sums = np.zeros((len(left), len(right)), np.int64)
+        # a kept term of which these sources have none has no row: all terms count as such once, and the rows as what they differ by
+        absent = share(np.full(len(own), 2), own)
+        sums = (head["v"] if salt == 0 else 0) * distance(absent[left, None], absent[right])
+        sums -= rows.num_rows * distance(absent[left, None], absent[right])
         best: list[tuple] = []
         for start in range(0, rows.num_rows, 2048):
             part = rows.slice(start, 2048)
