@@ -117,19 +117,21 @@ def prefix_counts(terms: list[bytes], docs: np.ndarray, postings: np.ndarray, ra
     A term shorter than that ends in a space, by which it differs from every prefix and is whole.
     Documents are counted once each; a count of ``min_docs`` or more may be given as ``min_docs``.
     """
-    first = np.concatenate([[0], np.cumsum(np.where(docs < min_docs, docs, 0))])
+    first = np.concatenate([[0], np.cumsum(np.where(docs < min_docs, docs, 0))]).tolist()
+    docs, postings = docs.tolist(), postings.tolist()
     out = []
     for low, high in ranges:
+        keys = [(t + b" ")[:length] for t in terms[low:high]]
+        keys.append(None)
         at = low
-        while at < high:
-            key, to = (terms[at] + b" ")[:length], at + 1
-            while to < high and (terms[to] + b" ")[:length] == key:
-                to += 1
-            most = int(docs[at:to].max())
-            if to > at + 1 and most < min_docs:
-                most = min(min_docs, len(np.unique(postings[first[at] : first[to]])))
-            out.append((key, most, at, to, key.endswith(b" ")))
-            at = to
+        for to in range(low + 1, high + 1):
+            key = keys[to - low - 1]
+            if keys[to - low] != key:
+                most = docs[at] if to == at + 1 else max(docs[at:to])
+                if to > at + 1 and most < min_docs:
+                    most = min(min_docs, len(set(postings[first[at] : first[to]])))
+                out.append((key, most, at, to, key[-1] == 32))
+                at = to
     return out
 
 
@@ -159,9 +161,10 @@ def kept_terms(blocks: DataFrame, min_docs: int) -> DataFrame:
     now = blocks.withColumn("ranges", F.lit(None).cast("array<struct<low:int,high:int>>"))
     length, found = 4, []
     while True:
-        seen = stored(_level(now, length, min_docs), "prefixes")
-        enough = seen.groupBy("lang", "key").agg(F.sum("docs").alias("_docs")).where(F.col("_docs") >= min_docs).select("lang", "key")
-        alive = stored(seen.join(enough, ["lang", "key"], "left_semi").select("block", "low", "high", "whole"), "prefixes-alive")
+        # a prefix has one row a block at most, so the sums run over few rows
+        docs = F.sum("docs").over(Window.partitionBy("lang", "key"))
+        alive = _level(now, length, min_docs).withColumn("_docs", docs).where(F.col("_docs") >= min_docs)
+        alive = stored(alive.select("block", "low", "high", "whole"), "prefixes-alive")
         found.append(alive.where("whole").select("block", "low"))
         open_ = alive.where("NOT whole")
         if open_.isEmpty():
@@ -215,44 +218,60 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], top: int, side: int) -> Iterator[pa.RecordBatch]:
-    """Per group (lang, bi, bj, salt): sums over its terms for pairs of sources, and the best terms of the sources of one block."""
+    """Per group (lang, bi, bj, salt): sums over its terms for pairs of sources, and the best terms of the sources of one block.
+
+    Rows are the sums of the sources (without a term), the occurrences of a term in a source, and its
+    occurrences in the language (without a source).
+    """
     schema = pa.schema([("lang", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("term", pa.string()), ("value", pa.int64())])
     for group in stream_groups(batches, 4):
         lang, bi, bj, salt = (group.column(k)[0].as_py() for k in range(4))
-        head, rows = group.slice(0, 1).to_pylist()[0], group.slice(1)  # the sums of the sources come first
-        at = {s: k for k, s in enumerate(head["idx"])}
-        own = np.array(head["n"], np.int64) + 2 * head["v"]
-        left = [k for s, k in at.items() if s // side == bi]
-        right = [k for s, k in at.items() if s // side == bj]
-        # a kept term of which these sources have none has no row: all terms count as such once, and the rows as what they differ by
+        term, idx, times = (group.column(c).combine_chunks() for c in ("term", "idx", "n"))
+        head, whole = np.asarray(term.is_null()), np.asarray(idx.is_null())
+        idx, times = idx.fill_null(-1).to_numpy(), times.to_numpy()
+        names = np.sort(idx[head])
+        place = {s: k for k, s in enumerate(names.tolist())}
+        v, total = (group.column(c)[int(np.flatnonzero(head)[0])].as_py() for c in ("v", "total"))
+        own = np.empty(len(names), np.int64)
+        own[np.searchsorted(names, idx[head])] = times[head]
+        own += 2 * v
+        left, right = ([k for s, k in place.items() if s // side == b] for b in (bi, bj))
+        # a kept term of which these sources have none has no row: all terms count as such once, and those with rows as what they differ by
         absent = share(np.full(len(own), 2), own)
-        sums = (head["v"] if salt == 0 else 0) * distance(absent[left, None], absent[right])
-        sums -= rows.num_rows * distance(absent[left, None], absent[right])
+        apart = distance(absent[left, None], absent[right])
+        sums = (v if salt == 0 else 0) * apart
         best: list[tuple] = []
-        for start in range(0, rows.num_rows, 2048):
-            part = rows.slice(start, 2048)
-            n = np.zeros((part.num_rows, len(at)), np.int64)
-            for r, (idx, times) in enumerate(zip(part.column("idx").to_pylist(), part.column("n").to_pylist())):
-                n[r, [at[s] for s in idx]] = times
+        seen = term.filter(pa.array(~head)).dictionary_encode()
+        code, idx, times, whole = seen.indices.to_numpy(), idx[~head], times[~head], whole[~head]
+        words = seen.dictionary.to_pylist()
+        all_n = np.zeros(len(words), np.int64)
+        all_n[code[whole]] = times[whole]
+        code, idx, times = code[~whole], np.searchsorted(names, idx[~whole]), times[~whole]
+        order = np.argsort(code, kind="stable")
+        code, idx, times = code[order], idx[order], times[order]
+        for start in range(0, len(words), 2048):
+            a, b = np.searchsorted(code, [start, start + 2048])
+            n = np.zeros((min(2048, len(words) - start), len(names)), np.int64)
+            n[code[a:b] - start, idx[a:b]] = times[a:b]
             p = share(n + 2, own)
+            sums -= len(n) * apart
             for x, k in enumerate(left):
                 sums[x] += distance(p[:, k, None], p[:, right]).sum(axis=0)
             if bi == bj:
-                q = share(part.column("total").to_numpy() + 2, head["total"] + 2 * head["v"])
-                terms = part.column("term").to_pylist()
-                for s, k in at.items():
+                q = share(all_n[start : start + len(n)] + 2, total + 2 * v)
+                for s, k in place.items():
                     here = np.flatnonzero((n[:, k] > 0) & (p[:, k] > q))
                     value = distance(p[here, k], q[here])
                     if len(here) > top:
                         high = value >= np.partition(value, len(value) - top)[len(value) - top]
                         here, value = here[high], value[high]
                     # code points and UTF-8 bytes sort alike
-                    best += sorted(((s, -int(v), terms[t]) for t, v in zip(here, value)))[:top]
-        names = head["idx"]
-        pairs = [(lang, names[k], names[m], None, int(sums[x, y])) for x, k in enumerate(left) for y, m in enumerate(right) if names[k] < names[m]]
-        rows_out = pairs + [(lang, s, None, term, -v) for s, v, term in best]
-        for begin in range(0, len(rows_out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_out[begin : begin + 50_000]), schema)], schema=schema)
+                    best += sorted((s, -int(w), words[start + t]) for t, w in zip(here, value))[:top]
+        names = names.tolist()
+        rows = [(lang, names[k], names[m], None, int(sums[x, y])) for x, k in enumerate(left) for y, m in enumerate(right) if names[k] < names[m]]
+        rows += [(lang, s, None, word, -w) for s, w, word in best]
+        for begin in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[begin : begin + 50_000]), schema)], schema=schema)
 
 
 def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, block_bytes: int = BLOCK) -> DataFrame:
@@ -274,24 +293,28 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, block_bytes: int =
     blocks = _blocks(docs, min_docs, block_bytes)
     times = stored(_occurrences(blocks, kept_terms(blocks, min_docs)), "kept-occurrences")
 
+    whole = stored(times.groupBy("lang", "term").agg(F.sum("n").alias("n")), "kept-terms")
+
     sources = docs.select("lang", "source").distinct().withColumn("idx", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     sums = times.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    v = times.groupBy("lang").agg(F.countDistinct("term").alias("v"), F.sum("n").alias("total"))
+    v = whole.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("total"))
     sources = sources.join(sums, ["lang", "source"], "left").join(v, "lang", "left").na.fill(0, ["n", "v", "total"])
     sources = stored(sources, "sources").withColumn("side", F.floor(F.col("idx") / SOURCES))
 
-    # a row per kept term and pair of blocks of sources, dealt by a hash of the term
-    width = sources.groupBy("lang").agg((F.max("side") + 1).alias("sides"), F.max(F.ceil(F.col("v") / TERMS)).alias("salts"))
+    # terms are dealt by a hash, each to the pairs of blocks of sources that one of its sources is in
+    width = sources.groupBy("lang").agg((F.max("side") + 1).alias("sides"), F.max(F.ceil(F.col("v") / TERMS)).alias("salts")).where("salts > 0")
     pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda i: F.transform(F.sequence(i, F.col("sides") - 1), lambda j: F.struct(i.alias("bi"), j.alias("bj"))))))
-    whole = F.sum("n").over(Window.partitionBy("lang", "term"))
-    per_term = times.withColumn("total", whole).join(sources.select("lang", "source", "idx", "side"), ["lang", "source"])
-    per_term = per_term.join(width, "lang").withColumn("pair", pairs).where((F.col("side") == F.col("pair.bi")) | (F.col("side") == F.col("pair.bj")))
-    per_term = per_term.withColumn("salt", F.pmod(F.xxhash64("term"), F.col("salts"))).groupBy("lang", "pair.bi", "pair.bj", "salt", "term", "total")
-    per_term = per_term.agg(F.collect_list(F.struct("idx", "n")).alias("x")).select("lang", "bi", "bj", "salt", F.lit(1).alias("kind"), "term", "total", F.lit(None).cast("long").alias("v"), F.col("x.idx").alias("idx"), F.col("x.n").alias("n"))
-    heads = sources.join(width.where("salts > 0"), "lang").withColumn("pair", pairs).where((F.col("side") == F.col("pair.bi")) | (F.col("side") == F.col("pair.bj")))
-    heads = heads.groupBy("lang", "pair.bi", "pair.bj", "salts", "total", "v").agg(F.sort_array(F.collect_list(F.struct("idx", "n"))).alias("x"))
-    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("lang", "bi", "bj", "salt", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("term"), "total", "v", F.col("x.idx").alias("idx"), F.col("x.n").alias("n"))
-    dealt = heads.unionByName(per_term).repartition("lang", "bi", "bj", "salt").sortWithinPartitions("lang", "bi", "bj", "salt", "kind")
+    salt, none = F.pmod(F.xxhash64("term"), F.col("salts")), F.lit(None)
+    mine = (F.col("side") == F.col("pair.bi")) | (F.col("side") == F.col("pair.bj"))
+    group = ["lang", "pair.bi", "pair.bj", "salt"]
+    heads = sources.join(width, "lang").withColumn("pair", pairs).where(mine).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    heads = heads.select(*group, none.cast("string").alias("term"), "idx", "n", "v", "total")
+    none = none.cast("long")
+    terms = times.join(sources.select("lang", "source", "idx", "side"), ["lang", "source"]).join(width, "lang").withColumn("salt", salt)
+    terms = terms.withColumn("pair", pairs).where(mine).select(*group, "term", "idx", "n", none.alias("v"), none.alias("total"))
+    alone = F.explode(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda i: F.struct(i.alias("bi"), i.alias("bj"))))
+    whole = whole.join(width, "lang").withColumn("salt", salt).withColumn("pair", alone).select(*group, "term", none.cast("int").alias("idx"), "n", none.alias("v"), none.alias("total"))
+    dealt = heads.unionByName(terms).unionByName(whole).repartition("lang", "bi", "bj", "salt").sortWithinPartitions("lang", "bi", "bj", "salt")
     side = SOURCES
     found = stored(dealt.mapInArrow(lambda b: _compared(b, top, side), "lang string, i long, j long, term string, value long"), "divergences")
 
