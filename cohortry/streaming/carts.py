@@ -7,13 +7,16 @@ that is not in the cart is an error and changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cohortry.operators.windows import previous_value
-from cohortry.session import materialize, shared_folder
+from cohortry.session import shared_folder
 
 KEY = ["cart", "item"]
 ORDER = ["ts", "event_id"]
@@ -70,75 +73,151 @@ def cart_totals(state: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CartStream:
-    """Folders the stream writes.  Each batch has its own sub-folder, so a retry replaces it.
-
-    A batch writes the items it touched.  Every ``compact`` batches the whole state is written
-    once, and older folders are no longer read.
-    """
+    """Where a stream keeps its progress with the state, and where it writes errors and late events."""
 
     root: str
-    compact: int = 100
 
     @property
-    def states(self) -> str:
-        return f"{self.root}/state"
+    def progress(self) -> str:
+        return f"{self.root}/progress"
 
     @property
-    def errors(self) -> str:
-        return f"{self.root}/errors"
-
-    def known(self, spark: SparkSession, before: int) -> DataFrame:
-        """Last valid event of each item in the batches before one."""
-        base = (before - 1) // self.compact * self.compact
-        rows = spark.read.parquet(self.states).where((F.col("batch") >= base) & (F.col("batch") < before))
-        return last_event(rows)
-
-
-def _write_batch(stream: CartStream):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = ["event_id", "ts", *KEY, "action", "price"]
-        batch = materialize(batch.select(*columns))
-        log = batch
-        if batch_id > 0:
-            # the state so far re-enters as the events that made it
-            past = stream.known(spark, batch_id)
-            if batch_id % stream.compact:
-                past = past.join(batch.select(*KEY).distinct(), KEY, "left_semi")
-            log = log.unionByName(past.select(*columns))
-        last_event(log).select(*columns).write.mode("overwrite").parquet(f"{stream.states}/batch={batch_id}")
-        rejects = rejected_adds(batch).select("event_id", "ts", *KEY, F.lit("rejected").alias("reason"))
-        missing = failed_removes(log).join(batch.select("event_id"), "event_id", "left_semi")
-        missing = missing.select("event_id", "ts", *KEY, F.lit("missing").alias("reason"))
-        rejects.unionByName(missing).write.mode("overwrite").parquet(f"{stream.errors}/batch={batch_id}")
-
-    return write
-
-
-def run_cart_stream(events: DataFrame, root: str, compact: int = 100) -> CartStream:
-    """Run a stream of log rows to the end of what is there, with the batch operators per batch.
-
-    State and errors equal those of the batch form if events reach the stream in time order.
-    All folders lie under ``root``, which every executor must reach; each batch overwrites its
-    own folder, so a repeated batch does no harm.
+    def noted(self) -> str:
+        return f"{self.root}/noted"
+
+
+class _CartItem(StatefulProcessor):
+    """One item of one cart: the last event applied, and those that wait until no earlier one can come.
+
+    A timer fires when the watermark has passed the first waiting event; those it has passed are
+    applied in time order.
+    """
+
+    def __init__(self, event: str):
+        self.event = event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.event)
+        self.last = handle.getValueState("last", self.event)
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
+
+    @staticmethod
+    def _note(key, event_id, ts, reason: str) -> Row:
+        return Row(event_id=event_id, ts=ts, cart=key[0], item=key[1], reason=reason)
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = []
+        for r in rows:
+            if passed > 0 and r.at <= passed:
+                yield self._note(key, r.event_id, r.ts, "late")
+            elif r.action == "remove" or (r.price is not None and r.price > 0):
+                fresh.append((r.at, r.event_id, r.ts, r.action, r.price))
+            else:
+                yield self._note(key, r.event_id, r.ts, "rejected")
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(fresh)[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
+        due = [e for e in events if e[0] <= passed]
+        if not due:
+            return
+        here = self.last.exists() and self.last.get()[3] == "add"
+        for _, event_id, ts, action, _ in due:
+            if action == "remove" and not here:
+                yield self._note(key, event_id, ts, "missing")
+            here = action == "add"
+        self.last.update(due[-1])
+        rest = events[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State variables and timers need this store; a query keeps the setting it starts with."""
+    name, value = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def note_errors(events: DataFrame, lateness: str) -> DataFrame:
+    """Streaming log rows to (event_id, ts, cart, item, reason): rejected adds, removals of missing items, late events.
+
+    State is kept per cart and item, so a busy cart is spread over tasks.
     """
-    stream = CartStream(root, compact)
-    query = (
-        events.writeStream.foreachBatch(_write_batch(stream)).outputMode("append")
-        .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    # the copy of the time carries no watermark: Spark would drop late rows, and they are to be noted
+    rows = events.withColumn("at", at).withColumn("_seen", F.timestamp_micros("at")).withWatermark("_seen", lateness)
+    rows = rows.select(*KEY, "at", "event_id", "ts", "action", "price")
+    event = f"at long, event_id {kinds['event_id']}, ts {kinds['ts']}, action string, price double"
+    out = f"event_id {kinds['event_id']}, ts {kinds['ts']}, cart {kinds['cart']}, item {kinds['item']}, reason string"
+    return rows.groupBy(*KEY).transformWithState(_CartItem(event), out, "Append", "EventTime")
+
+
+def run_cart_stream(events: DataFrame, root: str, lateness: str = "1 hour") -> CartStream:
+    """Run a stream of log rows to the end of what is there.
+
+    State and errors equal those of the batch form for events in any order, as long as each is newer
+    than the newest event of earlier batches less ``lateness``.  Older ones are noted as late and
+    change nothing.  Progress, state and output lie under ``root``, which every executor must reach;
+    a batch that is repeated replaces what it wrote.
+    """
+    stream = CartStream(root)
+    with _rocksdb(events.sparkSession):
+        query = (
+            note_errors(events, lateness).writeStream.format("parquet").option("path", stream.noted)
+            .option("checkpointLocation", stream.progress).outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return stream
 
 
+def _variable(spark: SparkSession, stream: CartStream, name: str) -> DataFrame:
+    """A state variable as log rows, read from the store as of the last batch."""
+    rows = spark.read.format("statestore").option("path", stream.progress).option("stateVarName", name).load()
+    value = "list_element" if "list_element" in rows.columns else "value"
+    return rows.select("key.*", f"{value}.*").drop("at")
+
+
+def _open_log(spark: SparkSession, stream: CartStream) -> DataFrame:
+    """The last event applied of each item, and the events that still wait (``waits``)."""
+    done, waiting = (_variable(spark, stream, v).withColumn("waits", F.lit(v == "waiting")) for v in ("last", "waiting"))
+    return done.unionByName(waiting)
+
+
 def stream_state(spark: SparkSession, stream: CartStream) -> DataFrame:
-    """Items in each cart after the last batch."""
-    newest = spark.read.parquet(stream.states).select(F.max("batch")).first()[0]
-    return stream.known(spark, newest + 1).where(F.col("action") == "add").select(*KEY, "price")
+    """Items in each cart after all events read so far."""
+    return cart_state(_open_log(spark, stream))
 
 
 def stream_errors(spark: SparkSession, stream: CartStream) -> DataFrame:
-    return spark.read.parquet(stream.errors).drop("batch")
+    """Errors noted, and those of the events that still wait: (event_id, ts, cart, item, reason)."""
+    columns = ["event_id", "ts", *KEY, "reason"]
+    waiting = failed_removes(_open_log(spark, stream)).where("waits").withColumn("reason", F.lit("missing"))
+    return spark.read.parquet(stream.noted).where("reason <> 'late'").select(*columns).unionByName(waiting.select(*columns))
+
+
+def late_events(spark: SparkSession, stream: CartStream) -> DataFrame:
+    """Events that came too late to be applied: (event_id, ts, cart, item)."""
+    return spark.read.parquet(stream.noted).where("reason = 'late'").drop("reason")
 
 
 def fresh_root(spark: SparkSession, name: str) -> str:

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.streaming import carts as K
 
@@ -38,23 +39,66 @@ def test_last_price_wins_and_missing_removals_are_errors(spark):
     assert sorted(r["event_id"] for r in K.failed_removes(df).collect()) == [0, 4]
 
 
-@pytest.mark.parametrize("compact", [1, 2, 100])
-def test_stream_equals_batch_and_plain_dict(spark, tmp_path, compact):
-    rng = random.Random(11)
-    steps = [(rng.choice(("add", "add", "remove")), rng.choice("abcdef"), rng.choice((-1.0, 1.0, 2.5, 4.0))) for _ in range(300)]
-    df = log(spark, steps)
-    cart, errors = {}, set()
-    for i, (action, item, price) in enumerate(steps):
-        if action == "add" and price > 0:
+def plain(steps):
+    """Items and errors of (position, action, item, price) applied in order by a dictionary."""
+    cart, errors = {}, {}
+    for i, (action, item, price) in steps:
+        if action == "add" and price is not None and price > 0:
             cart[item] = price
-        elif action == "add" or item not in cart:
-            errors.add(i)
+        elif action == "add":
+            errors[i] = "rejected"
+        elif item not in cart:
+            errors[i] = "missing"
         else:
             del cart[item]
-    assert {r["item"]: r["price"] for r in K.cart_state(df).collect()} == cart
+    return cart, errors
+
+
+def random_steps(seed, n=300):
+    rng = random.Random(seed)
+    return [(rng.choice(("add", "add", "remove")), rng.choice("abcdef"), rng.choice((None, -1.0, 1.0, 2.5, 4.0))) for _ in range(n)]
+
+
+def feed(spark, df, tmp_path, batches, lateness):
+    """Each batch of event_ids is a file that the stream reads in a run of its own."""
     source = str(tmp_path / "log")
-    for lo in (0, 60, 120, 180, 240):  # five arrivals, five runs of the same stream
-        df.where(f"event_id >= {lo} and event_id < {lo + 60}").write.mode("append").parquet(source)
-        stream = K.run_cart_stream(spark.readStream.schema(df.schema).parquet(source), str(tmp_path / "out"), compact)
+    for ids in batches:
+        df.where(F.col("event_id").isin(ids)).coalesce(1).write.mode("append").parquet(source)
+        stream = K.run_cart_stream(spark.readStream.schema(df.schema).parquet(source), str(tmp_path / "out"), lateness)
+    return stream
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_stream_in_any_order_within_the_lateness_equals_batch_and_a_dictionary(spark, tmp_path, kind):
+    steps = random_steps(11)
+    df = log(spark, steps).withColumn("ts", F.col("ts").cast(kind))
+    cart, errors = plain(enumerate(steps))
+    assert {r["item"]: r["price"] for r in K.cart_state(df).collect()} == cart
+    # events are 20 minutes apart: one delayed by up to 40 of them stays within 14 hours
+    rng = random.Random(12)
+    arrival = sorted(range(300), key=lambda i: i + rng.randrange(41))
+    stream = feed(spark, df, tmp_path, [arrival[lo : lo + 75] for lo in range(0, 300, 75)], "14 hours")
     assert {r["item"]: r["price"] for r in K.stream_state(spark, stream).collect()} == cart
-    assert {r["event_id"] for r in K.stream_errors(spark, stream).collect()} == errors
+    assert {r["event_id"]: r["reason"] for r in K.stream_errors(spark, stream).collect()} == errors
+    assert K.late_events(spark, stream).count() == 0
+    # most errors were noted by the stream itself, not found among the events that still wait
+    assert spark.read.parquet(stream.noted).where("reason = 'missing'").count() > 0.5 * sum(r == "missing" for r in errors.values())
+
+
+def test_events_beyond_the_lateness_are_late_and_change_nothing(spark, tmp_path):
+    steps = random_steps(21, 120)
+    held = [3, 10, 30]  # come after everything else
+    df = log(spark, steps)
+    batches = [[i for i in range(60) if i not in held], list(range(60, 120)), held]
+    stream = feed(spark, df, tmp_path, batches, "10 minutes")
+    cart, errors = plain([(i, s) for i, s in enumerate(steps) if i not in held])
+    assert sorted(r["event_id"] for r in K.late_events(spark, stream).collect()) == held
+    assert {r["item"]: r["price"] for r in K.stream_state(spark, stream).collect()} == cart
+    assert {r["event_id"]: r["reason"] for r in K.stream_errors(spark, stream).collect()} == errors
+
+
+def test_a_removal_that_overtakes_its_add_is_no_error(spark, tmp_path):
+    df = log(spark, [("add", "a", 1.0), ("add", "b", 2.0), ("remove", "b", None), ("add", "c", 3.0)])
+    stream = feed(spark, df, tmp_path, [[0, 2], [1], [3]], "2 hours")
+    assert {r["item"]: r["price"] for r in K.stream_state(spark, stream).collect()} == {"a": 1.0, "c": 3.0}
+    assert K.stream_errors(spark, stream).count() == 0 and K.late_events(spark, stream).count() == 0
