@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cohortry.catalog.book import Book, rounded, with_views
 from cohortry.catalog.donors import ON, _labels
+from cohortry.operators import boosting as B
 from cohortry.operators import curves as C
+from cohortry.operators import estimators as E
 from cohortry.operators import modelling as M
 from cohortry.operators import neighbours as N
 from cohortry.operators.importance import permutation_importance
@@ -243,3 +246,62 @@ def lr_probabilities(spark, folder):
         F.countDistinct("id").alias("n"), F.bool_and(F.abs(total - 1) < 1e-9).alias("add_up"),
         F.bool_and(F.col("probability")[F.col("prediction")] == F.col("probability_max")).alias("top_is_predicted"),
     )
+
+
+@BOOK.add("gbt_multiclass_one_round", with_views("players") + """, p AS (SELECT PlayerID, InGamePurchases AS x, CASE EngagementLevel WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END AS y FROM players),
+m AS (SELECT x, k, 1 / (1 + exp(-2 * avg(CASE WHEN y = k THEN 1.0::DOUBLE ELSE -1 END))) AS own FROM p, (SELECT unnest([0, 1, 2]) AS k) GROUP BY x, k),
+s AS (SELECT x, max(own) FILTER (k = 0) / sum(own) AS p0, max(own) FILTER (k = 1) / sum(own) AS p1, max(own) FILTER (k = 2) / sum(own) AS p2 FROM m GROUP BY x)
+SELECT PlayerID, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS prediction FROM p JOIN s USING (x)""")
+def gbt_multiclass_one_round(spark, folder):
+    """One round of depth 1 on one 0/1 column, saved and loaded: a class's margin is the mean of its +1 and -1 by that column."""
+    p = G.player_features(V.players(spark, folder)).withColumn("label", F.col("EngagementLevel").cast("double"))
+    flag = VectorAssembler(inputCols=["InGamePurchases"], outputCol="features")
+    model = M.fit_gbt_multiclass(p, 3, transform=M.Pipeline(stages=[flag]), rounds=1, depth=1)
+    path = fresh_root(spark, "booster")
+    io.save_artifact(model, p, path)
+    loaded, held_out = io.load_artifact(spark, path)
+    out = M.scored_multiclass(loaded, held_out, "PlayerID", "label")
+    return rounded(out.select(F.col("id").alias("PlayerID"), *[F.col("probability")[k].alias(f"p{k}") for k in range(3)], "prediction"))
+
+
+STEP, ROUNDS = 0.3, 6
+
+
+@BOOK.add("cv_rounds", f"""WITH RECURSIVE o AS (SELECT CASE WHEN o_totalprice >= 150000 THEN 1 ELSE 0 END AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1 END AS y, o_orderkey % 3 AS fold FROM orders),
+f AS (SELECT unnest([0, 1, 2]) AS held),
+s AS (SELECT held, x, 1 AS round, avg(y) AS m, avg(CASE WHEN y > 0 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM o, f WHERE fold <> held GROUP BY held, x
+    UNION ALL SELECT held, x, round + 1, m + {STEP} * (share * 4 / (1 + exp(2 * m)) - (1 - share) * 4 / (1 + exp(-2 * m))), share FROM s WHERE round < {ROUNDS}),
+l AS (SELECT held, round, avg(ln(1 + exp(-2 * y * m))) AS loss FROM o JOIN s ON fold = held AND o.x = s.x GROUP BY held, round),
+a AS (SELECT round, avg(loss) AS score FROM l GROUP BY round)
+SELECT CAST(round AS INTEGER) AS round, round(score, 7) AS score, round = (SELECT arg_min(round, (score, round)) FROM a) AS best FROM a""")
+def cv_rounds(spark, folder):
+    """Held-out loss after each round of a booster on one 0/1 column, whose margins follow a recursion."""
+    rows = V.table(spark, folder, "orders").select(
+        (F.col("o_totalprice") >= 150000).cast("double").alias("x"), (F.col("o_orderstatus") == "F").cast("double").alias("label"), (F.col("o_orderkey") % 3).alias("fold"),
+    )
+    rows = materialize(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows))
+    found = B.cv_rounds(M.gbt(rounds=ROUNDS, depth=1, rate=STEP), rows, 3, metric="log_loss", patience=ROUNDS)
+    return rounded(found.scores.select("round", "score", "best"), 7)
+
+
+@BOOK.add("resampled_folds", """WITH t AS (SELECT COUNT(*) // 5 AS target FROM embeddings), f AS (SELECT unnest([0, 1, 2]) AS fold),
+n AS (SELECT f.fold, vec_id % 3 = f.fold AS held, label, COUNT(*) AS n FROM embeddings, f GROUP BY ALL),
+a AS (SELECT fold, held, label, n, CASE WHEN held OR label > 1 THEN 0 ELSE greatest(target - n, 0) END AS more FROM n, t)
+SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN held THEN 'validation' ELSE 'train' END AS part, label, n + more AS n, more AS n_synthetic FROM a""")
+def resampled_folds(spark, folder):
+    """Rows by class that each fold of a search is fitted on, after resampling, and validated on."""
+    v = V.vectors(spark, folder)
+    rows = materialize(v.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), (F.col("id") % 3).alias("fold")))
+    target = rows.count() // 5
+    resampler = E.Resampler(targets=E.Resampler.counts({0: target, 1: target}), tomek=False)
+    return E.fold_counts(E.TrainingPipeline(stages=[resampler, E.PenalisedLogistic(maxIter=1)]), rows, range(3))
+
+
+@BOOK.add("tree_splits", """SELECT 'x' AS feature, 1 AS splits, COUNT(*)::DOUBLE AS cover, round(var_pop(y) - sum((y - m) * (y - m)) / COUNT(*), 6) AS gain FROM (
+SELECT y, avg(y) OVER (PARTITION BY x) AS m FROM (SELECT o_totalprice >= 150000 AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1 END AS y FROM orders))
+UNION ALL SELECT 'constant', 0, 0, 0""")
+def tree_splits(spark, folder):
+    """Splits, mean gain and mean rows of a single tree's one split, read from the saved nodes: the gain is the drop in variance."""
+    rows = V.table(spark, folder, "orders").select((F.col("o_totalprice") >= 150000).cast("double").alias("x"), F.lit(1.0).alias("constant"), (F.col("o_orderstatus") == "F").cast("double").alias("label"))
+    model = M.fit_gbt(rows, M.Pipeline(stages=[VectorAssembler(inputCols=["x", "constant"], outputCol="features")]), rounds=1, depth=1)
+    return rounded(M.feature_importance(model, ["x", "constant"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import columns_of
+from cohortry.operators.boosting import split_importance
 from cohortry.operators.curves import curve_areas
+from cohortry.operators.estimators import BoosterOfClasses
 from cohortry.operators.ranking import top_abs
 from cohortry.operators.relational import binary_columns
 
@@ -131,36 +134,10 @@ def rounds_used(model: PipelineModel) -> int:
     return model.stages[-1].getNumTrees
 
 
-@dataclass(frozen=True)
-class MulticlassBooster:
-    """One binary booster per class; their probabilities are scaled to add up to 1."""
-
-    transform: PipelineModel | None
-    models: list
-
-    def transform_rows(self, df: DataFrame) -> DataFrame:
-        out = self.transform.transform(df) if self.transform else df
-        for model in self.models:
-            out = model.transform(out)
-        own = [vector_to_array(F.col(f"probability_{k}"))[1] for k in range(len(self.models))]
-        total = sum(own[1:], own[0])
-        p = F.array(*[F.try_divide(x, total) for x in own])
-        drop = [f"{c}_{k}" for c in ("prediction", "probability", "rawPrediction", "is") for k in range(len(self.models))]
-        out = out.withColumn("probability", p).drop(*drop)
-        top = F.array_position("probability", F.array_max("probability")) - 1
-        return out.withColumn("prediction", top.cast("double"))
-
-
-def fit_gbt_multiclass(train: DataFrame, classes: int, label: str = "label", transform: Pipeline | None = None, **options) -> MulticlassBooster:
-    """K one-against-the-rest boosters, since Spark's booster is binary."""
-    fitted = transform.fit(train) if transform else None
-    data = fitted.transform(train) if fitted else train
-    data = data.select("features", label)
-    models = []
-    for k in range(classes):
-        one = data.withColumn(f"is_{k}", (F.col(label) == k).cast("double"))
-        models.append(gbt(label=f"is_{k}", output=f"_{k}", **options).fit(one))
-    return MulticlassBooster(fitted, models)
+def fit_gbt_multiclass(train: DataFrame, classes: int, label: str = "label", transform: Pipeline | None = None, rounds: int = 100, depth: int = 3, rate: float = 0.1, sample: float = 1.0, min_leaf: int = 1, features: str = "all", seed: int = 42) -> PipelineModel:
+    """Transform and a booster of several classes as one fitted pipeline."""
+    booster = BoosterOfClasses(classes=classes, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=sample, minInstancesPerNode=min_leaf, featureSubsetStrategy=features, seed=seed)
+    return Pipeline(stages=[*(transform.getStages() if transform else []), booster]).fit(train)
 
 
 def logistic(n_rows: int, c: float = 1.0, penalty: str = "l2", l1_ratio: float = 0.5, label: str = "label", rounds: int = 200) -> LogisticRegression:
@@ -194,7 +171,7 @@ def scored(model: PipelineModel, df: DataFrame, key: str, label: str) -> DataFra
 
 def scored_multiclass(model, df: DataFrame, key: str, label: str) -> DataFrame:
     """Multi-class scores: (id, label, prediction, probability, probability_max)."""
-    out = model.transform_rows(df) if isinstance(model, MulticlassBooster) else model.transform(df).withColumn("probability", vector_to_array("probability"))
+    out = model.transform(df).withColumn("probability", vector_to_array("probability"))
     return out.select(
         F.col(key).alias("id"), F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "probability", F.array_max("probability").alias("probability_max"),
     )
@@ -245,18 +222,50 @@ class Uniform:
         return round(x) if self.whole else x
 
 
+def _scattered(i: int, n: int, seed: int) -> int:
+    """Number i of a fixed shuffle of 0..n-1: Feistel rounds over the least even number of bits, walked until inside."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = i >> half, i & mask
+        for step in range(4):
+            digest = hashlib.blake2b(f"{seed}:{step}:{right}".encode(), digest_size=16).digest()
+            left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def _unranked(lists: list[tuple[Param, list]], i: int) -> dict:
+    """Number i of all combinations of the lists; the last list changes fastest."""
+    out = {}
+    for p, values in reversed(lists):
+        i, at = divmod(i, len(values))
+        out[p] = values[at]
+    return {p: out[p] for p, _ in lists}
+
+
+def grid_params(space: dict[Param, Sequence]) -> list[dict]:
+    """Every combination of the lists, the last one changing fastest; values that repeat count once."""
+    lists = [(p, list(dict.fromkeys(values))) for p, values in space.items()]
+    return [_unranked(lists, i) for i in range(math.prod(len(v) for _, v in lists))]
+
+
 def draw_params(space: dict[Param, Sequence | Uniform], n: int, seed: int = 42) -> list[dict]:
-    """n parameter maps drawn from lists or ranges; repeated list-only draws are dropped."""
+    """n parameter maps drawn from lists or ranges.
+
+    Combinations of the lists come in a seeded shuffle of all of them, without looking at any twice,
+    so a space of lists alone gives n different maps, or all if it has fewer; with ranges the
+    combinations start over after the last.
+    """
     rng = random.Random(seed)
-    maps, seen = [], set()
-    for _ in range(20 * n):
-        m = {p: (s.draw(rng) if isinstance(s, Uniform) else rng.choice(list(s))) for p, s in space.items()}
-        tag = repr(sorted((p.name, v) for p, v in m.items()))
-        if tag not in seen:
-            seen.add(tag)
-            maps.append(m)
-        if len(maps) == n:
-            break
+    lists = [(p, list(dict.fromkeys(v))) for p, v in space.items() if not isinstance(v, Uniform)]
+    total = math.prod(len(v) for _, v in lists)
+    ranges = {p: u for p, u in space.items() if isinstance(u, Uniform)}
+    maps = []
+    for i in range(n if ranges else min(n, total)):
+        fixed = _unranked(lists, _scattered(i % total, total, seed))
+        maps.append({p: ranges[p].draw(rng) if p in ranges else fixed[p] for p in space})
     return maps
 
 
@@ -268,9 +277,8 @@ class Search:
     trials: DataFrame
 
 
-def random_search(estimator: Estimator, train: DataFrame, space: dict, n: int, folds: int, fold: str = "fold", metric: str = "f1", label: str = "label", parallelism: int = 4, seed: int = 42) -> Search:
-    """Cross-validate n drawn parameter maps on a given fold column and refit the best."""
-    maps = draw_params(space, n, seed)
+def search(estimator: Estimator, train: DataFrame, maps: list[dict], folds: int, fold: str = "fold", metric: str = "f1", label: str = "label", parallelism: int = 4, seed: int = 42) -> Search:
+    """Cross-validate parameter maps on a given fold column and refit the best; the first of equal ones."""
     ev = evaluator(metric, label)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, foldCol=fold, parallelism=parallelism, seed=seed)
     fitted = cv.fit(train)
@@ -283,6 +291,16 @@ def random_search(estimator: Estimator, train: DataFrame, space: dict, n: int, f
     return Search(fitted.bestModel, named[best], scores[best], trials)
 
 
+def random_search(estimator: Estimator, train: DataFrame, space: dict, n: int, folds: int, fold: str = "fold", metric: str = "f1", label: str = "label", parallelism: int = 4, seed: int = 42) -> Search:
+    """Search over n drawn parameter maps."""
+    return search(estimator, train, draw_params(space, n, seed), folds, fold, metric, label, parallelism, seed)
+
+
+def grid_search(estimator: Estimator, train: DataFrame, space: dict[Param, Sequence], folds: int, fold: str = "fold", metric: str = "f1", label: str = "label", parallelism: int = 4, seed: int = 42) -> Search:
+    """Search over every combination."""
+    return search(estimator, train, grid_params(space), folds, fold, metric, label, parallelism, seed)
+
+
 def nested_cv(estimator: Estimator, df: DataFrame, space: dict, n: int, outer: int, inner: int, outer_fold: str = "outer_fold", inner_fold: str = "fold", metric: str = "f1", label: str = "label", seed: int = 42) -> DataFrame:
     """Search on all but one outer fold, score on that one: (outer_fold, params, score)."""
     ev = evaluator(metric, label)
@@ -327,14 +345,5 @@ def top_coefficients(model: PipelineModel, names: Sequence[str], n: int = 15) ->
 
 
 def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    """Gain importance and number of splits per feature, least important first."""
-    booster = model.stages[-1]
-    gain = booster.featureImportances.toArray()
-    splits = [0] * len(names)
-    # each split prints one "If (feature i ...)" line
-    for line in booster.toDebugString.splitlines():
-        line = line.strip()
-        if line.startswith("If (feature "):
-            splits[int(line.split()[2])] += 1
-    rows = [(n, float(g), s) for n, g, s in zip(names, gain, splits)]
-    return _session().createDataFrame(rows, "feature string, gain double, splits int").orderBy("splits", "gain", "feature")
+    """(feature, splits, gain, cover) from the trees of a fitted booster, least used first."""
+    return split_importance(model.stages[-1], names)
