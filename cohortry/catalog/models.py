@@ -297,9 +297,9 @@ def resampled_folds(spark, folder):
     return E.fold_counts(E.TrainingPipeline(stages=[resampler, E.PenalisedLogistic(maxIter=1)]), rows, range(3))
 
 
-@BOOK.add("tree_splits", """SELECT 'x' AS feature, 1 AS splits, COUNT(*)::DOUBLE AS cover, round(var_pop(y) - sum((y - m) * (y - m)) / COUNT(*), 6) AS gain FROM (
+@BOOK.add("tree_splits", """SELECT 'x' AS feature, 1::DOUBLE AS gain, 1 AS splits, round(var_pop(y) - sum((y - m) * (y - m)) / COUNT(*), 6) AS mean_gain, COUNT(*)::DOUBLE AS cover FROM (
 SELECT y, avg(y) OVER (PARTITION BY x) AS m FROM (SELECT o_totalprice >= 150000 AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE -1 END AS y FROM orders))
-UNION ALL SELECT 'constant', 0, 0, 0""")
+UNION ALL SELECT 'constant', 0, 0, 0, 0""")
 def tree_splits(spark, folder):
     """Splits, mean gain and mean rows of a single tree's one split, read from the saved nodes: the gain is the drop in variance."""
     rows = V.table(spark, folder, "orders").select((F.col("o_totalprice") >= 150000).cast("double").alias("x"), F.lit(1.0).alias("constant"), (F.col("o_orderstatus") == "F").cast("double").alias("label"))

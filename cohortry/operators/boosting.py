@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.operators.ranking import running_totals
@@ -18,7 +18,7 @@ from cohortry.session import materialize, shared_folder
 
 
 def tree_table(model) -> DataFrame:
-    """Nodes of all trees: (tree, weight, node, prediction, rows, gain, left, right, feature, threshold, categories).
+    """Nodes of all trees: (tree, weight, node, prediction, rows, weighted_rows, gain, left, right, feature, threshold, categories).
 
     ``feature`` is -1 in a leaf.  Rows go left if their value is at most ``threshold``, or among
     ``categories`` where the split has some.  Read from the saved form of the model, which is written
@@ -31,7 +31,7 @@ def tree_table(model) -> DataFrame:
     node, split = "nodeData", "nodeData.split"
     rows = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), F.col(f"{node}.id").alias("node"), F.col(f"{node}.prediction").alias("prediction"),
-        F.col(f"{node}.rawCount").alias("rows"), F.col(f"{node}.gain").alias("gain"), F.col(f"{node}.leftChild").alias("left"), F.col(f"{node}.rightChild").alias("right"),
+        F.col(f"{node}.rawCount").alias("rows"), F.get(f"{node}.impurityStats", F.lit(0)).alias("weighted_rows"), F.col(f"{node}.gain").alias("gain"), F.col(f"{node}.leftChild").alias("left"), F.col(f"{node}.rightChild").alias("right"),
         F.col(f"{split}.featureIndex").alias("feature"),
         F.when((F.col(f"{split}.featureIndex") >= 0) & (F.col(f"{split}.numCategories") < 0), F.get(f"{split}.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
         F.when(F.col(f"{split}.numCategories") >= 0, F.col(f"{split}.leftCategoriesOrThreshold")).alias("categories"),
@@ -46,15 +46,19 @@ def _session():
 
 
 def split_importance(model, names: Sequence[str]) -> DataFrame:
-    """Per feature (feature, splits, gain, cover), least used first.
+    """Per feature (feature, gain, splits, mean_gain, cover), least used first.
 
-    ``gain`` and ``cover`` are the mean gain of its splits and the mean number of training rows that
-    reach them; 0 for a feature that is never split on.
+    ``gain`` is its share of all gain, weighted by the rows of the node; ``mean_gain`` and ``cover`` are
+    the mean gain of its splits and the mean number of training rows that reach them.  All are 0 for a
+    feature that is never split on.
     """
-    trees = tree_table(model)
-    used = trees.where("feature >= 0").groupBy("feature").agg(F.count("*").alias("splits"), F.avg("gain").alias("gain"), F.avg("rows").alias("cover"))
-    every = trees.sparkSession.createDataFrame(list(enumerate(names)), "feature int, name string")
-    out = every.join(used, "feature", "left").select(F.col("name").alias("feature"), F.coalesce("splits", F.lit(0)).cast("int").alias("splits"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("gain", "cover")])
+    own = F.sum(F.col("gain") * F.col("weighted_rows"))
+    used = tree_table(model).where("feature >= 0").groupBy("feature").agg(own.alias("_own"), F.count("*").alias("splits"), F.avg("gain").alias("mean_gain"), F.avg("rows").alias("cover"))
+    every = used.sparkSession.createDataFrame(list(enumerate(names)), "feature int, name string")
+    whole = F.sum("_own").over(Window.partitionBy())  # one row a feature
+    out = every.join(used.withColumn("gain", F.try_divide("_own", whole)), "feature", "left").drop("feature")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("gain", "mean_gain", "cover")]
+    out = out.select(F.col("name").alias("feature"), zero[0], F.coalesce("splits", F.lit(0)).cast("int").alias("splits"), *zero[1:])
     return out.orderBy("splits", "gain", "feature")
 
 

@@ -345,5 +345,5 @@ def top_coefficients(model: PipelineModel, names: Sequence[str], n: int = 15) ->
 
 
 def feature_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
-    """(feature, splits, gain, cover) from the trees of a fitted booster, least used first."""
+    """(feature, gain, splits, mean_gain, cover) from the trees of a fitted booster, least used first."""
     return split_importance(model.stages[-1], names)

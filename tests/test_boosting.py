@@ -132,4 +132,5 @@ def test_split_importance(rows):
     out = {r["feature"]: r for r in M.feature_importance(model, ["a", "b"]).collect()}
     lines = [x.strip() for x in model.stages[-1].toDebugString.splitlines() if x.strip().startswith("If (feature ")]
     assert [out[n]["splits"] for n in "ab"] == [sum(x.startswith(f"If (feature {i} ") for x in lines) for i in (0, 1)]
-    assert out["a"]["gain"] > 0 and out["a"]["cover"] <= 300
+    assert np.allclose([out[n]["gain"] for n in "ab"], model.stages[-1].featureImportances.toArray())
+    assert out["a"]["mean_gain"] > 0 and out["a"]["cover"] <= 300
