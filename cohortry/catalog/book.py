@@ -34,6 +34,11 @@ def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
     return out
 
 
+def hash_sql(key: str, seed: int = 42) -> str:
+    """SQL of ``row_hash(key, seed=seed)``."""
+    return f"CAST('0x' || substr(md5({key} || ':{seed}'), 1, 15) AS BIGINT)"
+
+
 def with_views(*names: str) -> str:
     """``WITH RECURSIVE`` and the given view definitions."""
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)

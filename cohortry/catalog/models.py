@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from cohortry.catalog.book import Book, rounded, with_views
+from cohortry.catalog.book import Book, hash_sql, rounded, with_views
 from cohortry.catalog.donors import ON, _labels
 from cohortry.operators import boosting as B
 from cohortry.operators import curves as C
@@ -34,7 +34,7 @@ q AS (SELECT o_orderstatus, c.n, CAST(floor(c.n * total / CAST(t.n AS DOUBLE)) A
 z AS (SELECT o_orderstatus, n, base + CASE WHEN r <= total - (SELECT SUM(base) FROM q) THEN 1 ELSE 0 END AS test FROM q)
 SELECT o_orderstatus, true AS is_test, CAST(test AS BIGINT) AS n FROM z UNION ALL SELECT o_orderstatus, false, CAST(n - test AS BIGINT) FROM z""")
 def stratified(spark, folder):
-    """Exact class shares; which rows fall where follows from a hash DuckDB does not have."""
+    """Exact class shares; the rows themselves are in ``stratified_split_rows``."""
     out = stratified_split(V.table(spark, folder, "orders"), "o_orderstatus", "o_orderkey", 0.3)
     return out.groupBy("o_orderstatus", "is_test").agg(F.count("*").alias("n"))
 
@@ -46,6 +46,20 @@ def kfold(spark, folder):
     return out.groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
 
 
+@BOOK.add("stratified_split_rows", f"""WITH c AS (SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus), t AS (SELECT CAST(ceil(0.3 * SUM(n)) AS BIGINT) AS total, SUM(n) AS n FROM c),
+q AS (SELECT o_orderstatus, c.n * total // t.n AS base, total, row_number() OVER (ORDER BY c.n * total % t.n DESC, o_orderstatus) AS r FROM c, t),
+z AS (SELECT o_orderstatus, base + CASE WHEN r <= total - (SELECT SUM(base) FROM q) THEN 1 ELSE 0 END AS test FROM q)
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql('o_orderkey')}, o_orderkey) <= test AS is_test FROM orders JOIN z USING (o_orderstatus)""")
+def stratified_rows(spark, folder):
+    return stratified_split(V.table(spark, folder, "orders"), "o_orderstatus", "o_orderkey", 0.3).select("o_orderkey", "is_test")
+
+
+@BOOK.add("kfold_rows", f"""WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql('o_orderkey')}, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT o_orderkey, CAST(len(list_filter(range(1, 5), lambda i: r > n * i // 5)) AS INTEGER) AS fold FROM r""")
+def kfold_rows(spark, folder):
+    return kfold_column(V.table(spark, folder, "orders"), "o_orderstatus", "o_orderkey", 5).select("o_orderkey", "fold")
+
+
 @BOOK.add("knn", with_views("vectors") + """, d AS (SELECT a.id, b.id AS neighbour, list_sum(list_transform(list_zip(a.features, b.features), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS s FROM vectors a JOIN vectors b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, neighbour) AS pos FROM d)
 SELECT id, neighbour, round(sqrt(s), 6) AS distance, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 5""")
@@ -224,6 +238,27 @@ def importance(spark, folder):
     return permutation_importance(model.transform, rows.where("is_test"), "PlayerID", "label", columns, repeats=3)
 
 
+RULE = "CASE WHEN {0} >= 150000 OR {1} = '1-URGENT' THEN 1 ELSE 0 END"
+
+
+@BOOK.add("rule_importance", f"""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, o_totalprice AS price, o_orderpriority AS priority FROM orders),
+k AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('id')}, id) AS rank, count(*) OVER () AS n FROM o),
+s AS (SELECT r, CAST('0x' || substr(md5('42:' || r), 1, 15) AS BIGINT) AS h FROM (SELECT unnest(range(0, 4)) AS r)),
+j AS (SELECT k.label, r, k.price, k.priority, d.price AS other_price, d.priority AS other_priority FROM k, s, k d WHERE d.rank = (k.rank - 1 + h % (k.n - 1) + 1) % k.n + 1),
+t AS (SELECT 'price' AS feature, r, label, {RULE.format('other_price', 'priority')} AS p FROM j UNION ALL SELECT 'priority', r, label, {RULE.format('price', 'other_priority')} FROM j
+    UNION ALL SELECT '', -1, label, {RULE.format('price', 'priority')} FROM o),
+f AS (SELECT feature, r, c, sum(CASE WHEN label = c THEN 1 ELSE 0 END) AS support, 2.0::DOUBLE * sum(CASE WHEN label = c AND p = c THEN 1 ELSE 0 END) / sum(CASE WHEN label = c THEN 1 ELSE 0 END + CASE WHEN p = c THEN 1 ELSE 0 END) AS f1 FROM t, (SELECT unnest([0, 1]) AS c) GROUP BY feature, r, c),
+w AS (SELECT feature, r, sum(f1 * support) / sum(support) AS f1 FROM f GROUP BY feature, r),
+l AS (SELECT feature, (SELECT f1 FROM w WHERE feature = '') - f1 AS lost FROM w WHERE feature <> '')
+SELECT feature, round(avg(lost), 7) + 0 AS importance, round(stddev_pop(lost), 7) + 0 AS std FROM l GROUP BY feature""")
+def rule_importance(spark, folder):
+    """Permutation importance where the model is a fixed rule."""
+    o = V.table(spark, folder, "orders")
+    o = o.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    rule = lambda df: df.withColumn("prediction", F.expr(RULE.format("price", "priority")))
+    return rounded(permutation_importance(rule, o, "o_orderkey", "label", ["price", "priority"], repeats=4), 7)
+
+
 @BOOK.add("artifact_round_trip", "SELECT CAST(ceil(0.25 * COUNT(*)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_different FROM customer")
 def artifact_round_trip(spark, folder):
     """Held-out rows scored by a model and by its saved and loaded copy."""

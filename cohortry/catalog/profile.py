@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from cohortry.catalog.book import Book, rounded, with_views
+from cohortry.catalog.book import Book, hash_sql, rounded, with_views
 from cohortry.functions import scalar as S
 from cohortry.operators import profile as P
 from cohortry.operators import ranking as R
@@ -169,7 +169,7 @@ def top_abs(spark, folder):
     return R.top_abs(V.table(spark, folder, "customer").select("c_mktsegment", "c_custkey", "c_acctbal"), "c_acctbal", 5, ["c_mktsegment"])
 
 
-@BOOK.add("sample_n")
+@BOOK.add("sample_n", f"SELECT * FROM customer ORDER BY {hash_sql('c_custkey')}, c_custkey LIMIT 200")
 def sample_n(spark, folder):
     return R.sample_n(V.table(spark, folder, "customer"), 200, "c_custkey")
 
@@ -224,6 +224,11 @@ def random_benchmark(spark, folder):
     return r.agg(F.count("*").alias("n"), F.bool_and(v.between(0, 99)).alias("in_range"), F.avg(v).between(45, 54).alias("spread"))
 
 
+@BOOK.add("random_benchmark_rows", f"SELECT o_orderkey, CAST({hash_sql('o_orderkey')} % 100 AS INTEGER) AS random_value FROM orders")
+def random_benchmark_rows(spark, folder):
+    return S.random_benchmark(V.table(spark, folder, "orders"), "o_orderkey").select("o_orderkey", "random_value")
+
+
 @BOOK.add("text_casts", "SELECT doc_id, try_cast(source AS DOUBLE) AS source_number, try_cast(substr(CAST(n_chars AS VARCHAR), 1, 2) AS DOUBLE) AS head FROM documents")
 def text_casts(spark, folder):
     d = V.table(spark, folder, "documents")

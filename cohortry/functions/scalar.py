@@ -163,12 +163,17 @@ def overlaps(start: ColumnLike, days: ColumnLike, first: dt.date, last: dt.date)
 
 
 def row_hash(*columns: ColumnLike, seed: int = 0) -> Column:
-    return F.xxhash64(*[as_column(c) for c in columns], F.lit(seed))
+    """A whole number in [0, 2^60): the first 15 hex digits of the MD5 of ``column:...:seed``.
+
+    Any engine with MD5 gives the same, so splits and samples can be checked row by row.
+    """
+    text = F.concat_ws(":", *[as_column(c).cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def unit_hash(*columns: ColumnLike, seed: int = 0) -> Column:
     """Uniform double in [0, 1), fixed by the columns and the seed."""
-    return F.shiftrightunsigned(row_hash(*columns, seed=seed), 11).cast("double") / F.lit(float(1 << 53))
+    return F.shiftright(row_hash(*columns, seed=seed), 7).cast("double") / F.lit(float(1 << 53))
 
 
 def random_benchmark(df: DataFrame, key: str, seed: int = 42, name: str = "random_value") -> DataFrame:
