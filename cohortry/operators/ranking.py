@@ -11,11 +11,12 @@ since a second run of the sampling could draw other partition bounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.functions.scalar import row_hash
 from cohortry.session import materialize
@@ -139,21 +140,150 @@ def tile_of(rank: Column, total: int, tiles: int) -> Column:
     return F.when(rank <= large, F.floor((rank - 1) / (base + 1)) + 1).otherwise(small).cast("bigint")
 
 
+#: Size of a quantile sketch, and a share of the rows that exceeds its error in rank.
+_SKETCH, _MARGIN = 65535, 0.0003
+
+
+def _numeric(kind: T.DataType) -> bool:
+    return isinstance(kind, T.NumericType)
+
+
+def _sketched(value: Column) -> Column:
+    # sketches pass over NaN, which is larger than every number here
+    return F.nanvl(value.cast("double"), F.lit(float("inf")))
+
+
+def last_ranks(total: int, tiles: int) -> list[int]:
+    """The rank of the last row of each tile, as NTILE deals them."""
+    base, extra = divmod(total, tiles)
+    return [t * base + min(t, extra) for t in range(1, tiles + 1)]
+
+
+def rows_at(df: DataFrame, columns: Sequence[str], key: str, ranks: Callable[[int], Sequence[int]]) -> tuple[int, dict[str, dict[int, tuple] | None]]:
+    """The number of rows n, and per column the (value, key) at each rank of ``ranks(n)``, in order of
+    value (NULLs first), then key.
+
+    Exact, without sorting the table: quantile sketches of all columns, from one pass, bracket the
+    values at those ranks; a second pass counts the rows between the brackets and keeps (value, key)
+    of those inside, and only these are sorted.  A bracket that proves too narrow is widened.  A
+    column is None if equal pairs of value and key lie on both sides of a rank.  All columns must be
+    of one numeric type.  The table is read twice or more: store it if it is costly.  Runs actions.
+    """
+    spark = df.sparkSession
+    sums = df.agg(F.count("*").alias("n"), *[f(F.col(c)).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in (("f", F.count), ("s", lambda x: F.kll_sketch_agg_double(_sketched(x), F.lit(_SKETCH))))])
+    sums = materialize(sums)
+    head = sums.drop(*[f"s{i}" for i in range(len(columns))]).first()
+    total = head["n"]
+    wanted = sorted({r for r in ranks(total) if 1 <= r <= total})
+    if not wanted:
+        return total, {c: {} for c in columns}
+    kind = df.schema[columns[0]].dataType.simpleString()
+    margin, out, left = _MARGIN, {}, list(range(len(columns)))
+    while left:
+        spans = {}
+        for i in left:
+            some = head[f"f{i}"]
+            at = [(r - (total - some)) / some for r in wanted if r > total - some]
+            if at:
+                quantile = lambda x, i=i: F.kll_sketch_get_quantile_double(f"s{i}", F.lit(x))
+                row = sums.select(*[quantile(min(1.0, max(0.0, x + d))) for x in at for d in (-margin, margin)]).first()
+                pairs = sorted(zip(row[::2], row[1::2]))
+                if margin >= 1:
+                    pairs = [(float("-inf"), float("inf"))]
+                spans[i] = []
+                for low, high in pairs:
+                    if spans[i] and low <= spans[i][-1][1]:
+                        spans[i][-1] = (spans[i][-1][0], max(high, spans[i][-1][1]))
+                    else:
+                        spans[i].append((low, high))
+            else:
+                spans[i] = []
+        parts = []
+        for i in left:
+            value = _sketched(F.col(columns[i]))
+            lows, highs = (F.array(*[F.lit(x[k]).cast("double") for x in spans[i]]) for k in (0, 1))
+            place = F.size(F.filter(highs, lambda h, value=value: h < value))
+            inside = F.coalesce(F.get(lows, place) <= value, F.lit(False))
+            code = F.when(F.col(columns[i]).isNull(), -1).otherwise(2 * place + inside.cast("int"))
+            parts.append(F.struct(F.lit(i).alias("c"), code.alias("code"), F.col(columns[i]).cast(kind).alias("value")))
+        long = df.select(F.col(key).alias("key"), F.explode(F.array(*parts)).alias("_x")).select("key", "_x.*")
+        counts = {(r["c"], r["code"]): r["n"] for r in long.groupBy("c", "code").agg(F.count("*").alias("n")).collect()}
+        picks, failed = [], []
+        for i in left:
+            below, mine = 0, []
+            for code in sorted(k for c, k in counts if c == i):
+                mine += [(i, code, r - below, r) for r in wanted if below < r <= below + counts[i, code]]
+                below += counts[i, code]
+            if any(code >= 0 and code % 2 == 0 for _, code, _, _ in mine):
+                failed.append(i)
+            else:
+                picks += mine
+        if picks:
+            codes = {(c, code) for c, code, _, _ in picks}
+            chosen = long.join(F.broadcast(spark.createDataFrame(list(codes), "c int, code int")), ["c", "code"])
+            ranked = rank_within(chosen, ["c", "code"], [F.col("value").asc_nulls_first(), F.col("key").asc_nulls_first()], "_r")
+            # the row after as well: it must differ
+            near = [(c, code, at + d, r + d / 2) for c, code, at, r in picks for d in (0, 1)]
+            found = ranked.join(F.broadcast(spark.createDataFrame([(c, k, r, float(t)) for c, k, r, t in near], "c int, code int, _r long, rank double")), ["c", "code", "_r"])
+            rows = {(r["c"], r["rank"]): (r["value"], r["key"]) for r in found.collect()}
+            for i in left:
+                mine = [(r, rows[i, float(r)], rows.get((i, r + 0.5))) for c, _, _, r in picks if c == i]
+                if mine:
+                    same = any(after is not None and after == pair for _, pair, after in mine)
+                    out[columns[i]] = None if same else {r: pair for r, pair, _ in mine}
+        left, margin = failed, margin * 8
+    return total, out
+
+
+def tile_columns(df: DataFrame, columns: dict[str, str], key: str, tiles: int = 100) -> DataFrame:
+    """NTILE over the whole table for each column (``columns`` maps it to the new name), NULLs first, ties split by ``key``.
+
+    Numeric columns of one type share two passes over the table, and no row is shuffled but those
+    near a boundary (see ``rows_at``); every row is then compared with the boundaries.  Columns of
+    other types, and those where a boundary falls between equal pairs of value and key, are sorted.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    edges: dict[str, list | None] = {}
+    for kind in {kinds[c].simpleString() for c in columns if _numeric(kinds[c])}:
+        same = [c for c in columns if kinds[c].simpleString() == kind]
+        total, found = rows_at(df, same, key, lambda n: last_ranks(n, tiles)[:-1])
+        edges |= {c: None if found[c] is None else [found[c][r] for r in sorted(found[c]) if r < total] for c in same}
+    out = df
+    for c, name in columns.items():
+        if edges.get(c) is None:
+            ranked = global_rank(out, [F.col(c).asc_nulls_first(), F.col(key)], "_rank")
+            out = ranked.rows.withColumn(name, tile_of(F.col("_rank"), ranked.total, tiles)).drop("_rank")
+            continue
+        pair = F.struct(F.col(c).alias("v"), F.col(key).alias("k"))
+        lits = [F.struct(F.lit(v).cast(kinds[c]).alias("v"), F.lit(k).cast(kinds[key]).alias("k")) for v, k in edges[c]]
+        # structs compare field by field, NULLs first
+        before = F.size(F.filter(F.array(*lits), lambda e: e < F.col("_pair"))) if lits else F.lit(0)
+        out = out.withColumn("_pair", pair).withColumn(name, (before + 1).cast("bigint")).drop("_pair")
+    return out
+
+
 def percentile_bucket(df: DataFrame, column: str, key: str, tiles: int = 100, name: str | None = None) -> DataFrame:
     """NTILE over the whole table, NULLs first, ties split by ``key``."""
-    ranked = global_rank(df, [F.col(column).asc_nulls_first(), F.col(key)], "_rank")
-    return ranked.rows.withColumn(name or f"percentile_{column}", tile_of(F.col("_rank"), ranked.total, tiles)).drop("_rank")
+    return tile_columns(df, {column: name or f"percentile_{column}"}, key, tiles)
 
 
 def quartiles_by_ntile(df: DataFrame, column: str, key: str) -> DataFrame:
     """Largest value among the first 25, 50 and 75 of 100 tiles, with the rows in them."""
-    b = percentile_bucket(df, column, key, name="_tile")
-    wide = b.agg(
-        *[F.count_if(F.col("_tile") <= p).alias(f"n{i}") for i, p in enumerate((25, 50, 75), 1)],
-        *[F.max(F.when(F.col("_tile") <= p, F.col(column))).alias(f"q{i}") for i, p in enumerate((25, 50, 75), 1)],
-    )
-    pieces = ", ".join(f"'Q{i}', n{i}, q{i}" for i in (1, 2, 3))
-    return wide.select(F.expr(f"stack(3, {pieces}) as (quartile, n, value)"))
+    return quartiles_of(df, [column], key).drop("measure")
+
+
+def quartiles_of(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """``quartiles_by_ntile`` of numeric columns of one type, in two passes: (measure, quartile, n, value)."""
+    three = (25, 50, 75)
+    total, found = rows_at(df, columns, key, lambda n: [last_ranks(n, 100)[p - 1] for p in three])
+    at = [last_ranks(total, 100)[p - 1] for p in three]
+    rows = []
+    for c in columns:
+        # equal pairs on both sides of a rank leave the value there as it is
+        pairs = found[c] if found[c] is not None else rows_at(df.select(c, F.monotonically_increasing_id().alias("_id")), [c], "_id", lambda _: at)[1][c]
+        rows += [(c, f"Q{i}", r, pairs[r][0] if r else None) for i, r in enumerate(at, 1)]
+    kind = df.schema[columns[0]].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"measure string, quartile string, n bigint, value {kind}")
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
@@ -184,19 +314,46 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     return out.select(*groups, "n", *values)
 
 
+def _narrowed(df: DataFrame, score: Column, descending: bool, k: int) -> DataFrame | None:
+    """Rows up to a bound that a quantile sketch puts beyond row k; None if there is none to find.
+
+    One pass.  That k rows lie within the bound is likely, not certain: the caller counts them.
+    """
+    if not _numeric(df.select(score.alias("_s")).schema[0].dataType):
+        return None
+    value = _sketched(score)
+    sums = materialize(df.agg(F.count(score).alias("n"), F.kll_sketch_agg_double(value, F.lit(_SKETCH)).alias("s")))
+    n = sums.select("n").first()["n"]
+    if n <= k:
+        return None
+    at = max(0.0, 1 - k / n - _MARGIN) if descending else min(1.0, k / n + _MARGIN)
+    bound = sums.select(F.kll_sketch_get_quantile_double("s", F.lit(at))).first()[0]
+    return df.where(value >= bound) if descending else df.where(score.isNull() | (value <= bound))
+
+
+def _pair_at(df: DataFrame, score: Column, descending: bool, key: str, k: int) -> Row | None:
+    """(_s, _k, _n, _upto) of the (score, key) that holds row k; None if there are fewer rows."""
+    counts = df.groupBy(score.alias("_s"), F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    order = [F.col("_s").desc_nulls_last() if descending else F.col("_s").asc_nulls_first(), F.col("_k").asc_nulls_first()]
+    run = running_totals(counts, order, {"_upto": "_n"}).where(F.col("_upto") >= k)
+    return run.agg(F.min_by(F.struct("_s", "_k", "_n", "_upto"), "_upto").alias("last")).first()["last"]
+
+
 def _first_k(df: DataFrame, score: Column, descending: bool, key: str, k: int) -> DataFrame:
     """Exactly ``min(k, n)`` rows that come first by score, then by key (an action).
 
-    Only the counts of (score, key) are ordered.  The pair that holds row k becomes a literal: rows
-    before it belong, and of the rows equal to it as many as are missing.  NULL scores come last
-    when descending and first when not; NULL keys come first.
+    A sketch of the scores bounds the rows to look at, and only the counts of their (score, key) are
+    ordered.  The pair that holds row k becomes a literal: rows before it belong, and of the rows equal
+    to it as many as are missing.  NULL scores come last when descending and first when not; NULL keys
+    come first.
     """
     if k <= 0:
         return df.limit(0)
-    counts = df.groupBy(score.alias("_s"), F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
-    order = [F.col("_s").desc_nulls_last() if descending else F.col("_s").asc_nulls_first(), F.col("_k").asc_nulls_first()]
-    run = running_totals(counts, order, {"_upto": "_n"}).where(F.col("_upto") >= k)
-    last = run.agg(F.min_by(F.struct("_s", "_k", "_n", "_upto"), "_upto").alias("last")).first()["last"]
+    narrowed = _narrowed(df, score, descending, k)
+    for rows in [df] if narrowed is None else [narrowed, df]:
+        last = _pair_at(rows, score, descending, key, k)
+        if last is not None:
+            break
     if last is None:
         return df
     same_score, same_key = score.eqNullSafe(F.lit(last["_s"])), F.col(key).eqNullSafe(F.lit(last["_k"]))

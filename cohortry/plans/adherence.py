@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import days_between, flag, neg_part, number, overlaps, pos_part
 from cohortry.operators.profile import iqr_outliers
-from cohortry.operators.ranking import global_rank, quartiles_by_ntile, tile_of
-from cohortry.operators.relational import having_count, in_population, stack_reports, union_distinct
+from cohortry.operators.ranking import global_rank, quartiles_of, tile_columns, tile_of
+from cohortry.operators.relational import having_count, in_population, union_distinct
 from cohortry.operators.windows import carry_forward as carry
 from cohortry.operators.windows import dense_number, next_event, running_sum
 from cohortry.plans.presets import COMPLIANT_AT, MIN_FILLS, PAID_STATUS
+from cohortry.session import materialize
 
 KEY = ["member_id", "class_id"]
 
@@ -264,10 +265,8 @@ def compare_measures(ratios: DataFrame, others: DataFrame) -> DataFrame:
 
 def with_percentiles(measures: DataFrame, columns: Sequence[str] = ("dppr", "mpr", "mprm"), key: str = "member_id") -> DataFrame:
     """Percentile bucket (1-100) of each measure over all members."""
-    for c in columns:
-        ranked = global_rank(measures, [F.col(c).asc_nulls_first(), F.col(key)], "_rank")
-        measures = ranked.rows.withColumn(f"percentile_{c}", tile_of(F.col("_rank"), ranked.total, 100)).drop("_rank")
-    return measures
+    # read for the sketches, the counts and the result
+    return tile_columns(materialize(measures), {c: f"percentile_{c}" for c in columns}, key)
 
 
 def measure_summary(measures: DataFrame, columns: Sequence[str] = ("dppr", "mpr", "mprm")) -> DataFrame:
@@ -278,7 +277,7 @@ def measure_summary(measures: DataFrame, columns: Sequence[str] = ("dppr", "mpr"
 
 
 def measure_quartiles(measures: DataFrame, columns: Sequence[str] = ("dppr", "mpr", "mprm"), key: str = "member_id") -> DataFrame:
-    return stack_reports({c: quartiles_by_ntile(measures.select(key, c), c, key) for c in columns}, "measure")
+    return quartiles_of(materialize(measures.select(key, *columns)), columns, key)
 
 
 def agreement_at(measures: DataFrame, reference: str, others: Sequence[str], cuts: Sequence[float] = (80, 50)) -> DataFrame:
