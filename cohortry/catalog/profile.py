@@ -116,12 +116,30 @@ def box_stats(spark, folder):
     return rounded(P.box_stats(V.table(spark, folder, "orders"), "o_totalprice", "o_orderpriority", whisker=0.3), 4)
 
 
-@BOOK.add("histogram", """WITH b AS (SELECT o_orderstatus, CAST(least(floor(o_totalprice / 25000.0::DOUBLE) + 1, 20) AS BIGINT) AS bin FROM orders WHERE o_totalprice BETWEEN 0 AND 500000)
-SELECT o_orderstatus, bin, (bin - 1) * 25000.0::DOUBLE AS bin_start, COUNT(*) AS n, round(CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER (PARTITION BY o_orderstatus), 6) AS share FROM b GROUP BY o_orderstatus, bin""")
+@BOOK.add("histogram", """WITH b AS (SELECT o_orderstatus, CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice > 500000 THEN 21 ELSE CAST(least(floor(o_totalprice / 25000.0::DOUBLE) + 1, 20) AS BIGINT) END AS bin FROM orders)
+SELECT o_orderstatus, bin, CASE WHEN bin > 0 THEN (bin - 1) * 25000.0::DOUBLE END AS bin_start, COUNT(*) AS n, round(CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER (PARTITION BY o_orderstatus), 6) AS share FROM b GROUP BY o_orderstatus, bin""")
 def histogram(spark, folder):
     return rounded(P.histogram(V.table(spark, folder, "orders"), "o_totalprice", 20, ["o_orderstatus"], 0.0, 500000.0))
 
 
+@BOOK.add("histogram_limits", """WITH b AS (SELECT o_orderstatus, CASE WHEN o_totalprice < 50000 THEN 0 WHEN o_totalprice > 300000 THEN 11 ELSE CAST(least(floor((o_totalprice - 50000) / 25000.0::DOUBLE) + 1, 10) AS BIGINT) END AS bin FROM orders)
+SELECT o_orderstatus, bin, CASE WHEN bin > 0 THEN 50000 + (bin - 1) * 25000.0::DOUBLE END AS bin_start, COUNT(*) AS n, round(CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER (PARTITION BY o_orderstatus), 6) AS share FROM b GROUP BY o_orderstatus, bin""")
+def histogram_limits(spark, folder):
+    """Limits within the data: what lies beyond them has bins of its own."""
+    return rounded(P.histogram(V.table(spark, folder, "orders"), "o_totalprice", 10, ["o_orderstatus"], 50000.0, 300000.0))
+
+
+@BOOK.add("density_by_class", """WITH s AS (SELECT o_orderstatus, COUNT(*) AS n, MIN(o_totalprice) AS low, MAX(o_totalprice) AS high, stddev_samp(o_totalprice) * pow(COUNT(*), -0.2) AS h FROM orders GROUP BY o_orderstatus),
+c AS (SELECT o_orderstatus, least(floor((o_totalprice - low) / ((high - low) / 512)), 511) AS cell, COUNT(*) AS c FROM orders JOIN s USING (o_orderstatus) GROUP BY ALL),
+g AS (SELECT o_orderstatus, CAST(point AS INTEGER) AS point, low - 3 * h + point * ((high - low + 6 * h) / 199) AS x FROM s, (SELECT unnest(range(0, 200)) AS point))
+SELECT o_orderstatus, point, round(x, 3) AS x, round(sum(c * exp(-pow((x - (low + (cell + 0.5) * ((high - low) / 512))) / h, 2) / 2)) / (n * h * sqrt(2 * pi())) * 1e6, 6) AS density
+FROM g JOIN s USING (o_orderstatus) JOIN c USING (o_orderstatus) GROUP BY o_orderstatus, point, x, n, h""")
+def density_by_class(spark, folder):
+    """Density of order values by status, per million of value."""
+    out = P.density(V.table(spark, folder, "orders"), "o_totalprice", ["o_orderstatus"])
+    return rounded(out.withColumn("density", F.col("density") * 1e6), 6, x=3)
+
+
 @BOOK.add("histogram_auto", """WITH m AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders), b AS (SELECT lo, (hi - lo) / 10 AS w, CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 10)) + 1, 10) AS BIGINT) AS bin FROM orders, m)
 SELECT bin, round(MIN(lo) + (bin - 1) * MIN(w), 4) AS bin_start, COUNT(*) AS n, round(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM orders), 6) AS share FROM b GROUP BY bin""")
 def histogram_auto(spark, folder):

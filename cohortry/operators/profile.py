@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import columns_of
@@ -134,7 +136,8 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = (), low
     """Equal-width histogram with the share within each class.
 
     Limits that are not given are the column's minimum and maximum (an action).  The last
-    bin is closed on the right.
+    bin is closed on the right.  Values below given limits count in bin 0, whose start is NULL, and
+    values above them, as NaN, in bin ``bins`` + 1, so that shares are of all values.
     """
     x = F.col(column).cast("double")
     if log10:
@@ -147,20 +150,50 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = (), low
     if low is None or high is None or high <= low:
         bins, low, high = 1, low or 0.0, (high if high is not None and low is not None and high > low else (low or 0.0) + 1.0)
     width = (high - low) / bins
-    bucket = F.least(F.floor((F.col("_x") - F.lit(low)) / F.lit(width)) + 1, F.lit(bins)).cast("bigint")
-    counts = (
-        data.where(F.col("_x").between(low, high)).withColumn("bin", bucket).groupBy(*by, "bin").agg(F.count("*").alias("n"))
-    )
+    inside = F.least(F.floor((F.col("_x") - F.lit(low)) / F.lit(width)) + 1, F.lit(bins))
+    bucket = F.when(F.col("_x") < low, 0).when(F.col("_x") > high, bins + 1).otherwise(inside).cast("bigint")
+    counts = data.withColumn("bin", bucket).groupBy(*by, "bin").agg(F.count("*").alias("n"))
     if by:
         totals = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
         counts = counts.join(totals, list(by))
     else:
         counts = counts.withColumn("_all", counts.agg(F.sum("n")).scalar())
     return counts.select(
-        *by, "bin", (F.lit(low) + (F.col("bin") - 1) * width).alias("bin_start"), "n", (F.col("n") / F.col("_all")).alias("share")
+        *by, "bin", F.when(F.col("bin") > 0, F.lit(low) + (F.col("bin") - 1) * width).alias("bin_start"), "n", (F.col("n") / F.col("_all")).alias("share")
     )
 
 
+def density(df: DataFrame, column: str, by: Sequence[str] = (), points: int = 200, cells: int = 512, common: bool = False, cut: float = 3.0, log10: bool = False) -> DataFrame:
+    """Gaussian kernel density of each class on a grid of its own: (by, point, x, density).
+
+    The bandwidth is the sample deviation times n^(-1/5); the grid runs from ``cut`` bandwidths below
+    the minimum to as many above the maximum.  Values are first counted in ``cells`` cells between
+    minimum and maximum and stand at the middle of theirs, so the kernels are summed over at most
+    cells x points rows a class, whatever its size.  With ``common`` the densities of all classes add
+    up to one, each to its share of the rows; otherwise each to one.  With ``log10`` the logarithms are
+    taken.  NULL, NaN and infinite values are left out; a class without two different values has no
+    rows.
+    """
+    x = F.col(column).cast("double")
+    x = F.log10(x) if log10 else x
+    data = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf")))
+    shape = data.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.stddev_samp("_x").alias("_sd"))
+    shape = shape.withColumn("_all", F.sum("_n").over(Window.partitionBy())).where("_high > _low")
+    shape = shape.withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
+    # the shapes are one row a class
+    match = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    placed = data.alias("d").join(shape.alias("s"), reduce(lambda a, b: a & b, match, F.lit(True))).select("s.*", "_x")
+    width = (F.col("_high") - F.col("_low")) / cells
+    cell = F.least(F.floor((F.col("_x") - F.col("_low")) / width), F.lit(cells - 1))
+    counts = placed.groupBy(*shape.columns, cell.alias("_cell")).agg(F.count("*").alias("_c"))
+    start, end = F.col("_low") - cut * F.col("_h"), F.col("_high") + cut * F.col("_h")
+    grid = counts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    grid = grid.withColumn("x", start + F.col("point") * ((end - start) / (points - 1)))
+    z = (F.col("x") - (F.col("_low") + (F.col("_cell") + 0.5) * width)) / F.col("_h")
+    kernel = F.sum(F.col("_c") * F.exp(-z * z / 2)) / (F.col("_h") * math.sqrt(2 * math.pi) * (F.col("_all") if common else F.col("_n")))
+    return grid.groupBy(*by, "point", "x", "_h", "_n", "_all").agg(kernel.alias("density")).select(*by, "point", "x", "density")
+
+
 def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Quartiles and the outlier limits Q1 - k·IQR and Q3 + k·IQR (runs actions)."""
     q = exact_quantiles(df, column, (0.25, 0.75)).withColumnsRenamed({"q0": "q25", "q1": "q75"})
