@@ -340,3 +340,26 @@ def tree_splits(spark, folder):
     rows = V.table(spark, folder, "orders").select((F.col("o_totalprice") >= 150000).cast("double").alias("x"), F.lit(1.0).alias("constant"), (F.col("o_orderstatus") == "F").cast("double").alias("label"))
     model = M.fit_gbt(rows, M.Pipeline(stages=[VectorAssembler(inputCols=["x", "constant"], outputCol="features")]), rounds=1, depth=1)
     return rounded(M.feature_importance(model, ["x", "constant"]))
+
+
+# the model and its scores of the closed form above, for even keys (train) and odd ones (test)
+@BOOK.add("evaluate_sets", with_views("players") + """, p AS (SELECT PlayerID, InGamePurchases AS x, CASE EngagementLevel WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END AS y, CASE WHEN PlayerID % 2 = 0 THEN 'train' ELSE 'test' END AS s FROM players),
+m AS (SELECT x, k, 1 / (1 + exp(-2 * avg(CASE WHEN y = k THEN 1.0::DOUBLE ELSE -1 END))) AS own FROM p, (SELECT unnest([0, 1, 2]) AS k) WHERE s = 'train' GROUP BY x, k),
+q AS (SELECT x, k, round(own / sum(own) OVER (PARTITION BY x), 12) AS own FROM m),
+t AS (SELECT x, arg_max(k, (own, -k)) AS guess FROM q GROUP BY x),
+c AS (SELECT s, k, count(*) FILTER (y = k) AS support, count(*) FILTER (guess = k) AS guessed, count(*) FILTER (y = k AND guess = k) AS hit FROM p JOIN t USING (x), (SELECT unnest([0, 1, 2]) AS k) GROUP BY s, k),
+f AS (SELECT s, sum(support) AS n, sum(support * CASE WHEN guessed > 0 THEN hit / guessed::DOUBLE ELSE 0 END) / sum(support) AS precision, sum(support * (hit / support::DOUBLE)) / sum(support) AS recall,
+    sum(support * (2.0::DOUBLE * hit / (support + guessed))) / sum(support) AS f1 FROM c GROUP BY s),
+a AS (SELECT a.s, a.k, sum(CASE WHEN a.own > b.own THEN 1.0::DOUBLE WHEN a.own = b.own THEN 0.5 ELSE 0 END * a.w * b.w) / (sum(a.w * b.w)) AS auc, max(a.w_all) AS w
+    FROM (SELECT s, k, own, count(*) AS w, sum(count(*)) OVER (PARTITION BY s, k) AS w_all FROM p JOIN q USING (x) WHERE y = k GROUP BY s, k, own) a
+    JOIN (SELECT s, k, own, count(*) AS w FROM p JOIN q USING (x) WHERE y <> k GROUP BY s, k, own) b ON a.s = b.s AND a.k = b.k GROUP BY a.s, a.k)
+SELECT f.s AS set, CAST(n AS BIGINT) AS n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round((SELECT sum(auc * w) / sum(w) FROM a WHERE a.s = f.s), 6) AS auroc FROM f""")
+def evaluate_sets(spark, folder):
+    """Train and test metrics of a fitted model as one table, through the metrics sink and back."""
+    p = G.player_features(V.players(spark, folder)).withColumn("label", F.col("EngagementLevel").cast("double"))
+    flag = VectorAssembler(inputCols=["InGamePurchases"], outputCol="features")
+    sets = {"train": p.where("PlayerID % 2 = 0"), "test": p.where("PlayerID % 2 = 1")}
+    model = M.fit_gbt_multiclass(sets["train"], 3, transform=M.Pipeline(stages=[flag]), rounds=1, depth=1)
+    path = fresh_root(spark, "metrics")
+    io.write_metrics(rounded(M.evaluate_sets(model, sets, "PlayerID", "label", 3)), path)
+    return io.read_metrics(spark, path).select("set", "n", "precision", "recall", "f1", "auroc")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -179,3 +180,31 @@ def cv_rounds(booster, train: DataFrame, folds: int, fold: str = "fold", transfo
     scores = means.withColumn("best", F.col("round") == found)
     final = booster.copy({booster.maxIter: found})
     return Rounds(found, {r["round"]: r["score"] for r in listed}[found], scores, Pipeline(stages=[*stages, final]).fit(train))
+
+
+@dataclass(frozen=True)
+class Tuned:
+    """The best parameters with their number of rounds, all trials, and the model refitted on all rows."""
+
+    params: dict
+    rounds: int
+    score: float
+    trials: DataFrame
+    model: PipelineModel
+
+
+def tuned_booster(booster, train: DataFrame, maps: Sequence[dict], folds: int, fold: str = "fold", transform: Pipeline | None = None, metric: str = "average_precision", patience: int = 10) -> Tuned:
+    """For each parameter map cross-validate the number of rounds; refit the best map with its number.
+
+    ``booster`` holds the largest number of rounds.  Trials: (trial, params, rounds, score, best); the
+    first of equal scores is best.  Maps come from ``draw_params`` or ``grid_params``.
+    """
+    if not maps:
+        raise ValueError("no parameters to try")
+    found = [cv_rounds(booster.copy(m), train, folds, fold, transform, metric, patience) for m in maps]
+    scores = [f.score for f in found]
+    best = scores.index((min if metric == "log_loss" else max)(scores))
+    named = [{p.name: v for p, v in m.items()} for m in maps]
+    rows = [(i, json.dumps(m, sort_keys=True), f.rounds, float(f.score), i == best) for i, (m, f) in enumerate(zip(named, found))]
+    trials = train.sparkSession.createDataFrame(rows, "trial int, params string, rounds int, score double, best boolean")
+    return Tuned(named[best], found[best].rounds, scores[best], trials, found[best].model)

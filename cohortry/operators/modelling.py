@@ -6,7 +6,7 @@ import hashlib
 import json
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scalar import columns_of
 from cohortry.operators.boosting import split_importance
-from cohortry.operators.curves import curve_areas
+from cohortry.operators.curves import auc_ovr, curve_areas, multiclass_metrics
 from cohortry.operators.estimators import BoosterOfClasses
 from cohortry.operators.ranking import top_abs
 from cohortry.operators.relational import binary_columns
+from cohortry.session import materialize
 
 
 # --- column transforms ------------------------------------------------------------------
@@ -177,6 +178,22 @@ def scored_multiclass(model, df: DataFrame, key: str, label: str) -> DataFrame:
     )
 
 
+def evaluate_sets(model, sets: Mapping[str, DataFrame], key: str, label: str, classes: int) -> DataFrame:
+    """(set, n, precision, recall, f1, auroc) of a fitted pipeline on several tables, such as train and test.
+
+    Precision, recall and F1 are averaged over the classes by their support; the AUC is one against the
+    rest, for two classes that of class 1.  A row a set; sets without rows have none.
+    """
+    out = None
+    for name, rows in sets.items():
+        scores = materialize(scored_multiclass(model, rows, key, label))
+        area = auc_ovr(scores, classes).withColumnRenamed("auc_ovr", "auroc")
+        row = multiclass_metrics(scores).crossJoin(area).crossJoin(scores.agg(F.count("*").alias("n"))).where("n > 0")  # one row each
+        row = row.select(F.lit(name).alias("set"), "n", "precision", "recall", "f1", "auroc")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- search ---------------------------------------------------------------------------------
 
 

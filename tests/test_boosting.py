@@ -134,3 +134,18 @@ def test_split_importance(rows):
     assert [out[n]["splits"] for n in "ab"] == [sum(x.startswith(f"If (feature {i} ") for x in lines) for i in (0, 1)]
     assert np.allclose([out[n]["gain"] for n in "ab"], model.stages[-1].featureImportances.toArray())
     assert out["a"]["mean_gain"] > 0 and out["a"]["cover"] <= 300
+
+
+def test_tuned_booster_refits_the_best_map_with_its_rounds(rows):
+    booster = M.gbt(rounds=4, depth=2, rate=0.4)
+    maps = M.grid_params({booster.maxDepth: [1, 3]})
+    found = B.tuned_booster(booster, rows, maps, 2, metric="log_loss", patience=2)
+    trials = found.trials.orderBy("trial").collect()
+    alone = [B.cv_rounds(booster.copy(m), rows, 2, metric="log_loss", patience=2) for m in maps]
+    assert [(t["rounds"], t["score"]) for t in trials] == [(a.rounds, a.score) for a in alone]
+    best = min(trials, key=lambda t: t["score"])
+    assert best["best"] and sum(t["best"] for t in trials) == 1 and json.loads(best["params"]) == found.params
+    assert found.model.stages[-1].getNumTrees == found.rounds == best["rounds"]
+    assert found.model.stages[-1].trees[0].depth <= found.params["maxDepth"]
+    with pytest.raises(ValueError):
+        B.tuned_booster(booster, rows, [], 2)
