@@ -2,7 +2,8 @@
 
 A chunk is what stands between two spaces.  Under both vocabularies no merge reaches over a space
 that has no white space after it, so chunks are encoded alone and the ids of a text are those of its
-chunks.  Texts in which white space follows a space are encoded as they are where that matters.
+chunks.  Texts in which white space follows a space are encoded as they are where that matters, and so
+are texts that spell a special token, which the library gives its own id wherever it stands.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ def _load(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     t.no_truncation()
     t.no_padding()
     return t
@@ -69,6 +69,7 @@ class _Chunked:
         self.tok = _load(path)
         self.tokenize = self.tok.model.tokenize
         self.form = {2: "H", 4: "I"}[width]
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.tails: dict[str, bytes] = {}
         self.cache = _Chunks(self._chunk)
 
@@ -78,6 +79,9 @@ class _Chunked:
     def _alone(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def _spells_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def _piece(self, spelt: str) -> bytes:
         return self._pack([t.id for t in self.tokenize(spelt)])
 
@@ -127,6 +131,9 @@ class SpaceLed(_Chunked):
         """Packed little-endian ids of each text."""
         cache, first, out = self.cache, self.first, []
         for t in texts:
+            if self._spells_special(t):
+                out.append(self._alone(t))
+                continue
             parts = t.split(" ")
             try:
                 out.append(first[parts[0]] + b"".join(map(cache.__getitem__, islice(parts, 1, None))))
@@ -142,6 +149,7 @@ class WordEnded(_Chunked):
 
     def __init__(self, path: str, width: int = 4):
         super().__init__(path, width)
+        self.cache = _Chunks(self._chunk, entries=600_000, chars=16_000_000)
         self.normal = self.tok.normalizer.normalize_str
 
     def _chunk(self, c: str) -> bytes:
@@ -157,6 +165,9 @@ class WordEnded(_Chunked):
         """Packed little-endian ids of each text."""
         cache, out = self.cache, []
         for t in texts:
+            if self._spells_special(t):
+                out.append(self._alone(t))
+                continue
             out.append(b"".join(map(cache.__getitem__, t.replace("\n", " ").split(" "))))  # both are dropped
             cache.turn()
         return out
