@@ -65,6 +65,8 @@ class _Chunks(dict):
 class _Chunked:
     """Letters, and letters followed by ``MARKS``, are pieces of their own under either pattern: the model gets them as they are, anything else goes through the whole tokenizer."""
 
+    special: list[str] = []  # spellings with an id of their own
+
     def __init__(self, path: str, width: int = 4):
         self.tok = _load(path)
         self.tokenize = self.tok.model.tokenize
