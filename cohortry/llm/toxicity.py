@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max index, calibrated votes.
 
-Terms are words and their beginnings of four to six letters (insults are inflected and disguised at
-their ends).  All terms of the examples are in the cosine; weights come from document frequencies
-over all documents, and terms that mark toxic examples clearly weigh more.  Examples lie in blocks, and of each term every block knows its
-largest weight: a block whose terms cannot reach the k-th best cosine found so far is passed over,
-so the neighbours are exactly the nearest ones.  Their votes are weighted by distance, and an
-isotonic fit over votes that leave the example itself out turns them into probabilities.
+Terms are the words of a text in lower case, known by a 64-bit hash; all words of the examples are in
+the cosine.  Weights come from document frequencies over all documents, and terms that mark toxic
+examples clearly weigh more.  Postings of the rarer terms are added up; of the common ones every block
+of examples knows its largest weights, and only examples whose bound reaches the k-th best cosine
+found so far are compared in full, so the neighbours are exactly the nearest ones.  Their votes are
+weighted by distance, and an isotonic fit over votes that leave the example itself out turns them
+into probabilities.  A document that is an example is scored by the others too.
 """
 
 from __future__ import annotations
@@ -13,68 +14,97 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortry.llm.common import free_name, slices, stored, text_or_empty
 
-#: Bound: labelled examples (the first by a hash of their id).
-MOST_EXAMPLES = 20_000
+#: Bounds: labelled examples, and terms of them, each counted once an example (the first by a hash of their id).
+MOST_EXAMPLES, MOST_TERMS = 20_000, 8_000_000
 #: A term is clear if it is in so many examples, stands so many standard deviations above chance, and
-#: its examples are toxic so many times as often as all are.  It weighs so many times its TF-IDF.
+#: its examples are toxic so many times as often as all are.  It weighs so many times its TF-IDF:
+#: chosen among 1, 2, 4 and 8 by leaving out one of the examples, none of which is held out.
 LEAST_EXAMPLES, LEAST_Z, LEAST_LIFT, CLEAR_WEIGHT = 5, 6.0, 3.0, 4.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, COMMON = 15, 64, 512
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, label: int>>"
 
 _WORD = re.compile(r"\w+")
+_GAP = re.compile(r"\W")
 
 
 def terms(text: str) -> Counter:
-    """How often each word, spelt with a final blank, and each beginning of 4 to 6 letters occurs."""
-    out: Counter = Counter()
-    for w, k in Counter(_WORD.findall(text.lower())).items():
-        out[w + " "] += k
-        for n in (4, 5, 6):
-            if len(w) >= n:
-                out[w[:n]] += k
-    return out
-
-
-class Vocabulary:
-    """Terms and their numbers; words that were seen to have no term are passed over at once."""
-
-    def __init__(self, found: list[str]):
-        self.number = {t: i for i, t in enumerate(found)}
-        self.without: set[str] = set()  # words met that have no term
-
-    def __getstate__(self):
-        return self.number
-
-    def __setstate__(self, number):
-        self.number, self.without = number, set()
-
-    def counts(self, text: str) -> tuple[list[int], list[int]]:
-        number, out = self.number, {}
-        words = _WORD.findall(text.lower())
-        if len(self.without) > 500_000:  # bounds memory only
-            self.without.clear()
-        some = set(words) - self.without
-        often = None
-        for w in sorted(some):
-            found = [number[t] for t in (w + " ", *(w[:n] for n in (4, 5, 6) if len(w) >= n)) if t in number]
-            if not found:
-                if len(w) <= 40:
-                    self.without.add(w)
-                continue
-            often = often or Counter(words)
-            for i in found:
-                out[i] = out.get(i, 0) + often[w]
-        return list(out), list(out.values())
+    """How often each word occurs."""
+    return Counter(_WORD.findall(text.lower()))
+
+
+def _pieces(text: str, size: int = 2_000_000) -> Iterator[str]:
+    """The text in lower case, a very long one cut between words."""
+    text, at = text.lower(), 0
+    while len(text) - at > size:
+        gap = _GAP.search(text, at + size)
+        to = gap.start() if gap else len(text)
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def counted_words(texts: Iterable[str], vocabulary: np.ndarray | None = None, room: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) of every different word of every text, by row and term.
+
+    A term is the word's hash, or its place in the sorted hashes of a vocabulary; words outside it are
+    left out.  Holds the words of about ``room`` letters at a time.
+    """
+    parts: list[tuple] = []
+    words: list[str] = []
+    rows: list[int] = []
+    lengths: list[int] = []
+
+    def flush():
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        code, row = coded.indices.to_numpy(), np.repeat(rows, lengths)
+        if vocabulary is None:
+            term, known = hashed, np.ones(len(hashed), bool)
+        else:
+            term = np.searchsorted(vocabulary, hashed)
+            known = vocabulary[np.minimum(term, len(vocabulary) - 1)] == hashed if len(vocabulary) else np.zeros(len(hashed), bool)
+            some = known[code]
+            code, row = code[some], row[some]
+        key, n = np.unique(row.astype(np.int64) * max(len(hashed), 1) + code, return_counts=True)
+        row, code = np.divmod(key, max(len(hashed), 1))
+        parts.append((row, term[code], n))
+        words.clear(), rows.clear(), lengths.clear()
+
+    held = 0
+    for i, t in enumerate(texts):
+        for piece in _pieces(t):
+            found = _WORD.findall(piece)
+            words.extend(found)
+            rows.append(i)
+            lengths.append(len(found))
+            held += len(piece)
+            if held >= room:
+                flush()
+                held = 0
+    flush()
+    row, term, n = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((term, row))
+    row, term, n = row[by], term[by], n[by]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else np.zeros(0, np.int64)
+    return row[first], term[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _by_row(n_rows: int, row: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """The columns' parts of each row."""
+    at = np.searchsorted(row, np.arange(n_rows + 1))
+    for i in range(n_rows):
+        yield tuple(c[at[i] : at[i + 1]] for c in columns)
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,116 +115,118 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks; per term the examples that have it and each block's largest weight."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        # similar examples into the same block: by their heaviest term
-        self.order = sorted(range(len(vectors)), key=lambda i: int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1)
-        self.blocks = -(-len(vectors) // block) if vectors else 0
-        self.block = block
-        own = [vectors[i] for i in self.order]
-        term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in own)])
+    """Unit vectors: postings of the rarer terms; of the commonest, rows of weights and largest weights a block."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, common: int = COMMON):
+        n, self.block = len(vectors), block
+        term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        weight = np.concatenate([np.zeros(0, np.float32), *(w.astype(np.float32) for _, w in vectors)])
+        at = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in vectors])
+        often = np.bincount(term, minlength=n_terms)
+        common = min(common, n_terms)
+        self.column = np.full(n_terms, -1, np.int32)  # of a common term
+        self.column[np.argsort(-often, kind="stable")[:common]] = np.arange(common)
+        some = self.column[term] >= 0
+        full = np.zeros((n, common), np.float32)
+        full[at[some], self.column[term[some]]] = weight[some]
+        # similar examples into the same block: by their heaviest common term
+        self.order = np.lexsort((np.arange(n), np.argmax(full, 1) if common else np.zeros(n))).tolist() if n else []
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        self.full = full[self.order]
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.full, self.full, dtype=np.float64))
+        self.largest = np.maximum.reduceat(self.full, np.arange(0, n, block)) if n else self.full
+        term, at, weight = term[~some], place[at[~some]], weight[~some]
         by = np.argsort(term, kind="stable")
-        term = term[by]
-        self.at = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])[by]
-        self.weight = np.concatenate([np.zeros(0, np.float32), *(w.astype(np.float32) for _, w in own)])[by]
-        in_block = self.at // block
-        first = np.flatnonzero(np.r_[True, (in_block[1:] != in_block[:-1]) | (term[1:] != term[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.max_block = in_block[first]
-        self.max_weight = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
-        self.max_start = np.r_[first, len(term)].astype(np.int32)  # where the block's postings of the term start
-        self.max_from = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
-
-    def _add(self, score, entries, weights, live) -> None:
-        """Add the products of all terms with the examples in the blocks marked."""
-        some = live[self.max_block[entries]]
-        entries, weights = entries[some], weights[some]
-        at, own = _ranges(self.max_start[entries], self.max_start[entries + 1])
-        score += np.bincount(self.at[at], weights[own] * self.weight[at], len(score))
+        self.at, self.weight = at[by], weight[by]
+        self.start = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int64)
 
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest, best first (ties: lower place); only cosines above 0.
-
-        The blocks with the highest bounds are compared first; then, at once, every other block whose
-        bound reaches the k-th best cosine among them.
-        """
-        entries, own = _ranges(self.max_from[terms_], self.max_from[terms_ + 1])
-        w = np.asarray(weights, float)[own]
-        bound = np.bincount(self.max_block[entries], w * self.max_weight[entries], self.blocks)
-        score = np.zeros(self.blocks * self.block)
-        first = min(-(-2 * k // self.block) + 1, self.blocks)
-        least = np.partition(bound, self.blocks - first)[self.blocks - first]
-        live = (bound >= least) & (bound > 0)
-        self._add(score, entries, w, live)
-        if not live.all():
-            reached = score.reshape(-1, self.block)[live].ravel()
-            least = np.partition(reached, len(reached) - k)[len(reached) - k] if len(reached) >= k else 0.0
-            more = (bound >= least - 1e-9) & (bound > 0) & ~live
-            if more.any():
-                self._add(score, entries, w, more)
-        places = np.flatnonzero(score > 0)
-        top = places[np.lexsort((places, -score[places]))[:k]]
-        return top, score[top]
+        """Places and cosines of the k nearest, best first (ties: lower place); only cosines above 0."""
+        n = len(self.norm)
+        column = self.column[terms_]
+        rare, few = terms_[column < 0], column[column >= 0]
+        own_weight = np.asarray(weights, np.float64)
+        places, own = _ranges(self.start[rare], self.start[rare + 1])
+        score = np.bincount(self.at[places], own_weight[column < 0][own] * self.weight[places], n)
+        heavy = own_weight[column >= 0]
+        if len(few):
+            limit = np.repeat(self.largest[:, few] @ heavy, self.block)[:n]
+            bound = score + np.minimum(limit, np.sqrt(heavy @ heavy) * self.norm) + 1e-6
+            query = np.zeros(self.full.shape[1])
+            query[few] = heavy
+
+            def complete(some):
+                # one row at a time adds in the same order, so equal examples tie
+                return score[some] + np.einsum("ij,j->i", self.full[some], query)
+
+            seeds = min(4 * k, n)
+            first = np.argpartition(bound, n - seeds)[n - seeds :]
+            reached = np.sort(complete(first))
+            least = reached[-k] if len(reached) >= k else 0.0
+            found = np.flatnonzero((bound >= least) & (bound > 1e-6))
+            cosines = complete(found)
+        else:
+            found = np.flatnonzero(score > 0)
+            cosines = score[found]
+        found, cosines = found[cosines > 0], cosines[cosines > 0]
+        top = np.lexsort((found, -cosines))[:k]
+        return found[top], cosines[top]
 
 
 class Model:
-    """Vocabulary, weights, examples and calibration; at most ``MOST_EXAMPLES`` vectors."""
-
-    def __init__(self, vocabulary, idf, examples, prior):
-        # examples: (doc_id, label, term numbers, counts)
-        self.vocabulary, self.idf, self.prior = vocabulary, idf, prior
-        self.known: dict = {}
-        self.index, self.ids, self.labels, self.vectors, self.knots = None, [], np.zeros(0), [], (np.zeros(0), np.zeros(0))
-        self.without = prior
-        vectors = [(e, self.vector(e[2], e[3])) for e in examples]
-        none = [e[1] for e, (t, _) in vectors if not len(t)]
+    """Vocabulary (sorted hashes), weights, examples and calibration; bounded by the examples.
+
+    ``example`` are (doc_id, label) and ``vectors`` their terms and weights, of length one each.
+    """
+
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], vectors: list[tuple], prior: float):
+        self.vocabulary, self.idf, self.prior, self.known = vocabulary, idf, prior, {}
+        self.index, self.ids, self.labels, self.places, self.knots = None, [], np.zeros(0), {}, (np.zeros(0), np.zeros(0))
+        none = [y for (_, y), (t, _) in zip(examples, vectors) if not len(t)]
         self.without = (sum(none) + 0.5) / (len(none) + 1) if none else prior
-        some = [(e, v) for e, v in vectors if len(v[0])]
+        some = [(e, v) for e, v in zip(examples, vectors) if len(v[0])]
         if not some:
             return
         self.index = BlockMaxIndex([v for _, v in some], len(idf))
         self.ids = [some[i][0][0] for i in self.index.order]
         self.labels = np.array([some[i][0][1] for i in self.index.order], float)
-        self.vectors = [some[i][1] for i in self.index.order]
-
-    def vote_without(self, place: int) -> float:
-        """The vote on an example that all the others give."""
-        return self._vote(*self._neighbours(self.vectors[place], leave_out=place))
-
-    def calibrate(self, votes: np.ndarray) -> None:
-        """Learn probabilities from the votes on all examples; their vectors are not needed after that."""
-        self.knots, self.vectors = isotonic(votes, self.labels), []
-
-    def vector(self, numbers, counts) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(numbers, np.int32)
-        w = (1 + np.log(np.maximum(np.asarray(counts, float), 1))) * self.idf[t]
-        by = np.argsort(t)
-        return t[by], (w[by] / (np.linalg.norm(w) or 1.0)).astype(np.float32)
-
-    def _neighbours(self, vector, leave_out=None):
-        places, cosines = self.index.nearest(*vector, NEIGHBOURS + (leave_out is not None))
-        keep = places != leave_out if leave_out is not None else np.ones(len(places), bool)
-        return places[keep][:NEIGHBOURS], cosines[keep][:NEIGHBOURS]
-
-    def _vote(self, places, cosines) -> float:
+        for place, i in enumerate(self.ids):
+            self.places.setdefault(i, []).append(place)
+
+    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return numbers, unit(numbers, counts, self.idf)
+
+    def vote(self, numbers, counts, doc_id=None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The vote on a text, and its nearest examples with their cosines; not those of its own id."""
+        leave = self.places.get(doc_id, ())
+        places, cosines = self.index.nearest(*self.vector(numbers, counts), NEIGHBOURS + len(leave))
+        if leave:
+            keep = ~np.isin(places, leave)
+            places, cosines = places[keep], cosines[keep]
+        places, cosines = places[:NEIGHBOURS], cosines[:NEIGHBOURS]
         w = 1 / (1.05 - np.minimum(cosines, 1))
-        return float((w * self.labels[places]).sum() + self.prior) / float(w.sum() + 1)
+        return float((w * self.labels[places]).sum() + self.prior) / float(w.sum() + 1), places, cosines
 
-    def score(self, numbers, counts) -> tuple[float, list[tuple]]:
+    def score(self, numbers, counts, doc_id=None) -> tuple[float, list[tuple]]:
         """Probability of the toxic label, and the three nearest examples (doc_id, cosine, label)."""
         if self.index is None or not len(numbers):
             return self.without, []
-        key = hashlib.blake2b(np.array(sorted(zip(numbers, counts)), np.int64).tobytes(), digest_size=16).digest()
+        own = doc_id if doc_id in self.places else None
+        key = (own, hashlib.blake2b(numbers.tobytes() + counts.tobytes(), digest_size=16).digest())
         if key not in self.known:
-            if len(self.known) >= 50_000:  # bounds memory only
+            if len(self.known) >= 20_000:  # bounds memory only
                 self.known.clear()
-            self.known[key] = self._scored(self.vector(numbers, counts))
+            vote, places, cosines = self.vote(numbers, counts, own)
+            p = float(np.interp(vote, *self.knots)) if len(places) else self.without
+            self.known[key] = p, [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(places[:3], cosines[:3])]
         return self.known[key]
 
-    def _scored(self, vector) -> tuple[float, list[tuple]]:
-        places, cosines = self._neighbours(vector)
-        p = float(np.interp(self._vote(places, cosines), *self.knots)) if len(places) else self.without
-        return p, [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(places[:3], cosines[:3])]
+
+def unit(numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of a text's terms, of length one."""
+    w = (1 + np.log(np.maximum(counts, 1))) * idf[numbers]
+    return (w / (np.linalg.norm(w) or 1.0)).astype(np.float32)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +253,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0
 
 
+def examples_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled examples (doc_id, digest, toxic, terms, counts: packed), at most ``MOST_EXAMPLES`` (an action).
+
+    One row for each id and text, the first by a hash of the id among those of which a document exists.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.md5(text_or_empty()).alias("digest"))
+    chosen = rows.select("doc_id", "digest").join(known, "doc_id").distinct()
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(MOST_EXAMPLES)
+    chosen = F.broadcast(stored(chosen, "chosen"))  # at most so many short rows
+    sample = rows.join(chosen, ["doc_id", "digest"]).select(F.col("doc_id").cast("long"), "digest", "toxic", "text")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in batches:
+            for part in slices(b, 3):
+                ids = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                new = [i for i, key in enumerate(ids) if key not in seen and not seen.add(key)]
+                part = part.take(pa.array(new, pa.int64()))
+                found = list(_by_row(part.num_rows, *counted_words(part.column(3).to_pylist())))
+                packed = [pa.array([f[0].astype(np.uint64).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.int32).tobytes() for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], ["doc_id", "digest", "toxic", "terms", "counts"])
+
+    packed = sample.mapInArrow(vectors, "doc_id long, digest string, toxic int, terms binary, counts binary")
+    return stored(packed.dropDuplicates(["doc_id", "digest"]), "examples")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of documents (doc_id, text) and labels (doc_id, toxic).
 
@@ -228,42 +288,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts; NULL ids and labels are left out.  Without labels every score is 0.5; with one label only,
     or no term at all, every score is its smoothed share.
 
-    Runs jobs: the terms of the examples (counted in tasks, then by term), the document frequencies
-    of the vocabulary over all documents, one collect of at most ``MOST_EXAMPLES`` packed vectors, and
-    the vote of the others on each of these (one number each).
+    Runs jobs: the terms of the examples, collected packed (at most ``MOST_TERMS``), the document
+    frequencies of these terms over all documents, and the vote of the others on each example (one
+    number each).
     """
     spark = docs.sparkSession
-    chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES)
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = stored(sample, "examples")
-    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n:
-        return Model(Vocabulary([]), np.zeros(0), [], 0.5)
-    prior = (positive + 0.5) / (n + 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, toxic = Counter(), Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], ["term", "n", "k"])
-
-        for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = terms(text)
-                every.update(own.keys())
-                if y:
-                    toxic.update(own.keys())
-                if len(every) > 300_000:
-                    yield out()
-                    every, toxic = Counter(), Counter()
-        yield out()
-
-    by_term = sample.select("text", "toxic").mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    found = by_term.toArrow().sort_by("term")
-    vocabulary = Vocabulary(found.column("term").to_pylist())
-    size = len(vocabulary.number)
-    p, often, toxic = positive / n, found.column("n").to_numpy(), found.column("k").to_numpy()
+    sample = examples_of(docs, labels)
+    sizes = sample.select("doc_id", "digest", (F.length("terms") / 8).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").toArrow()
+    if not sizes.num_rows:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), [], [], 0.5)
+    fits = max(int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), MOST_TERMS, side="right")), 1)
+    if fits < sizes.num_rows:
+        some = sizes.slice(0, fits).select(["doc_id", "digest"])
+        sample = sample.join(F.broadcast(spark.createDataFrame(some)), ["doc_id", "digest"], "left_semi")  # bounded like the examples
+    rows = sample.orderBy("doc_id", "digest").toArrow().combine_chunks()
+    examples = list(zip(rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist()))
+    hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("terms")])
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in rows.column("counts")])
+    length = np.array([len(x.as_py()) // 8 for x in rows.column("terms")])
+    del rows
+    vocabulary, number = np.unique(hashes, return_inverse=True)
+    number = number.astype(np.int32)
+    del hashes
+    label, size, n = np.array([y for _, y in examples]), len(vocabulary), len(examples)
+    p = float(label.mean())
+    often = np.bincount(number, minlength=size)
+    toxic = np.bincount(number, np.repeat(label, length), size)
     z = (toxic - often * p) / np.sqrt(often * (p * (1 - p) or 1.0))
     clear = (often >= LEAST_EXAMPLES) & (z >= LEAST_Z) & (toxic >= min(LEAST_LIFT * p, 0.9) * often)
     words = spark.sparkContext.broadcast(vocabulary)
@@ -271,8 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(size + 1, np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                df[words.value.counts(t)[0]] += 1
+            for part in slices(b, 0):
+                df[:size] += np.bincount(counted_words(part.column(0).to_pylist(), words.value)[1], minlength=size)
             rows += b.num_rows
         df[size] = rows
         some = np.flatnonzero(df)
@@ -281,51 +331,56 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     df = np.zeros(size + 1)
     counted = docs.select(text_or_empty().alias("text")).mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    del counted
     idf = (np.log((1 + df[size]) / (1 + df[:size])) + 1) * np.where(clear, CLEAR_WEIGHT, 1.0)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [words.value.counts(t) for t in b.column(2).to_pylist()]
-            packed = (pa.array([np.array(f[i], np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = sample.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary").collect()
-    rows = [(r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3]))]
-    model = Model(vocabulary, idf, rows, prior)
+    ends = np.cumsum(length)
+    vectors = [(number[a:b], unit(number[a:b], counts[a:b], idf)) for a, b in zip(ends - length, ends)]
+    model = Model(vocabulary, idf, examples, vectors, (label.sum() + 0.5) / (n + 1))
+    del vectors, number, counts
     if model.index is None:
         return model
     held = spark.sparkContext.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value.vote_without(i) for i in b.column(0).to_pylist()], pa.float64())], ["id", "vote"])
-
-    found = spark.range(len(model.ids)).mapInArrow(votes, "id long, vote double").collect()
-    model.calibrate(np.array([r["vote"] for r in sorted(found, key=lambda r: r["id"])]))
+            ids, y = b.column(0).to_pylist(), b.column(1).to_pylist()
+            found = []
+            for i, t, c in zip(ids, b.column(2).to_pylist(), b.column(3).to_pylist()):
+                number = np.searchsorted(m.vocabulary, np.frombuffer(t, np.uint64)).astype(np.int32)
+                found.append(m.vote(number, np.frombuffer(c, np.int32), i)[0] if len(number) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(found, pa.float64())], ["label", "vote"])
+
+    own = sample.select("doc_id", "toxic", "terms", "counts").repartition(spark.sparkContext.defaultParallelism)
+    found = own.mapInArrow(votes, "label int, vote double").where(F.col("vote").isNotNull()).orderBy("vote", "label").toArrow()
+    model.knots = isotonic(found.column("vote").to_numpy(), found.column("label").to_numpy())
+    held.unpersist()
     return model
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True, id_: str = "doc_id") -> DataFrame:
     """``docs`` with toxic_score (0 to 1) and toxic_evidence, the nearest examples.
 
-    A text without a term of any example, empty or NULL, gets the share of toxic ones among such
-    examples.  Only the text decides; repeated rows score alike.  Columns of ``docs`` called like a
-    result raise.
+    Examples with the id of a row (column ``id_``, if there is one) do not vote on it.  A text without
+    a term of any example, empty or NULL, gets the share of toxic ones among such examples.  Repeated
+    rows score alike.  Columns of ``docs`` called like a result raise.
     """
     if {"toxic_score", "toxic_evidence"} & set(docs.columns):
         raise ValueError("a column is called as a result")
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if keep_text or c != text]
-    narrow = docs.select(*kept, text_or_empty(text).alias(free_name(docs, "_text")))
+    own = F.col(id_).cast("long") if id_ in docs.columns else F.lit(None).cast("long")
+    own, cut = own.alias(free_name(docs, "_id")), text_or_empty(text).alias(free_name(docs, "_text"))
+    narrow = docs.select(*kept, own, cut)
     at = len(kept)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        counts, score = m.vocabulary.counts, m.score
         for b in batches:
-            for part in slices(b, at, 8_000_000):
-                found = [score(*counts(t)) for t in part.column(at).to_pylist()]
+            for part in slices(b, at + 1):
+                rows = _by_row(part.num_rows, *counted_words(part.column(at + 1).to_pylist(), m.vocabulary))
+                found = [m.score(t.astype(np.int32), n, i) for i, (t, n) in zip(part.column(at).to_pylist(), rows)]
                 near = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in f[1]] for f in found]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array([f[0] for f in found], pa.float64()), pa.array(near, evidence)], [*kept, "toxic_score", "toxic_evidence"])
 

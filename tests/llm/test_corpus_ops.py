@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -140,14 +141,15 @@ def test_trees_tell_urls_apart(spark):
     assert np.mean([r["y"] == r["prediction"] for r in out]) > 0.95
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("common", [0, 7, 40])
+def test_block_max_index_is_exact(common):
     rng = np.random.default_rng(2)
     vs = []
     for _ in range(900):
         t = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
         w = rng.random(len(t)) + 0.1
         vs.append((t, w / np.linalg.norm(w)))
-    index = toxicity.BlockMaxIndex(vs, 40)
+    index = toxicity.BlockMaxIndex(vs, 40, common=common)
     dense = np.zeros((len(vs), 40))
     for place, i in enumerate(index.order):
         dense[place, vs[i][0]] = vs[i][1]
@@ -159,6 +161,32 @@ def test_block_max_index_is_exact():
         assert np.allclose((dense @ q)[places], cos)
 
 
+def test_words_are_counted_as_in_plain_python():
+    texts = ["", "Ab ab, cé_1 x", "Ärger " * 5, "ab " + "tail word " * 400, "ab x"]
+    for room in (3, 2_000_000):
+        row, term, n = toxicity.counted_words(texts, room=room)
+        want = [Counter({xxhash.xxh64_intdigest(w): k for w, k in toxicity.terms(t).items()}) for t in texts]
+        got = [Counter() for _ in texts]
+        for i, t, k in zip(row.tolist(), term.tolist(), n.tolist()):
+            got[i][t] = k
+        assert got == want
+        known = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in ("ab", "x", "none")], np.uint64))
+        row, place, n = toxicity.counted_words(texts, known, room)
+        assert sorted(zip(row.tolist(), known[place].tolist(), n.tolist())) == sorted((i, t, k) for i, c in enumerate(want) for t, k in c.items() if t in set(known.tolist()))
+    assert "".join(toxicity._pieces("ab cd efgh i", 3)) == "ab cd efgh i" and len(list(toxicity._pieces("ab cd efgh i", 3))) == 3
+    assert all(len(x) == 0 for x in toxicity.counted_words(texts, np.zeros(0, np.uint64)))
+
+
+def test_examples_are_bounded_after_the_join(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:30]
+    docs = frame(spark, [(i, f"word{i} same", "s") for i in ids] * 20 + [(ids[0], "another text", "s"), (None, "x", "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(i, 1) for i in range(10**6, 10**6 + 50)] + [(None, 1)], "doc_id long, toxic int")
+    rows = toxicity.examples_of(docs, labels).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted([*ids, ids[0]])
+    one = toxicity.scored(docs, toxicity.fit(docs, labels.where("toxic = 1")))  # labels of one class
+    assert {r["n"] for r in one.groupBy("doc_id", "text").agg(F.countDistinct("toxic_score").alias("n")).collect()} == {1}
+
+
 def test_isotonic_rises():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.2, 0.3, 0.9]), np.array([0, 1, 0, 0, 1.0]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) >= 0).all() and y[-1] == 0.999
@@ -194,9 +222,25 @@ def test_toxicity_weighs_all_terms(spark):
         return {t: x / norm for t, x in w.items()}
 
     of = {i: unit(c) for i, c in counts}
+    def near(i):  # cosine and label of the others, nearest first
+        found = ((sum(x * of[e].get(t, 0) for t, x in of[i].items()), toxic[e]) for e in toxic if e != i)
+        return sorted((f for f in found if f[0] > 0), reverse=True)
+
+    def vote(i):
+        prior, some = (sum(toxic.values()) + 0.5) / (len(toxic) + 1), near(i)
+        if len(some) > toxicity.NEIGHBOURS and some[toxicity.NEIGHBOURS][0] > some[toxicity.NEIGHBOURS - 1][0] - 1e-6:
+            return None  # a tie at the last place
+        w = [(1 / (1.05 - min(c, 1)), y) for c, y in some[: toxicity.NEIGHBOURS]]
+        return (sum(x * y for x, y in w) + prior) / (sum(x for x, _ in w) + 1)
+
+    votes = [(vote(i), toxic[i]) for i in toxic]
+    knots = toxicity.isotonic(np.array([v for v, _ in votes if v is not None]), np.array([float(y) for v, y in votes if v is not None]))
+    exact = all(v is not None for v, _ in votes)
     for r in rows:
-        want = sorted((sum(x * of[e].get(t, 0) for t, x in of[r["doc_id"]].items()) for e in toxic), reverse=True)[:3]
-        assert np.allclose([e["cosine"] for e in r["toxic_evidence"]], want, atol=1e-5)
+        want = near(r["doc_id"])
+        assert np.allclose([e["cosine"] for e in r["toxic_evidence"]], [c for c, _ in want[:3]], atol=1e-5)
+        if exact and (v := vote(r["doc_id"])) is not None:
+            assert abs(r["toxic_score"] - np.interp(v, *knots)) < 1e-3
         assert all(e["label"] == toxic[e["doc_id"]] for e in r["toxic_evidence"])
         if r["doc_id"] >= 1000:
             assert r["toxic_evidence"][0]["label"] == int(r["doc_id"] < 1003)
