@@ -68,15 +68,17 @@ def counted_words(texts: Iterable[str], vocabulary: np.ndarray | None = None, ro
     def flush():
         coded = pa.array(words, pa.string()).dictionary_encode()
         hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        code, row = coded.indices.to_numpy(), np.repeat(rows, lengths)
-        if vocabulary is None:
-            term, known = hashed, np.ones(len(hashed), bool)
-        else:
+        by = np.argsort(hashed)
+        hashed, place = hashed[by], np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        code, row = place[coded.indices.to_numpy()], np.repeat(np.array(rows, np.int64), lengths)
+        term = hashed
+        if vocabulary is not None:
             term = np.searchsorted(vocabulary, hashed)
             known = vocabulary[np.minimum(term, len(vocabulary) - 1)] == hashed if len(vocabulary) else np.zeros(len(hashed), bool)
             some = known[code]
             code, row = code[some], row[some]
-        key, n = np.unique(row.astype(np.int64) * max(len(hashed), 1) + code, return_counts=True)
+        key, n = np.unique(row * max(len(hashed), 1) + code, return_counts=True)
         row, code = np.divmod(key, max(len(hashed), 1))
         parts.append((row, term[code], n))
         words.clear(), rows.clear(), lengths.clear()
@@ -93,8 +95,11 @@ def counted_words(texts: Iterable[str], vocabulary: np.ndarray | None = None, ro
                 flush()
                 held = 0
     flush()
+    own = [p[0] for p in parts if len(p[0])]
     row, term, n = (np.concatenate(x) for x in zip(*parts))
-    by = np.lexsort((term, row))
+    if all(a[-1] < b[0] for a, b in zip(own, own[1:])):
+        return row, term, n
+    by = np.lexsort((term, row))  # some text was counted in pieces
     row, term, n = row[by], term[by], n[by]
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else np.zeros(0, np.int64)
     return row[first], term[first], np.add.reduceat(n, first) if len(first) else n
@@ -133,9 +138,13 @@ class BlockMaxIndex:
         self.order = np.lexsort((np.arange(n), np.argmax(full, 1) if common else np.zeros(n))).tolist() if n else []
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n, dtype=np.int32)
-        self.full = full[self.order]
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.full, self.full, dtype=np.float64))
-        self.largest = np.maximum.reduceat(self.full, np.arange(0, n, block)) if n else self.full
+        self.n, self.blocks = n, -(-n // block)
+        rows = np.zeros((self.blocks * block, common), np.float32)
+        rows[:n] = full[self.order]
+        del full
+        self.rows = rows.reshape(self.blocks, block, common)
+        self.largest = self.rows.max(1)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", rows, rows)).astype(np.float32)
         term, at, weight = term[~some], place[at[~some]], weight[~some]
         by = np.argsort(term, kind="stable")
         self.at, self.weight = at[by], weight[by]
@@ -143,35 +152,52 @@ class BlockMaxIndex:
 
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest, best first (ties: lower place); only cosines above 0."""
-        n = len(self.norm)
-        column = self.column[terms_]
-        rare, few = terms_[column < 0], column[column >= 0]
-        own_weight = np.asarray(weights, np.float64)
-        places, own = _ranges(self.start[rare], self.start[rare + 1])
-        score = np.bincount(self.at[places], own_weight[column < 0][own] * self.weight[places], n)
-        heavy = own_weight[column >= 0]
-        if len(few):
-            limit = np.repeat(self.largest[:, few] @ heavy, self.block)[:n]
-            bound = score + np.minimum(limit, np.sqrt(heavy @ heavy) * self.norm) + 1e-6
-            query = np.zeros(self.full.shape[1])
-            query[few] = heavy
-
-            def complete(some):
-                # one row at a time adds in the same order, so equal examples tie
-                return score[some] + np.einsum("ij,j->i", self.full[some], query)
-
-            seeds = min(4 * k, n)
-            first = np.argpartition(bound, n - seeds)[n - seeds :]
-            reached = np.sort(complete(first))
-            least = reached[-k] if len(reached) >= k else 0.0
-            found = np.flatnonzero((bound >= least) & (bound > 1e-6))
-            cosines = complete(found)
-        else:
-            found = np.flatnonzero(score > 0)
-            cosines = score[found]
-        found, cosines = found[cosines > 0], cosines[cosines > 0]
-        top = np.lexsort((found, -cosines))[:k]
-        return found[top], cosines[top]
+        return self.nearest_of([(terms_, weights)], [k])[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], ks: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query; a block is compared at once with all the queries it can matter to."""
+        m, width = len(queries), self.blocks * self.block
+        rarer = np.zeros((m, width))
+        heavy = np.zeros((m, self.rows.shape[2]), np.float32)
+        for i, (t, w) in enumerate(queries):
+            column = self.column[t]
+            rare, w = column < 0, np.asarray(w, np.float32)
+            heavy[i, column[~rare]] = w[~rare]
+            places, own = _ranges(self.start[t[rare]], self.start[t[rare] + 1])
+            rarer[i] = np.bincount(self.at[places], w[rare][own] * self.weight[places], width)
+        score = rarer.astype(np.float32).reshape(m, self.blocks, self.block)
+        bound = np.minimum((heavy @ self.largest.T)[:, :, None], np.linalg.norm(heavy, axis=1)[:, None, None] * self.norm.reshape(self.blocks, self.block))
+        bound = (score + bound).max(2)
+        seeds = np.zeros((m, self.blocks), bool)
+        some = min(-(-2 * max(ks) // self.block) + 3, self.blocks)
+        np.put_along_axis(seeds, np.argpartition(bound, self.blocks - some, axis=1)[:, self.blocks - some :], True, axis=1)
+        reached = np.full((m, self.blocks, self.block), -1.0, np.float32)
+        self._complete(score, heavy, seeds, reached)
+        least = np.array([_kth(reached[i, seeds[i]].reshape(-1), k) for i, k in enumerate(ks)])
+        # a cosine of the common terms is a sum of 32-bit products here: a little room, then exactly
+        self._complete(score, heavy, (bound >= least[:, None] - 1e-4) & ~seeds, reached)
+        out = []
+        for i, (t, w) in enumerate(queries):
+            found = np.flatnonzero(reached[i].reshape(-1) >= least[i] - 1e-4)
+            found = found[reached[i].reshape(-1)[found] >= _kth(reached[i].reshape(-1)[found], ks[i]) - 1e-4]
+            few = np.flatnonzero(heavy[i])
+            rows = self.rows[found // self.block, found % self.block][:, few]
+            cosine = rarer[i, found] + np.einsum("ij,j->i", rows.astype(np.float64), heavy[i, few].astype(np.float64))
+            found, cosine = found[cosine > 0], cosine[cosine > 0]
+            top = np.lexsort((found, -cosine))[: ks[i]]
+            out.append((found[top], cosine[top]))
+        return out
+
+    def _complete(self, score, heavy, live, reached) -> None:
+        """The common terms added to the scores of the blocks marked for each query."""
+        for b in np.flatnonzero(live.any(0)):
+            some = np.flatnonzero(live[:, b])
+            reached[some, b] = score[some, b] + heavy[some] @ self.rows[b].T
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest value, but not below 0 (0 if there are fewer)."""
+    return max(float(np.partition(values, len(values) - k)[len(values) - k]), 0.0) if len(values) >= k else 0.0
 
 
 class Model:
@@ -197,30 +223,38 @@ class Model:
     def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return numbers, unit(numbers, counts, self.idf)
 
-    def vote(self, numbers, counts, doc_id=None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The vote on a text, and its nearest examples with their cosines; not those of its own id."""
-        leave = self.places.get(doc_id, ())
-        places, cosines = self.index.nearest(*self.vector(numbers, counts), NEIGHBOURS + len(leave))
-        if leave:
-            keep = ~np.isin(places, leave)
-            places, cosines = places[keep], cosines[keep]
-        places, cosines = places[:NEIGHBOURS], cosines[:NEIGHBOURS]
-        w = 1 / (1.05 - np.minimum(cosines, 1))
-        return float((w * self.labels[places]).sum() + self.prior) / float(w.sum() + 1), places, cosines
-
-    def score(self, numbers, counts, doc_id=None) -> tuple[float, list[tuple]]:
-        """Probability of the toxic label, and the three nearest examples (doc_id, cosine, label)."""
-        if self.index is None or not len(numbers):
-            return self.without, []
-        own = doc_id if doc_id in self.places else None
-        key = (own, hashlib.blake2b(numbers.tobytes() + counts.tobytes(), digest_size=16).digest())
-        if key not in self.known:
-            if len(self.known) >= 20_000:  # bounds memory only
-                self.known.clear()
-            vote, places, cosines = self.vote(numbers, counts, own)
+    def votes(self, texts: list[tuple]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each (terms, counts, doc_id) the vote, and the nearest examples with their cosines; not those of its id."""
+        for at in range(0, len(texts), 64):
+            some = texts[at : at + 64]
+            leave = [self.places.get(i, ()) for _, _, i in some]
+            found = self.index.nearest_of([self.vector(t, n) for t, n, _ in some], [NEIGHBOURS + len(x) for x in leave])
+            for own, (places, cosines) in zip(leave, found):
+                if own:
+                    keep = ~np.isin(places, own)
+                    places, cosines = places[keep], cosines[keep]
+                places, cosines = places[:NEIGHBOURS], cosines[:NEIGHBOURS]
+                w = 1 / (1.05 - np.minimum(cosines, 1))
+                yield float((w * self.labels[places]).sum() + self.prior) / float(w.sum() + 1), places, cosines
+
+    def scores(self, texts: list[tuple]) -> list[tuple[float, list[tuple]]]:
+        """For each (terms, counts, doc_id) the probability of the toxic label, and the three nearest examples (doc_id, cosine, label)."""
+        if len(self.known) >= 20_000:  # bounds memory only
+            self.known.clear()
+        keys, new = [], {}
+        for t, n, i in texts:
+            if self.index is None or not len(t):
+                keys.append(None)
+                continue
+            own = i if i in self.places else None
+            key = (own, hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest())
+            keys.append(key)
+            if key not in self.known:
+                new[key] = (t, n, own)
+        for key, (vote, places, cosines) in zip(new, self.votes(list(new.values()))):
             p = float(np.interp(vote, *self.knots)) if len(places) else self.without
             self.known[key] = p, [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(places[:3], cosines[:3])]
-        return self.known[key]
+        return [self.known[key] if key else (self.without, []) for key in keys]
 
 
 def unit(numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -345,10 +379,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         m = held.value
         for b in batches:
             ids, y = b.column(0).to_pylist(), b.column(1).to_pylist()
-            found = []
-            for i, t, c in zip(ids, b.column(2).to_pylist(), b.column(3).to_pylist()):
-                number = np.searchsorted(m.vocabulary, np.frombuffer(t, np.uint64)).astype(np.int32)
-                found.append(m.vote(number, np.frombuffer(c, np.int32), i)[0] if len(number) else None)
+            texts = [(np.searchsorted(m.vocabulary, np.frombuffer(t, np.uint64)).astype(np.int32), np.frombuffer(c, np.int32), i) for i, t, c in zip(ids, b.column(2).to_pylist(), b.column(3).to_pylist())]
+            given = m.votes([t for t in texts if len(t[0])])
+            found = [next(given)[0] if len(t[0]) else None for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(found, pa.float64())], ["label", "vote"])
 
     own = sample.select("doc_id", "toxic", "terms", "counts").repartition(spark.sparkContext.defaultParallelism)
@@ -380,7 +413,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
         for b in batches:
             for part in slices(b, at + 1):
                 rows = _by_row(part.num_rows, *counted_words(part.column(at + 1).to_pylist(), m.vocabulary))
-                found = [m.score(t.astype(np.int32), n, i) for i, (t, n) in zip(part.column(at).to_pylist(), rows)]
+                found = m.scores([(t.astype(np.int32), n, i) for i, (t, n) in zip(part.column(at).to_pylist(), rows)])
                 near = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in f[1]] for f in found]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array([f[0] for f in found], pa.float64()), pa.array(near, evidence)], [*kept, "toxic_score", "toxic_evidence"])
 
