@@ -147,9 +147,21 @@ class BlockMaxIndex:
         self.norm = np.sqrt(np.einsum("ij,ij->i", rows, rows)).astype(np.float32)
         term, at, weight = term[~some], place[at[~some]], weight[~some]
         by = np.argsort(term, kind="stable")
-        self.at, self.weight = at[by], weight[by]
+        self.at, self.weight = at[by].astype(np.min_scalar_type(n)), weight[by]
         self.start = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int64)
 
+    def __getstate__(self):
+        """Arrays compressed: a broadcast lies on the disk of every executor."""
+        return {k: (v.dtype.str, v.shape, pa.compress(np.ascontiguousarray(v).tobytes(), "zstd", asbytes=True)) if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state):
+        for k, v in state.items():
+            if isinstance(v, tuple):
+                kind, shape, packed = v
+                size = int(np.prod(shape)) * np.dtype(kind).itemsize
+                v = np.frombuffer(pa.decompress(packed, size, "zstd"), kind).reshape(shape) if size else np.zeros(shape, kind)
+            self.__dict__[k] = v
+
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest, best first (ties: lower place); only cosines above 0."""
         return self.nearest_of([(terms_, weights)], [k])[0]
@@ -312,7 +324,8 @@ def examples_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], ["doc_id", "digest", "toxic", "terms", "counts"])
 
     packed = sample.mapInArrow(vectors, "doc_id long, digest string, toxic int, terms binary, counts binary")
-    return stored(packed.dropDuplicates(["doc_id", "digest"]), "examples")
+    parts = docs.sparkSession.sparkContext.defaultParallelism  # each later votes on its examples
+    return stored(packed.repartition(parts, "doc_id", "digest").dropDuplicates(["doc_id", "digest"]), "examples")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -335,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if fits < sizes.num_rows:
         some = sizes.slice(0, fits).select(["doc_id", "digest"])
         sample = sample.join(F.broadcast(spark.createDataFrame(some)), ["doc_id", "digest"], "left_semi")  # bounded like the examples
-    rows = sample.orderBy("doc_id", "digest").toArrow().combine_chunks()
+    rows = sample.toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
     examples = list(zip(rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist()))
     hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("terms")])
     counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in rows.column("counts")])
@@ -384,10 +397,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             found = [next(given)[0] if len(t[0]) else None for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(found, pa.float64())], ["label", "vote"])
 
-    own = sample.select("doc_id", "toxic", "terms", "counts").repartition(spark.sparkContext.defaultParallelism)
-    found = own.mapInArrow(votes, "label int, vote double").where(F.col("vote").isNotNull()).orderBy("vote", "label").toArrow()
+    own = sample.select("doc_id", "toxic", "terms", "counts")
+    found = own.mapInArrow(votes, "label int, vote double").toArrow().drop_null().sort_by([("vote", "ascending"), ("label", "ascending")])
     model.knots = isotonic(found.column("vote").to_numpy(), found.column("label").to_numpy())
-    held.unpersist()
+    held.destroy()
+    words.destroy()
     return model
 
 
