@@ -29,21 +29,26 @@ def parent_child(nodes: DataFrame) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, root_ids: Iterable[int]) -> DataFrame:
-    """All nodes below the given ones, which are left out themselves (runs one action per level).
+    """All nodes below the given ones, which are left out themselves (runs two actions a round).
 
-    A step goes exactly one level down.  A node below two of the given nodes appears once for
-    each.  Every level is stored, so the plan of a deep tree does not grow with its depth.
+    A step goes exactly one level down.  A node below two of the given nodes appears once for each,
+    and so does one that is reached over two rows; rows without a parent or level are below nothing.
+    Every round doubles the length of the steps, so a tree of depth d takes about log2(d) rounds; only
+    (node, level) pairs are stored in between, and whole rows are joined once at the end.
     """
-    frontier = nodes.where(F.col("node_id").isin(list(root_ids)))
-    found = None
+    level, root_ids = F.col("level").cast("bigint"), list(root_ids)
+    found = nodes.where(F.col("node_id").isin(root_ids)).select(F.col("node_id").alias("_id"), level.alias("_level"))
+    steps = nodes.select(F.col("node_id").alias("_id"), level.alias("_level"), F.col("parent_id").alias("_up"), (level - 1).alias("_up_level"))
     while True:
-        step = frontier.select(F.col("node_id").alias("_up"), F.col("level").alias("_up_level"))
-        frontier = materialize(
-            nodes.join(step, (nodes["parent_id"] == F.col("_up")) & (nodes["level"] == F.col("_up_level") + 1)).drop("_up", "_up_level")
-        )
-        if frontier.isEmpty():
-            return found if found is not None else frontier
-        found = frontier if found is None else found.unionByName(frontier)
+        above = found.select(F.col("_id").alias("_up"), F.col("_level").alias("_up_level"))
+        found = materialize(found.unionByName(steps.join(above, ["_up", "_up_level"]).select("_id", "_level")))
+        first = steps.select("_id", "_level", F.col("_up").alias("_mid"), F.col("_up_level").alias("_mid_level"))
+        then = steps.select(F.col("_id").alias("_mid"), F.col("_level").alias("_mid_level"), "_up", "_up_level")
+        steps = materialize(first.join(then, ["_mid", "_mid_level"]).drop("_mid", "_mid_level"))
+        if steps.isEmpty():
+            break
+    above = found.select(F.col("_id").alias("_up"), F.col("_level").alias("_up_level"))
+    return nodes.join(above, (F.col("parent_id") == F.col("_up")) & (level == F.col("_up_level") + 1)).select(*nodes.columns)
 
 
 def preferred_codes(codes: DataFrame) -> DataFrame:
