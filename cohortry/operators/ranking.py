@@ -386,13 +386,16 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return _first_k(df, row_hash(key, seed=seed), False, key, n)
 
 
-def top_abs(df: DataFrame, column: str, n: int, groups: Sequence[str] = ()) -> DataFrame:
+def top_abs(df: DataFrame, column: str, n: int, groups: Sequence[str] = (), key: str | None = None) -> DataFrame:
     """Per group the n rows largest in absolute value, listed from lowest to highest value.
 
-    The ``rank <= n`` filter is applied before the shuffle as well, so each task sends at
-    most n rows per group.
+    Of equal absolute values the negative one comes first, then the smaller ``key``; without a key it
+    is open which of several equal rows stay.  The ``rank <= n`` filter is applied before the shuffle
+    as well, so each task sends at most n rows per group.
     """
+    ties = [F.col(key).asc_nulls_first()] if key else []
+    by = [F.abs(column).desc(), F.col(column), *ties]
     if not groups:
-        return df.orderBy(F.abs(column).desc(), F.col(column)).limit(n).orderBy(column)
-    w = Window.partitionBy(*groups).orderBy(F.abs(column).desc(), F.col(column))
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r").orderBy(*groups, column)
+        return df.orderBy(*by).limit(n).orderBy(column, *ties)
+    w = Window.partitionBy(*groups).orderBy(*by)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r").orderBy(*groups, column, *ties)
