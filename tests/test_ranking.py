@@ -149,5 +149,5 @@ def test_corr_skips_null_pairs(spark):
 def test_top_abs_settles_ties_by_the_key(spark):
     rows = [("a", i, v) for i, v in enumerate([3.0, -3.0, 3.0, -1.0, None, 3.0])] + [("b", 9, 1.0)]
     df = spark.createDataFrame(rows, "g string, id int, v double").repartition(4)
-    assert [r["id"] for r in ranking.top_abs(df, "v", 3, key="id").collect()] == [1, 0, 2]
-    assert [r["id"] for r in ranking.top_abs(df, "v", 3, ["g"], key="id").collect()] == [1, 0, 2, 9]
+    assert [r["id"] for r in R.top_abs(df, "v", 3, key="id").collect()] == [1, 0, 2]
+    assert [r["id"] for r in R.top_abs(df, "v", 3, ["g"], key="id").collect()] == [1, 0, 2, 9]
