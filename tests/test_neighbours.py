@@ -87,3 +87,51 @@ def test_smote_is_repeatable(spark):
     df, _, _ = _points(spark, n=60)
     a, b = (sorted((r["id"], tuple(r["features"])) for r in N.smote(df, {0: 40}, block=16).collect()) for _ in range(2))
     assert a == b
+
+
+def test_knn_with_repeated_and_null_ids_and_an_offset(spark):
+    """An id that occurs twice is never its own neighbour; far from the origin and among copies results stay exact."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 5)), 2) + 1e5
+    x[40:60] = x[40]
+    ids = [int(i) for i in range(90)]
+    ids[1], ids[2], ids[80] = 0, None, None
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in zip(ids, x)], "id bigint, features array<double>")
+    want = {}
+    for i, p in zip(ids, x):
+        d = [(float(np.sqrt(((p - q) ** 2).sum())), -1 if j is None else j) for j, q in zip(ids, x) if q is not p and (i is None or i != j)]
+        want.setdefault(i, []).extend(d)
+    got = {}
+    for r in N.knn(df, 3, block=16).collect():
+        got.setdefault(r["id"], []).append(round(r["distance"], 6))
+    own = {i: [round(v, 6) for v, _ in sorted(d)[:3]] for i, d in want.items() if i is not None and i != 0}
+    assert {i: sorted(v) for i, v in got.items() if i is not None and i != 0} == own
+    assert None in got and len(got[0]) == 3
+    assert not [r for r in N.knn(df, 3, block=16).where("id = neighbour").collect()]
+
+
+def test_a_block_travels_once_a_strip(spark, monkeypatch):
+    """Few groups of many blocks each: what is shuffled does not grow with the square of the number of blocks."""
+    df, x, _ = _points(spark, n=600)
+    seen = []
+    compare = N._top_k
+    monkeypatch.setattr(N, "_top_k", lambda shapes, k: seen.append(len(shapes)) or compare(shapes, k))
+    plan = N.knn(df, 2, block=4)
+    assert seen == [150]
+    assert _got(plan) == _brute(x, 2)
+
+
+def test_few_distances_are_computed_exactly(monkeypatch):
+    """A product gives the rough distances; the old form held all differences of two blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    ids, none = np.arange(600), np.zeros(600, bool)
+    best = N._Nearest(x, ids, none, 4)
+    merged = []
+    merge = N._Nearest._merge
+    monkeypatch.setattr(N._Nearest, "_merge", lambda self, row, *rest: merged.append(len(row)) or merge(self, row, *rest))
+    for i in range(0, 600, 100):
+        best.show(x[i : i + 100], ids[i : i + 100], none[i : i + 100])
+    got = best.found()
+    assert sum(merged) < 600 * 600 / 20
+    assert {i: list(g["neighbour"]) for i, g in got.groupby("id")} == {i: [j for j, _ in v] for i, v in _brute(x, 4).items()}
