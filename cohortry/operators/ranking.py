@@ -14,6 +14,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,13 +161,92 @@ def last_ranks(total: int, tiles: int) -> list[int]:
     return [t * base + min(t, extra) for t in range(1, tiles + 1)]
 
 
+def _placed(df: DataFrame, column: Column, edges: Sequence[float], name: str) -> DataFrame:
+    """How many of the edges (rising, none of them NaN) are less than the column; NULL for a NULL."""
+    splits = [float(np.nextafter(e, np.inf)) for e in edges if e < float("inf")]
+    if not splits:
+        return df.withColumn(name, F.when(column.isNotNull(), 0))
+    splits = [float("-inf"), *splits, float("inf")]
+    if splits[1] == float("-inf") or splits[-2] == float("inf"):
+        return df.withColumn(name, F.when(column.isNotNull(), F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < column))))
+    look_up = Bucketizer(splits=splits, inputCol=f"{name}_in", outputCol=name, handleInvalid="keep")
+    out = look_up.transform(df.withColumn(f"{name}_in", F.coalesce(column, F.lit(0.0))))
+    return out.withColumn(name, F.when(column.isNotNull(), F.col(name).cast("int"))).drop(f"{name}_in")
+
+
+#: Groups of equal values with more rows are narrowed by a sketch of their keys before any is sorted.
+_TIES = 100_000
+
+
+def _sorted_at(rows: DataFrame, groups: Sequence[str], wanted: list[tuple], schema: str) -> list[tuple[int, int, object]]:
+    """(g, at, key) of the rows at rank ``_r`` by key in the groups; ``wanted`` holds the groups, ``_r``, g and at."""
+    spark = rows.sparkSession
+    want = F.broadcast(spark.createDataFrame(wanted, schema + ", _r long, _g int, _at long"))
+    ranked = rank_within(rows, groups, [F.col("key").asc_nulls_first()], "_r")
+    return [(r["_g"], r["_at"], r["key"]) for r in ranked.join(want, [*groups, "_r"]).select("_g", "_at", "key").collect()]
+
+
+def _keys_at(rows: DataFrame, wanted: dict[int, set[int]], sizes: dict[int, int]) -> dict[tuple[int, int], object]:
+    """The key at each wanted rank of each group ``g`` of rows (g, key), by key, NULLs first.
+
+    Of large groups a sketch of the keys brackets those at the ranks, as in ``rows_at``; where a
+    bracket proves too narrow the group is sorted.
+    """
+    spark, out = rows.sparkSession, []
+    large = [g for g in wanted if sizes[g] > _TIES] if _numeric(rows.schema["key"].dataType) else []
+    direct = [g for g in wanted if g not in large]
+    if large:
+        value = _sketched(F.col("key"))
+        mine = rows.where(F.col("g").isin(large))
+        sums = materialize(mine.groupBy("g").agg(F.count("key").alias("f"), F.kll_sketch_agg_double(value, F.lit(_SKETCH)).alias("s")))
+        known, ends = {r["g"]: r["f"] for r in sums.select("g", "f").collect()}, {}
+        for g in large:
+            at = [(r - (sizes[g] - known[g])) / known[g] for r in sorted(wanted[g]) if r > sizes[g] - known[g]]
+            ends[g] = [min(1.0, max(0.0, x + d)) for x in at for d in (-_MARGIN, _MARGIN)]
+        # ranks must be literals: one column a group, all in one job
+        asked = [F.max(F.when(F.col("g") == g, F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(x) for x in ends[g]])))).alias(f"q{g}") for g in large if ends[g]]
+        row = sums.agg(F.count("*"), *asked).first().asDict()
+        table = []
+        for g in large:
+            some = row.get(f"q{g}") or []
+            spans: list[list[float]] = []
+            for low, high in sorted(zip(some[::2], some[1::2])):
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = max(high, spans[-1][1])
+                else:
+                    spans.append([low, high])
+            table.append((g, [x for x, _ in spans], [x for _, x in spans]))
+        spans_of = F.broadcast(spark.createDataFrame(table, "g int, lows array<double>, highs array<double>"))
+        place = F.size(F.filter("highs", lambda h: h < value))
+        inside = F.coalesce(F.get("lows", place) <= value, F.lit(False))
+        coded = mine.join(spans_of, "g").select("g", F.when(F.col("key").isNull(), -1).otherwise(2 * place + inside.cast("int")).alias("code"), "key")
+        counts = {(r["g"], r["code"]): r["n"] for r in coded.groupBy("g", "code").agg(F.count("*").alias("n")).collect()}
+        picks = []
+        for g in large:
+            below, found = 0, []
+            for code in sorted(c for h, c in counts if h == g):
+                found += [(g, code, at - below, g, at) for at in sorted(wanted[g]) if below < at <= below + counts[g, code]]
+                below += counts[g, code]
+            if any(code >= 0 and code % 2 == 0 for _, code, *_ in found):
+                direct.append(g)
+            else:
+                picks += found
+        if picks:
+            chosen = coded.join(F.broadcast(spark.createDataFrame(sorted({(g, c) for g, c, *_ in picks}), "g int, code int")), ["g", "code"])
+            out += _sorted_at(chosen, ["g", "code"], picks, "g int, code int")
+    if direct:
+        out += _sorted_at(rows.where(F.col("g").isin(direct)), ["g"], [(g, at, g, at) for g in direct for at in wanted[g]], "g int")
+    return {(g, at): key for g, at, key in out}
+
+
 def rows_at(df: DataFrame, columns: Sequence[str], key: str, ranks: Callable[[int], Sequence[int]]) -> tuple[int, dict[str, dict[int, tuple] | None]]:
     """The number of rows n, and per column the (value, key) at each rank of ``ranks(n)``, in order of
     value (NULLs first), then key.
 
     Exact, without sorting the table: quantile sketches of all columns, from one pass, bracket the
-    values at those ranks; a second pass counts the rows between the brackets and keeps (value, key)
-    of those inside, and only these are sorted.  A bracket that proves too narrow is widened.  A
+    values at those ranks; a second pass counts the rows between the brackets and, by value, those
+    inside, which gives the value at each rank; among many rows equal to it, the keys are bracketed in
+    the same way (two passes more), and only those inside are sorted.  A bracket that proves too narrow is widened.  A
     column is None if equal pairs of value and key lie on both sides of a rank.  All columns must be
     of one numeric type.  The table is read twice or more: store it if it is costly.  Runs actions.
     """
@@ -198,16 +279,18 @@ def rows_at(df: DataFrame, columns: Sequence[str], key: str, ranks: Callable[[in
                         spans[i].append((low, high))
             else:
                 spans[i] = []
-        parts = []
+        parts, placed = [], df.select(*[F.col(columns[i]).alias(f"v{i}") for i in left])
         for i in left:
-            value = _sketched(F.col(columns[i]))
-            lows, highs = (F.array(*[F.lit(x[k]).cast("double") for x in spans[i]]) for k in (0, 1))
-            place = F.size(F.filter(highs, lambda h, value=value: h < value))
+            value, place = _sketched(F.col(f"v{i}")), F.col(f"p{i}")
+            placed = _placed(placed, value, [x[1] for x in spans[i]], f"p{i}")
+            lows = F.array(*[F.lit(x[0]).cast("double") for x in spans[i]])
             inside = F.coalesce(F.get(lows, place) <= value, F.lit(False))
-            code = F.when(F.col(columns[i]).isNull(), -1).otherwise(2 * place + inside.cast("int"))
-            parts.append(F.struct(F.lit(i).alias("c"), code.alias("code"), F.col(columns[i]).cast(kind).alias("value")))
-        long = df.select(F.col(key).alias("key"), F.explode(F.array(*parts)).alias("_x")).select("key", "_x.*")
-        counts = {(r["c"], r["code"]): r["n"] for r in long.groupBy("c", "code").agg(F.count("*").alias("n")).collect()}
+            code = F.when(F.col(f"v{i}").isNull(), -1).otherwise(2 * place + inside.cast("int"))
+            parts.append(F.struct(F.lit(i).alias("c"), code.alias("code"), F.col(f"v{i}").cast(kind).alias("value")))
+        long = placed.select(F.explode(F.array(*parts)).alias("_x")).select("_x.*")
+        within = F.when(F.pmod("code", F.lit(2)) == 1, F.col("value"))  # NULLs have code -1
+        values = materialize(long.groupBy("c", "code", within.alias("value")).agg(F.count("*").alias("n")))
+        counts = {(r["c"], r["code"]): r["n"] for r in values.groupBy("c", "code").agg(F.sum("n").alias("n")).collect()}
         picks, failed = [], []
         for i in left:
             below, mine = 0, []
@@ -220,12 +303,25 @@ def rows_at(df: DataFrame, columns: Sequence[str], key: str, ranks: Callable[[in
                 picks += mine
         if picks:
             codes = {(c, code) for c, code, _, _ in picks}
-            chosen = long.join(F.broadcast(spark.createDataFrame(list(codes), "c int, code int")), ["c", "code"])
-            ranked = rank_within(chosen, ["c", "code"], [F.col("value").asc_nulls_first(), F.col("key").asc_nulls_first()], "_r")
+            some = values.join(F.broadcast(spark.createDataFrame(list(codes), "c int, code int")), ["c", "code"])
+            run = running_totals(some, [F.col("value").asc_nulls_first()], {"_upto": "n"}, ["c", "code"])
             # the row after as well: it must differ
-            near = [(c, code, at + d, r + d / 2) for c, code, at, r in picks for d in (0, 1)]
-            found = ranked.join(F.broadcast(spark.createDataFrame([(c, k, r, float(t)) for c, k, r, t in near], "c int, code int, _r long, rank double")), ["c", "code", "_r"])
-            rows = {(r["c"], r["rank"]): (r["value"], r["key"]) for r in found.collect()}
+            near = spark.createDataFrame([(c, code, at + d, r + d / 2) for c, code, at, r in picks for d in (0, 1)], "c2 int, code2 int, _r long, rank double")
+            here = (F.col("c") == F.col("c2")) & (F.col("code") == F.col("code2")) & (F.col("_r") <= F.col("_upto")) & (F.col("_r") > F.col("_upto") - F.col("n"))
+            hits = run.join(F.broadcast(near), here).select("c", "rank", "value", "n", (F.col("_r") - F.col("_upto") + F.col("n")).alias("at")).collect()
+            group: dict[tuple, int] = {}
+            wanted_keys, sizes = {}, {}
+            for h in hits:
+                g = group.setdefault((h["c"], str(h["value"])), len(group))
+                wanted_keys.setdefault(g, set()).add(h["at"])
+                sizes[g] = h["n"]
+            alike = {g: v for h in hits for v, g in [((h["c"], h["value"]), group[h["c"], str(h["value"])])]}
+            table = spark.createDataFrame([(c, g, v) for g, (c, v) in alike.items()], f"c2 int, g int, value2 {kind}")
+            equal = (F.col("c") == F.col("c2")) & F.col("value").eqNullSafe(F.col("value2"))
+            plain = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(columns[i]).cast(kind).alias("value")) for i in left])).alias("_x")
+            ties = df.select(F.col(key).alias("key"), plain).select("key", "_x.*")
+            keys = _keys_at(ties.join(F.broadcast(table), equal).select("g", "key"), wanted_keys, sizes)
+            rows = {(h["c"], h["rank"]): (h["value"], keys[group[h["c"], str(h["value"])], h["at"]]) for h in hits}
             for i in left:
                 mine = [(r, rows[i, float(r)], rows.get((i, r + 0.5))) for c, _, _, r in picks if c == i]
                 if mine:
@@ -235,6 +331,32 @@ def rows_at(df: DataFrame, columns: Sequence[str], key: str, ranks: Callable[[in
     return total, out
 
 
+def _tiled(df: DataFrame, column: str, key: str, edges: list[tuple], kinds: dict[str, T.DataType], name: str) -> DataFrame:
+    """1 + the number of edges (value, key; rising, NULLs first) before each row."""
+    value, known = F.col(column), [e for e in edges if e[0] is not None]
+    by_double = isinstance(kinds[column], (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType))
+    if not by_double or not all(np.isfinite(float(v)) for v, _ in known):
+        pair = F.struct(value.alias("v"), F.col(key).alias("k"))
+        lits = [F.struct(F.lit(v).cast(kinds[column]).alias("v"), F.lit(k).cast(kinds[key]).alias("k")) for v, k in edges]
+        # structs compare field by field, NULLs first
+        before = F.size(F.filter(F.array(*lits), lambda e: e < F.col("_pair"))) if lits else F.lit(0)
+        return df.withColumn("_pair", pair).withColumn(name, (before + 1).cast("bigint")).drop("_pair")
+    keys: dict[float, list] = {}
+    for v, k in known:
+        keys.setdefault(float(v), []).append(k)
+    values, kind = sorted(keys), kinds[key].simpleString()
+    counts = np.cumsum([len(edges) - len(known), *[len(keys[v]) for v in values]]).tolist()
+    listed = lambda ks: F.array(*[F.lit(k).cast(kinds[key]) for k in ks]).cast(f"array<{kind}>")
+    own = F.get(F.array(*[listed(keys[v]) for v in values], F.array().cast(f"array<{kind}>")), F.col("_place"))
+    same = F.get(F.array(*[F.lit(v) for v in values], F.lit(None).cast("double")), F.col("_place")) == value.cast("double")
+    own = F.when(value.isNull(), listed([k for v, k in edges if v is None])).when(same, own)
+    # of the edges with the row's own value those count that have a smaller key
+    less = F.size(F.filter("_own", lambda e: F.when(e.isNull(), F.col(key).isNotNull()).otherwise(F.coalesce(e < F.col(key), F.lit(False)))))
+    before = F.coalesce(F.get(F.array(*[F.lit(n) for n in counts]), F.col("_place")), F.lit(0)) + F.when(F.col("_own").isNull(), 0).otherwise(less)
+    out = _placed(df, _sketched(value), values, "_place").withColumn("_own", own)
+    return out.withColumn(name, (before + 1).cast("bigint")).drop("_place", "_own")
+
+
 def tile_columns(df: DataFrame, columns: dict[str, str], key: str, tiles: int = 100) -> DataFrame:
     """NTILE over the whole table for each column (``columns`` maps it to the new name), NULLs first, ties split by ``key``.
 
@@ -254,11 +376,7 @@ def tile_columns(df: DataFrame, columns: dict[str, str], key: str, tiles: int =
             ranked = global_rank(out, [F.col(c).asc_nulls_first(), F.col(key)], "_rank")
             out = ranked.rows.withColumn(name, tile_of(F.col("_rank"), ranked.total, tiles)).drop("_rank")
             continue
-        pair = F.struct(F.col(c).alias("v"), F.col(key).alias("k"))
-        lits = [F.struct(F.lit(v).cast(kinds[c]).alias("v"), F.lit(k).cast(kinds[key]).alias("k")) for v, k in edges[c]]
-        # structs compare field by field, NULLs first
-        before = F.size(F.filter(F.array(*lits), lambda e: e < F.col("_pair"))) if lits else F.lit(0)
-        out = out.withColumn("_pair", pair).withColumn(name, (before + 1).cast("bigint")).drop("_pair")
+        out = _tiled(out, c, key, edges[c], kinds, name)
     return out
 
 

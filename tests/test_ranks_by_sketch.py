@@ -64,3 +64,48 @@ def test_empty_tables_and_other_types(spark):
     exact = spark.range(500).withColumn("v", (F.col("id") % 7).cast("decimal(38,2)"))
     want, _ = ntile([(i % 7, i, i) for i in range(500)], 9)
     assert {r["id"]: r["t"] for r in R.tile_columns(exact, {"v": "t"}, "id", 9).collect()} == want
+
+
+def test_keys_of_ties_are_bracketed_too(spark, monkeypatch):
+    """Three values and NULLs fill the table: few rows are sorted, and tiles equal NTILE's."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cohortry.operators import ranking as R
+
+    draw = random.Random(4)
+    n = 20_000
+    keys = draw.sample(range(10 * n), n)
+    rows = [(None if i % 7 == 0 else float(draw.choice([1, 2, 5])), k) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "v double, k long").repartition(3)
+    monkeypatch.setattr(R, "_TIES", 100, raising=False)
+    sorted_rows, ordered = [], R._ordered
+
+    def counted(frame, order):
+        out = ordered(frame, order)
+        sorted_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "_ordered", counted)
+    got = R.percentile_bucket(df, "v", "k", name="tile")
+    want = df.withColumn("want", F.ntile(100).over(Window.orderBy(F.col("v").asc_nulls_first(), "k")).cast("bigint"))
+    assert got.join(want, "k").where("tile <> want").count() == 0 and got.count() == n
+    assert sum(sorted_rows) < n / 4
+
+
+def test_tiles_with_infinity_nan_and_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from cohortry.operators import ranking as R
+
+    values = [float("inf"), float("nan"), float("-inf"), None, -0.0, 0.0, 1.5]
+    rows = [(values[i % 7], None if i == 3 else i) for i in range(70)]
+    df = spark.createDataFrame(rows, "v double, k long")
+    got = R.percentile_bucket(df, "v", "k", tiles=9, name="tile").select("k", "tile").collect()
+    place = lambda r: (0, 0) if r[0] is None else (2, 0) if r[0] != r[0] else (1, r[0])
+    order = sorted(rows, key=lambda r: (place(r), -1 if r[1] is None else r[1]))
+    ends = R.last_ranks(70, 9)
+    want = {r[1]: next(t for t, e in enumerate(ends, 1) if i <= e) for i, r in enumerate(order, 1)}
+    assert {r["k"]: r["tile"] for r in got} == want
