@@ -7,6 +7,7 @@ that is not in the cart is an error and changes nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -86,11 +87,18 @@ class CartStream:
         return f"{self.root}/noted"
 
 
-class _CartItem(StatefulProcessor):
-    """One item of one cart: the last event applied, and those that wait until no earlier one can come.
+#: Items are dealt to so many buckets by a hash; a stream keeps the number it began with.  State is
+#: read and written once a bucket and batch, not once an item.
+BUCKETS = 1 << 12
+#: Waiting events in one value of the state.
+CHUNK = 1_000
+
+
+class _CartItems(StatefulProcessor):
+    """The items of one bucket: the adds that put them into their carts, and the events that wait until no earlier one can come.
 
     A timer fires when the watermark has passed the first waiting event; those it has passed are
-    applied in time order.
+    applied in time order.  A bucket has one timer at a time.
     """
 
     def __init__(self, event: str):
@@ -98,46 +106,58 @@ class _CartItem(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.event)
-        self.last = handle.getValueState("last", self.event)
-
-    def _wake(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
+        self.waiting = handle.getListState("waiting", f"events array<struct<{self.event}>>")
+        self.last = handle.getValueState("last", f"events array<struct<{self.event}>>")
 
     @staticmethod
-    def _note(key, event_id, ts, reason: str) -> Row:
-        return Row(event_id=event_id, ts=ts, cart=key[0], item=key[1], reason=reason)
+    def _note(event_id, ts, cart, item, reason: str) -> Row:
+        return Row(event_id=event_id, ts=ts, cart=cart, item=item, reason=reason)
 
     def handleInputRows(self, key, rows, timerValues):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        fresh = []
-        for r in rows:
-            if passed > 0 and r.at <= passed:
-                yield self._note(key, r.event_id, r.ts, "late")
-            elif r.action == "remove" or (r.price is not None and r.price > 0):
-                fresh.append((r.at, r.event_id, r.ts, r.action, r.price))
+        fresh, first = [], None
+        for _, cart, item, at, event_id, ts, action, price in rows:
+            if passed > 0 and at <= passed:
+                yield self._note(event_id, ts, cart, item, "late")
+            elif action == "remove" or (price is not None and price > 0):
+                fresh.append((at, event_id, ts, cart, item, action, price))
+                first = at if first is None else min(first, at)
+                if len(fresh) == CHUNK:
+                    self.waiting.appendValue((fresh,))
+                    fresh = []
             else:
-                yield self._note(key, r.event_id, r.ts, "rejected")
+                yield self._note(event_id, ts, cart, item, "rejected")
         if fresh:
-            self.waiting.appendList(fresh)
-            self._wake(min(fresh)[0])
+            self.waiting.appendValue((fresh,))
+        if first is not None:
+            wake, set_before = -(-first // 1000), list(self.handle.listTimers())
+            if not set_before or wake < min(set_before):
+                for other in set_before:
+                    self.handle.deleteTimer(other)
+                self.handle.registerTimer(wake)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
-        due = [e for e in events if e[0] <= passed]
+        events = [tuple(e) for (chunk,) in self.waiting.get() for e in chunk]
+        events.sort(key=lambda e: (e[0], e[1] is not None, e[1]))
+        due = bisect_right(events, passed, key=lambda e: e[0])
         if not due:
             return
-        here = self.last.exists() and self.last.get()[3] == "add"
-        for _, event_id, ts, action, _ in due:
-            if action == "remove" and not here:
-                yield self._note(key, event_id, ts, "missing")
-            here = action == "add"
-        self.last.update(due[-1])
-        rest = events[len(due) :]
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0])
+        held = self.last.get() if self.last.exists() else ([],)
+        here = {(e[3], e[4]): tuple(e) for e in held[0]}
+        for e in events[:due]:
+            _, event_id, ts, cart, item, action, _ = e
+            if action == "add":
+                here[cart, item] = e
+            elif here.pop((cart, item), None) is None and action == "remove":
+                yield self._note(event_id, ts, cart, item, "missing")
+        if here:
+            self.last.update((list(here.values()),))
+        else:
+            self.last.clear()
+        if due < len(events):
+            self.waiting.put([(events[lo : lo + CHUNK],) for lo in range(due, len(events), CHUNK)])
+            self.handle.registerTimer(-(-events[due][0] // 1000))
         else:
             self.waiting.clear()
 
@@ -157,33 +177,34 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def note_errors(events: DataFrame, lateness: str) -> DataFrame:
+def note_errors(events: DataFrame, lateness: str, buckets: int = BUCKETS) -> DataFrame:
     """Streaming log rows to (event_id, ts, cart, item, reason): rejected adds, removals of missing items, late events.
 
-    State is kept per cart and item, so a busy cart is spread over tasks.
+    State is kept per bucket of carts and items, so a busy cart is spread over tasks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     # the copy of the time carries no watermark: Spark would drop late rows, and they are to be noted
     rows = events.withColumn("at", at).withColumn("_seen", F.timestamp_micros("at")).withWatermark("_seen", lateness)
-    rows = rows.select(*KEY, "at", "event_id", "ts", "action", "price")
-    event = f"at long, event_id {kinds['event_id']}, ts {kinds['ts']}, action string, price double"
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("bucket")
+    rows = rows.select(bucket, *KEY, "at", "event_id", "ts", "action", F.col("price").cast("double").alias("price"))
+    event = f"at: bigint, event_id: {kinds['event_id']}, ts: {kinds['ts']}, cart: {kinds['cart']}, item: {kinds['item']}, action: string, price: double"
     out = f"event_id {kinds['event_id']}, ts {kinds['ts']}, cart {kinds['cart']}, item {kinds['item']}, reason string"
-    return rows.groupBy(*KEY).transformWithState(_CartItem(event), out, "Append", "EventTime")
+    return rows.groupBy("bucket").transformWithState(_CartItems(event), out, "Append", "EventTime")
 
 
-def run_cart_stream(events: DataFrame, root: str, lateness: str = "1 hour") -> CartStream:
+def run_cart_stream(events: DataFrame, root: str, lateness: str = "1 hour", buckets: int = BUCKETS) -> CartStream:
     """Run a stream of log rows to the end of what is there.
 
     State and errors equal those of the batch form for events in any order, as long as each is newer
     than the newest event of earlier batches less ``lateness``.  Older ones are noted as late and
     change nothing.  Progress, state and output lie under ``root``, which every executor must reach;
-    a batch that is repeated replaces what it wrote.
+    a batch that is repeated replaces what it wrote.  ``buckets`` must stay as in the stream's first run.
     """
     stream = CartStream(root)
     with _rocksdb(events.sparkSession):
         query = (
-            note_errors(events, lateness).writeStream.format("parquet").option("path", stream.noted)
+            note_errors(events, lateness, buckets).writeStream.format("parquet").option("path", stream.noted)
             .option("checkpointLocation", stream.progress).outputMode("append").trigger(availableNow=True).start()
         )
         query.awaitTermination()
@@ -194,11 +215,11 @@ def _variable(spark: SparkSession, stream: CartStream, name: str) -> DataFrame:
     """A state variable as log rows, read from the store as of the last batch."""
     rows = spark.read.format("statestore").option("path", stream.progress).option("stateVarName", name).load()
     value = "list_element" if "list_element" in rows.columns else "value"
-    return rows.select("key.*", f"{value}.*").drop("at")
+    return rows.select(F.explode(f"{value}.events").alias("_e")).select("_e.*").drop("at")
 
 
 def _open_log(spark: SparkSession, stream: CartStream) -> DataFrame:
-    """The last event applied of each item, and the events that still wait (``waits``)."""
+    """The add that put each item into its cart, and the events that still wait (``waits``)."""
     done, waiting = (_variable(spark, stream, v).withColumn("waits", F.lit(v == "waiting")) for v in ("last", "waiting"))
     return done.unionByName(waiting)
 

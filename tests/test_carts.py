@@ -102,3 +102,24 @@ def test_a_removal_that_overtakes_its_add_is_no_error(spark, tmp_path):
     stream = feed(spark, df, tmp_path, [[0, 2], [1], [3]], "2 hours")
     assert {r["item"]: r["price"] for r in K.stream_state(spark, stream).collect()} == {"a": 1.0, "c": 3.0}
     assert K.stream_errors(spark, stream).count() == 0 and K.late_events(spark, stream).count() == 0
+
+
+def test_state_is_kept_per_bucket_and_many_items_and_chunks_share_one(spark, tmp_path):
+    rng = random.Random(31)
+    t = dt.datetime(2024, 1, 1)
+    rows = [
+        (i, t + dt.timedelta(minutes=i // 3), rng.choice((1, 2, 3)), rng.choice("abcdefghijkl"), rng.choice(("add", "add", "remove")), rng.choice((None, -1.0, 1.0, 2.5)))
+        for i in range(4_000)
+    ]
+    df = spark.createDataFrame(rows, LOG)
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for ids in (F.col("event_id") < 3_000, F.col("event_id") >= 3_000):
+        df.where(ids).coalesce(1).write.mode("append").parquet(source)
+        stream = K.run_cart_stream(spark.readStream.schema(df.schema).parquet(source), out, "5 hours", buckets=2)
+    held = [spark.read.format("statestore").option("path", stream.progress).option("stateVarName", v).load() for v in ("last", "waiting")]
+    assert [h.select("key.*").distinct().count() for h in held] == [2, 2]
+    assert len(spark.read.parquet(stream.noted).where("reason = 'missing'").take(1)) == 1
+    key = lambda r: (str(r["cart"]), str(r["item"]), r["price"])
+    assert sorted(map(key, K.stream_state(spark, stream).collect())) == sorted(map(key, K.cart_state(df).collect()))
+    errors = K.rejected_adds(df).select("event_id").union(K.failed_removes(df).select("event_id"))
+    assert sorted(r["event_id"] for r in K.stream_errors(spark, stream).collect()) == sorted(r["event_id"] for r in errors.collect())
