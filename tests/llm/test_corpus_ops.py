@@ -1,6 +1,7 @@
 """Quality rules, URLs, toxicity, near copies, near vectors and the pipeline against brute force."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -349,3 +350,13 @@ def test_pipeline(spark):
         docs = out
     pieces = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_of_a_toxicity_model_the_driver_holds_only_the_calibration(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(200)) + " shared bad" * (i % 2)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert len(pickle.dumps(model)) < 4_000  # the words alone have 8 bytes each
+    scores = {r["doc_id"] % 2: r["toxic_score"] for r in toxicity.scored(docs.where("doc_id < 2"), model).collect()}
+    assert scores[1] > scores[0]
+    assert not toxicity._opened  # nor does it read what the tasks wrote
