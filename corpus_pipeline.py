@@ -19,8 +19,10 @@ from cohortry.llm.common import stored, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; labels of rows that are not held out are all it learns from."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")  # columns called like a result stay
-    return toxicity.scored(rows, model, keep_text=False).where(F.col("toxic_score") < 0.5).select("_row.*")
+    named = {f"_{i}": c for i, c in enumerate(docs.columns)}  # columns called like a result stay
+    of = {c.lower(): i for i, c in named.items()}
+    rows = toxicity.scored(docs.toDF(*named), model, of["text"], id_=of["doc_id"])
+    return rows.where(F.col("toxic_score") < 0.5).select(*named).toDF(*named.values())
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -360,3 +360,41 @@ def test_of_a_toxicity_model_the_driver_holds_only_the_calibration(spark):
     scores = {r["doc_id"] % 2: r["toxic_score"] for r in toxicity.scored(docs.where("doc_id < 2"), model).collect()}
     assert scores[1] > scores[0]
     assert not toxicity._opened  # nor does it read what the tasks wrote
+
+
+def test_toxic_stage_sends_each_text_once(spark):
+    docs = table(spark, FOLDER, "documents")
+    model = toxicity.fit(docs.limit(0), docs.select("doc_id", F.lit(1).alias("toxic")))
+    scored = toxicity.scored(docs, model)
+    assert "coalesce(text" not in scored._jdf.queryExecution().analyzed().toString()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"], r["toxic_score"]) for r in toxicity.scored(odd, model).collect()} == {(1, None, 0.5), (2, "", 0.5), (3, "a", 0.5)}
+    plan = corpus_pipeline.drop_toxic(spark, docs, FOLDER)._jdf.queryExecution().analyzed().toString()
+    assert "struct(" not in plan and "coalesce(" not in plan
+
+
+@pytest.mark.parametrize("dense", [0.0, 1.0])
+def test_blocks_compared_alone_or_at_once_give_the_same(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    full = rng.random((700, 30)) * (rng.random((700, 30)) < 0.3)
+    full[np.arange(700), rng.integers(0, 30, 700)] += 1
+    full /= np.linalg.norm(full, axis=1)[:, None]
+    vs = [(np.flatnonzero(x).astype(np.int32), x[np.flatnonzero(x)]) for x in full]
+    index = toxicity.BlockMaxIndex(vs, 30, common=6)
+    products = []
+    monkeypatch.setattr(np, "matmul", lambda *a, f=np.matmul, **k: products.append(1) or f(*a, **k))
+    for (places, cos), x in zip(index.nearest_of(vs[:70], [9] * 70), full):
+        want = np.sort(full @ x)[::-1][:9]
+        assert np.allclose(cos, want, atol=1e-6) and np.allclose(full[index.order][places] @ x, want, atol=1e-6)
+    assert bool(products) == (dense < 1)
+
+
+def test_words_of_any_script_are_those_of_the_pattern():
+    rng = random.Random(4)
+    letters = [chr(c) for c in [*range(256), 0x130, 0x17F, 0x2028, 0x3000, 0x4E2D, 0x660, 0xB2, 0x300, 0x200D, 0x1F600, 0x10400]]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(60)]
+    words, n = toxicity._words_of([toxicity._FOREIGN_GAP.sub(" ", t.lower()).encode() for t in texts])
+    want = [re.findall(r"\w+", t.lower()) for t in texts]
+    assert n.tolist() == [len(w) for w in want] and [w.decode() for w in words.to_pylist()] == [x for w in want for x in w]
+    assert toxicity._hashes(words).tolist() == [xxhash.xxh64_intdigest(x) for w in want for x in w]
