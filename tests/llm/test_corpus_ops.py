@@ -4,6 +4,7 @@ import math
 import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -398,3 +399,34 @@ def test_words_of_any_script_are_those_of_the_pattern():
     want = [re.findall(r"\w+", t.lower()) for t in texts]
     assert n.tolist() == [len(w) for w in want] and [w.decode() for w in words.to_pylist()] == [x for w in want for x in w]
     assert toxicity._hashes(words).tolist() == [xxhash.xxh64_intdigest(x) for w in want for x in w]
+
+
+def test_no_worker_holds_a_model_after_its_task(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50)) + " shared bad" * (i % 2)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert toxicity.scored(docs, model).count() == 60
+
+    def held(batches):
+        from cohortry.llm.toxicity import _once
+
+        for b in batches:
+            yield b.from_arrays([b.column(0), b.column(0)], ["id", "n"]) if _once.__globals__["_opened"] else b.slice(0, 0).from_arrays([b.column(0)[:0]] * 2, ["id", "n"])
+
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "id long, n long").count() == 0
+
+
+def test_building_an_index_holds_its_rows_once():
+    rng = np.random.default_rng(5)
+    vs = [(np.sort(rng.choice(600, 12, replace=False)).astype(np.int32), rng.random(12).astype(np.float32)) for _ in range(8192)]
+    tracemalloc.start()
+    index = toxicity.BlockMaxIndex(vs, 600)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * index.rows.nbytes
+    for place in range(0, 8192, 511):
+        t, w = vs[index.order[place]]
+        full = np.zeros(600, np.float32)
+        full[t] = w
+        some = index.column >= 0
+        assert np.array_equal(index.rows[place // index.block, place % index.block][index.column[some]], full[some])
